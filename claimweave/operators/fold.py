@@ -267,9 +267,10 @@ class KeyFold:
             if conflict and v.branch == op["branch"] and not v.conflict:
                 v.conflict = True
                 self._emit("conflict", v.vid, branch=v.branch)
+        if beaten and op["pinned"]:
+            beaten[0].pinned = True  # a rollback may restore it, on whichever branch it lives
         for v in beaten:
             if v.branch == op["branch"]:
-                v.pinned = v.pinned or (op["pinned"] and v is beaten[0])
                 self._set_status(v, "superseded", "superseded")
         self.live[vid] = new
         self.current.setdefault(new.branch, {})[vid] = new
@@ -360,7 +361,7 @@ def _carry(state: list[dict], summary: dict) -> list[dict]:
             for field in ("sup_by", "opp_by"):
                 gone = start[field].keys() - o[field].keys()
                 merged[field] = {s: x for s, x in known[field].items() if s not in gone}
-                merged[field].update({s: x for s, x in o[field].items() if s not in start[field]})
+                merged[field].update({s: x for s, x in o[field].items() if start[field].get(s) != x})
             o = merged
         else:
             only_known = False

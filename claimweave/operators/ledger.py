@@ -281,19 +281,27 @@ def _ordered_units(ops: DataFrame, states: DataFrame | None) -> DataFrame:
     )
 
 
-def _assign_chunks(ops: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``chunk``; also the keys with more than one chunk, or None when there are none."""
-    hot = (
-        ops.groupBy("claim_key").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+def hot_key_ranges(claims: DataFrame, chunk_rows: int) -> DataFrame:
+    """Keys with more than ``chunk_rows`` claims, with the position range and width of their chunks.
+
+    One map-side combined count; the result has at most rows / chunk_rows rows.
+    """
+    return (
+        claims.groupBy("claim_key").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
         .where(F.col("n") > chunk_rows)
-        .select("claim_key", "lo", ((F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / chunk_rows) + 1).alias("width"))
+        .select("claim_key", (F.col("first") * ORD_WIDTH).alias("lo"),
+                (F.ceil(F.col("n") / chunk_rows) - 1).alias("last_chunk"),
+                ((F.col("last") + 1 - F.col("first")) * ORD_WIDTH / F.ceil(F.col("n") / chunk_rows)).alias("width"))
     )
-    hot = materialise(hot, "hot-keys")
-    if hot.isEmpty():
-        return ops.withColumn("chunk", F.lit(0).cast("long")), None
-    chunked = ops.join(hot, "claim_key", "left").withColumn(
-        "chunk", F.coalesce(F.floor((F.col("pos") - F.col("lo")) / F.col("width")), F.lit(0)).cast("long"))
-    return chunked.drop("lo", "width"), hot.select("claim_key")
+
+
+def _assign_chunks(ops: DataFrame, hot: DataFrame | None) -> DataFrame:
+    if hot is None:
+        return ops.withColumn("chunk", F.lit(0).cast("long"))
+    place = F.floor((F.col("pos") - F.col("lo")) / F.col("width")).cast("long")
+    chunk = F.greatest(F.lit(0).cast("long"), F.least(F.col("last_chunk").cast("long"), place))
+    return ops.join(hot, "claim_key", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0).cast("long"))).drop(
+        "lo", "width", "last_chunk")
 
 
 def settle_hot_chunks(ops: DataFrame, hot_keys: DataFrame) -> DataFrame:
@@ -329,11 +337,13 @@ def fold_events(claims: DataFrame, branches: DataFrame, control: DataFrame | Non
     options = options or FoldOptions()
     ship_package(claims.sparkSession)
     ops = key_operations(claims, branches, control)
-    ops, hot_keys = _assign_chunks(ops, options.chunk_rows)
+    hot = materialise(hot_key_ranges(claims, options.chunk_rows), "hot-keys")
     states = None
-    if hot_keys is not None:
-        ops = materialise(ops, "ops")
-        states = settle_hot_chunks(ops, hot_keys)
+    if hot.isEmpty():
+        ops = _assign_chunks(ops, None)
+    else:
+        ops = materialise(_assign_chunks(ops, hot), "ops")
+        states = settle_hot_chunks(ops, hot.select("claim_key"))
     return _ordered_units(ops, states).mapInArrow(_fold_to_events(options.batch_rows), EVENT_SCHEMA)
 
 
