@@ -32,6 +32,11 @@ def lookup(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+def strip(value: Column) -> Column:
+    """Remove white space of any kind from both ends."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(value: Column) -> Column:
     """Collapse whitespace runs to one blank and trim."""
     return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))

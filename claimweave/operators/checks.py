@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimweave.functions.scores import clamp, exact, scaled_score, windows_overlap
-from claimweave.functions.text import canonical_text, claim_key, distinct_nonempty, normalize_predicate
+from claimweave.functions.text import canonical_text, claim_key, distinct_nonempty, normalize_predicate, strip
 from claimweave.operators import reads as R
 from claimweave.operators.policy import Policy
 from claimweave.plans.session import materialise
@@ -71,8 +71,8 @@ def staged_claims(staged: DataFrame) -> DataFrame:
     return c.select(
         "staged_id", "claim_no",
         F.when(has, claim_key(F.col("claim.subject"), F.col("claim.predicate"))).alias("claim_key"),
-        F.trim("claim.subject").alias("subject"), normalize_predicate(F.col("claim.predicate")).alias("predicate"),
-        F.trim("claim.object_value").alias("object_value"), canonical_text(F.col("claim.object_value")).alias("normalized_object"),
+        strip(F.col("claim.subject")).alias("subject"), normalize_predicate(F.col("claim.predicate")).alias("predicate"),
+        strip(F.col("claim.object_value")).alias("object_value"), canonical_text(F.col("claim.object_value")).alias("normalized_object"),
         F.when(has, clamp(F.coalesce(F.col("claim.confidence"), F.lit("0.7").cast("decimal(6,4)")))).cast("decimal(6,4)").alias("confidence"),
         F.col("claim.valid_from").alias("valid_from"), F.col("claim.valid_to").alias("valid_to"))
 
