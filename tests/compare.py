@@ -38,7 +38,7 @@ def normal(rows, order):
 
 def kind(name):
     n = str(name).lower()
-    for k, words in (("int", ("int", "long", "short", "hugeint")), ("float", ("double", "float", "decimal")), ("text", ("string", "varchar")),
+    for k, words in (("int64", ("bigint", "long")), ("int32", ("int",)), ("float", ("double", "float", "decimal")), ("text", ("string", "varchar")),
                      ("date", ("date",)), ("time", ("timestamp",)), ("bool", ("bool",))):
         if any(n.startswith(w) or n.startswith("u" + w) for w in words) and "[" not in n:
             return k
