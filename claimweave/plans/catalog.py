@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimweave.functions.scores import as_score
 from claimweave.operators import ledger as L, reads as R
-from claimweave.plans import catalog_checks, catalog_corpus, catalog_eval, catalog_ledger, catalog_text, fixtures as fx  # noqa: F401
+from claimweave.plans import catalog_checks, catalog_corpus, catalog_eval, catalog_ledger, catalog_stream, catalog_text, fixtures as fx  # noqa: F401
 from claimweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -73,10 +73,10 @@ tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDE
 """
 
 
-@query("tfidf_topk", FACTS_CTE + _TFIDF + "SELECT question_id, fact_id, round(score, 6) AS score, rank FROM tk")
+@query("tfidf_topk", FACTS_CTE + _TFIDF + "SELECT question_id, fact_id, score, rank FROM tk")
 def tfidf_topk(spark, sf_dir):
     t = FL.tfidf_topk(facts(spark, sf_dir), key_questions(spark, sf_dir), 5, common_df=500)
-    return t.select("question_id", "fact_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return t.select("question_id", "fact_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("tfidf_answer", FACTS_CTE + _TFIDF + """, nr AS (SELECT q.question_id, arg_max(fa.fact_id, (valid_from, trust_score * confidence, fa.fact_id)) AS fact_id FROM tk JOIN q ON q.question_id = tk.question_id JOIN fa ON fa.fact_id = tk.fact_id AND fa.subject = q.subject AND fa.predicate = q.predicate GROUP BY q.question_id),
