@@ -11,7 +11,8 @@ The reducer is written so that its state stays small whatever the key's volume:
   same source may turn up again under the key (``shared``) or when a later
   rollback may remove the edge it adds (``pinned``);
 * edges a new version inherits from the versions it opposes are emitted as one
-  ``inherit`` event per opposed version and expanded by a join afterwards;
+  ``inherit`` event per opposed version, with their number and trust sum; whoever
+  needs them one by one expands them by a join afterwards;
 * versions leave the state once nothing later can refer to them.
 
 A key too large for one task is cut into chunks.  ``Summary`` records what a
@@ -34,7 +35,7 @@ CURRENT = ("active", "hypothetical")
 EVENT_FIELDS = (
     "claim_key", "kind", "version_id", "pos", "k", "branch_id", "source_id", "relation",
     "status", "other_id", "reason", "object_value", "normalized_object", "confidence",
-    "valid_from", "valid_to", "conflict",
+    "valid_from", "valid_to", "conflict", "named", "n", "trust",
 )
 
 
@@ -111,14 +112,14 @@ class KeyFold:
 
     # -- events ---------------------------------------------------------
     def _emit(self, kind, version_id=None, branch=None, source=None, relation=None, status=None,
-              other=None, reason=None, version: Version | None = None):
+              other=None, reason=None, version: Version | None = None, named=None, n=None, trust=None):
         if not self.emitting:
             return
         v = version
         self.events.append((
             self.key, kind, version_id, self._pos, self._k, branch, source, relation, status, other, reason,
             v.obj if v else None, v.nobj if v else None, v.conf if v else None,
-            v.vf if v else None, v.vt if v else None, v.conflict if v else None,
+            v.vf if v else None, v.vt if v else None, v.conflict if v else None, named, n, trust,
         ))
         self._k += 1
 
@@ -156,7 +157,7 @@ class KeyFold:
             v.n_sup += 1
         v.pinned = v.pinned or op["pinned"]
         self._emit("edge", v.vid, branch=op["branch"], source=source, relation="support", status="active",
-                   reason=reason)
+                   reason=reason, named=by_name, trust=trust)
 
     def _oppose(self, v: Version, source, trust, op, *, by_name: bool, other: int):
         if source in v.opp_by:
@@ -167,7 +168,7 @@ class KeyFold:
             v.opp += trust
         v.pinned = v.pinned or op["pinned"]
         self._emit("edge", v.vid, branch=op["branch"], source=source, relation="opposition", status="active",
-                   other=other, reason="contradicted by version")
+                   other=other, reason="contradicted by version", named=by_name, trust=trust)
 
     def _at_least(self, claimed: int, v: Version) -> bool:
         """claimed >= score(v), remembering for which starting sums that answer holds."""
@@ -245,23 +246,24 @@ class KeyFold:
             self._emit("merged_from", vid, branch=op["target"], other=c["from"])
         self._support(new, c["source"], c["trust"], op, by_name=by_name, reason="introduced version")
 
+        replaced: dict[int, tuple] = {}
         for v in near:
             if not (op["hyp"] and v.branch != op["branch"]):
                 self._oppose(v, c["source"], c["trust"], op, by_name=by_name, other=vid)
             inherited = "superseded" if v.vid in lost else "active"
-            if v.supporters == 0:
-                self._emit("edge", vid, branch=op["branch"], source=v.source, relation="opposition",
-                           status=inherited, other=v.vid, reason="opposes existing version")
-                if inherited == "active":
-                    new.opp_by.setdefault(v.source, (v.trust, op["seq"]))
-            else:
-                self._emit("inherit", vid, branch=op["branch"], relation="opposition", status=inherited,
-                           other=v.vid, reason="opposes existing version")
-                if inherited == "active":
-                    v.exact = True
-                    new.opp += v.sup
-                    for source, (trust, _) in v.sup_by.items():
-                        new.opp_by.setdefault(source, (trust, op["seq"]))
+            if v.n_sup:
+                self._emit("inherit", vid, branch=op["branch"], relation="opposition", status=inherited, other=v.vid,
+                           reason="opposes existing version", n=v.n_sup, trust=v.sup)
+            if inherited == "active":
+                v.exact = True
+                new.opp += v.sup
+            backers = v.sup_by if v.supporters else {v.source: (v.trust, None)}
+            seen = new.opp_by if inherited == "active" else replaced
+            for source, (trust, _) in sorted(backers.items()):
+                if source not in seen:
+                    seen[source] = (trust, op["seq"])
+                    self._emit("edge", vid, branch=op["branch"], source=source, relation="opposition", status=inherited,
+                               other=v.vid, reason="opposes existing version", named=True, trust=trust)
 
         for v in cur:
             if conflict and v.branch == op["branch"] and not v.conflict:

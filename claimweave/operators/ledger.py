@@ -17,9 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from claimweave.functions.scores import exact
 from claimweave.operators import fold
@@ -45,13 +46,16 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("valid_from", T.IntegerType()),
     T.StructField("valid_to", T.IntegerType()),
     T.StructField("conflict", T.BooleanType()),
+    T.StructField("named", T.BooleanType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("trust", T.LongType()),
 ])
 _ARROW_EVENTS = pa.schema([
     ("claim_key", pa.string()), ("kind", pa.string()), ("version_id", pa.int64()), ("pos", pa.int64()),
     ("k", pa.int32()), ("branch_id", pa.int64()), ("source_id", pa.int64()), ("relation", pa.string()),
     ("status", pa.string()), ("other_id", pa.int64()), ("reason", pa.string()), ("object_value", pa.string()),
     ("normalized_object", pa.string()), ("confidence", pa.int64()), ("valid_from", pa.int32()),
-    ("valid_to", pa.int32()), ("conflict", pa.bool_()),
+    ("valid_to", pa.int32()), ("conflict", pa.bool_()), ("named", pa.bool_()), ("n", pa.int64()), ("trust", pa.int64()),
 ])
 SUMMARY_SCHEMA = "claim_key string, chunk long, summary string"
 _ARROW_SUMMARY = pa.schema([("claim_key", pa.string()), ("chunk", pa.int64()), ("summary", pa.string())])
@@ -382,56 +386,62 @@ def versions_table(events: DataFrame) -> DataFrame:
     )
 
 
-def links_table(events: DataFrame) -> DataFrame:
-    """Support and opposition edges with their final status.
+def _with_end(edges: DataFrame, events: DataFrame, keyed: list[str]) -> DataFrame:
+    """Add ``end`` (pos, status): the first event after an active edge was added that ended it."""
+    ends_all = events.where("kind = 'end_all'").groupBy("claim_key", "version_id").agg(F.min(F.struct("pos", "status")).alias("end_all"))
+    joined = edges.join(ends_all, ["claim_key", "version_id"], "left")
+    own_end = F.lit(None)
+    if "source_id" in edges.columns:
+        ends_one = events.where("kind = 'end'").groupBy(*keyed).agg(F.array_sort(F.collect_list(F.struct("pos", "status"))).alias("ends"))
+        joined = joined.join(ends_one, keyed, "left").withColumn("own_end", F.get(F.filter("ends", lambda x: x["pos"] > F.col("added_pos")), F.lit(0)))
+        own_end = F.col("own_end")
+    first = F.when(own_end.isNull() | (F.col("end_all.pos") < F.col("own_end.pos")), F.col("end_all")).otherwise(own_end) if "source_id" in edges.columns else F.col("end_all")
+    return joined.withColumn("end", F.when(F.col("added_status") == "active", first)).drop("end_all", "ends", "own_end")
 
-    Edges that a new version inherits from an opposed version's supporters are
-    expanded here by a join on that version, so the fold never holds a supporter list.
-    """
-    keyed = ["claim_key", "version_id"]
-    added = events.where("kind = 'edge'").select(
-        *keyed, "source_id", "relation", F.col("status").alias("added_status"), F.col("pos").alias("added_pos"),
-        "branch_id", "other_id", "reason")
-    ends_all = (
-        events.where("kind = 'end_all'").groupBy(*keyed)
-        .agg(F.min(F.struct("pos", "status")).alias("end_all"))
-    )
-    ends_one = (
-        events.where("kind = 'end'").groupBy(*keyed, "source_id", "relation")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "status"))).alias("ends"))
-    )
 
-    def with_end(edges: DataFrame) -> DataFrame:
-        joined = edges.join(ends_all, keyed, "left").join(ends_one, [*keyed, "source_id", "relation"], "left")
-        own_end = F.get(F.filter("ends", lambda x: x["pos"] > F.col("added_pos")), F.lit(0))
-        end = F.when(F.col("added_status") == "active",
-                     F.when(own_end.isNull() | (F.col("end_all.pos") < own_end["pos"]), F.col("end_all")).otherwise(own_end))
-        return joined.withColumn("end", end).drop("end_all", "ends")
-
-    direct = with_end(added)
-    inherits = events.where("kind = 'inherit'").select(
-        "claim_key", F.col("version_id").alias("new_id"), F.col("other_id").alias("version_id"),
-        F.col("pos").alias("new_pos"), F.col("status").alias("new_status"), F.col("branch_id").alias("new_branch"))
-    supporters = direct.where("relation = 'support'").select(*keyed, "source_id", "added_pos", F.col("end.pos").alias("end_pos"))
-    inherited = (
-        inherits.join(supporters, keyed)
-        .where((F.col("added_pos") < F.col("new_pos")) & (F.col("end_pos").isNull() | (F.col("end_pos") > F.col("new_pos"))))
-        .groupBy("claim_key", "new_id", "source_id", "new_status", "new_pos", "new_branch")
-        .agg(F.max("version_id").alias("other_id"))
-        .select("claim_key", F.col("new_id").alias("version_id"), "source_id", F.lit("opposition").alias("relation"),
-                F.col("new_status").alias("added_status"), F.col("new_pos").alias("added_pos"),
-                F.col("new_branch").alias("branch_id"), "other_id", F.lit("opposes existing version").alias("reason"))
-    )
-    rows = direct.unionByName(with_end(inherited))
+def _edge_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
-        *keyed, "source_id", "relation",
+        "claim_key", "version_id", "source_id", "relation",
         F.coalesce("end.status", "added_status").alias("status"),
         F.shiftright("added_pos", fold.ORD_BITS).alias("commit_seq"),
         F.shiftright("end.pos", fold.ORD_BITS).alias("removed_by_seq"),
-        F.col("branch_id").alias("commit_branch_id"), "other_id", "reason", F.col("added_pos").alias("link_pos"),
+        F.col("branch_id").alias("commit_branch_id"), "other_id", "reason", F.col("added_pos").alias("link_pos"), "named",
     )
 
 
+def direct_links(events: DataFrame) -> DataFrame:
+    """Edges the fold added one by one, with their final status: all support, and opposition by a claim's own source."""
+    added = events.where("kind = 'edge'").select(
+        "claim_key", "version_id", "source_id", "relation", F.col("status").alias("added_status"), F.col("pos").alias("added_pos"),
+        "branch_id", "other_id", "reason", "named")
+    return _edge_columns(_with_end(added, events, ["claim_key", "version_id", "source_id", "relation"]))
+
+
+def _inherits(events: DataFrame) -> DataFrame:
+    rows = events.where("kind = 'inherit'").select(
+        "claim_key", "version_id", "relation", F.col("status").alias("added_status"), F.col("pos").alias("added_pos"), "branch_id", "other_id", "reason",
+        "n", "trust")
+    return _with_end(rows, events, ["claim_key", "version_id"])
+
+
+def inherited_totals(events: DataFrame) -> DataFrame:
+    """Opposition a version took over from the supporters of the versions it opposed, as counts and trust sums (1e-4)."""
+    return _inherits(events).select("claim_key", "version_id", "other_id", F.coalesce("end.status", "added_status").alias("status"), "n", "trust")
+
+
+def links_table(events: DataFrame, direct: DataFrame | None = None) -> DataFrame:
+    """Every support and opposition edge on its own: the direct ones and the inherited ones expanded.
+
+    The expansion joins each opposing version with the supporters of the version it opposed.  Scores do
+    not need it (see ``inherited_totals``).
+    """
+    direct = direct if direct is not None else direct_links(events)
+    supporters = direct.where("relation = 'support' AND NOT named").select(
+        "claim_key", F.col("version_id").alias("other_id"), "source_id", F.col("link_pos").alias("since"))
+    expanded = _inherits(events).join(supporters, ["claim_key", "other_id"]).where("since < added_pos").withColumn("named", F.lit(False))
+    return direct.unionByName(_edge_columns(expanded))
+
+
 def decisions_table(events: DataFrame) -> DataFrame:
     """What the fold decided for each applied claim."""
     return events.where("kind = 'decision'").select(
@@ -441,15 +451,24 @@ def decisions_table(events: DataFrame) -> DataFrame:
 
 @dataclass
 class Ledger:
-    """Materialised outputs of one replay."""
+    """Outputs of one replay; all are written tables."""
 
     events: DataFrame
     versions: DataFrame
-    links: DataFrame
+    direct: DataFrame
+    """Edges added one by one (``direct_links``)."""
+    inherited: DataFrame
+    """Inherited opposition as sums (``inherited_totals``)."""
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """All edges one by one, expanded on first use."""
+        return materialise(links_table(self.events, self.direct), "links")
 
 
 def build_ledger(claims: DataFrame, branches: DataFrame, control: DataFrame | None = None,
                  options: FoldOptions | None = None) -> Ledger:
     """Fold once, write the events, and derive the tables from the written events."""
     events = materialise(fold_events(claims, branches, control, options), "events")
-    return Ledger(events, materialise(versions_table(events), "versions"), materialise(links_table(events), "links"))
+    return Ledger(events, materialise(versions_table(events), "versions"), materialise(direct_links(events), "direct-links"),
+                  materialise(inherited_totals(events), "inherited"))

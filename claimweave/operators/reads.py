@@ -23,9 +23,11 @@ def is_current(status: Column | str = "status") -> Column:
 
 # -- scores ------------------------------------------------------------------
 
-def evidence_totals(versions: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+def evidence_totals(versions: DataFrame, links: DataFrame, sources: DataFrame, inherited: DataFrame | None = None) -> DataFrame:
     """Per version: counts and exact trust totals (units of 1e-4) of its active edges.
 
+    ``links`` are either all edges, or the direct ones with ``inherited`` giving the sums of the rest.
+
     A missing source counts with trust 0.5.  A version that never had a support edge
     is carried by its own source.
     """
@@ -42,6 +44,11 @@ def evidence_totals(versions: DataFrame, links: DataFrame, sources: DataFrame) -
         F.coalesce(F.sum(F.when(support & live, F.col("trust"))), zero).alias("support_units"),
         F.coalesce(F.sum(F.when(opposition & live, F.col("trust"))), zero).alias("opposition_units"),
     )
+    if inherited is not None:
+        taken = inherited.where("status = 'active'").groupBy(*KEY).agg(F.sum("n").alias("more"), F.sum("trust").alias("more_units"))
+        totals = totals.join(taken, KEY, "left").withColumns({
+            "active_opposition_count": F.col("active_opposition_count") + F.coalesce("more", zero),
+            "opposition_units": F.col("opposition_units") + F.coalesce("more_units", zero)}).drop("more", "more_units")
     own = trust.select("source_id", F.col("trust").alias("own_trust"))
     rows = versions.join(totals, KEY, "left").join(own, "source_id", "left")
     backed = F.when(F.coalesce("any_support", zero) == 0, F.coalesce("own_trust", half)).otherwise(F.col("support_units"))
@@ -55,14 +62,14 @@ def evidence_totals(versions: DataFrame, links: DataFrame, sources: DataFrame) -
     )
 
 
-def support_score(versions: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+def support_score(versions: DataFrame, links: DataFrame, sources: DataFrame, inherited: DataFrame | None = None) -> DataFrame:
     """round(max(0, active support - active opposition) * confidence, 4) per version."""
-    return evidence_totals(versions, links, sources).select(*KEY, as_score(F.col("score_units")).alias("score"))
+    return evidence_totals(versions, links, sources, inherited).select(*KEY, as_score(F.col("score_units")).alias("score"))
 
 
-def support_graph(versions: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+def support_graph(versions: DataFrame, links: DataFrame, sources: DataFrame, inherited: DataFrame | None = None) -> DataFrame:
     """Counts and trust totals per version; the edges themselves are ``link_detail``."""
-    t = evidence_totals(versions, links, sources)
+    t = evidence_totals(versions, links, sources, inherited)
     return t.select(
         *KEY, F.col("source_id").alias("governing_source_id"),
         as_score(F.col("score_units")).alias("support_score"),

@@ -15,7 +15,7 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold the claims of the events table, then the current version of every key on main with its score."""
     led = L.build_ledger(catalog_ledger.main_claims(spark, sf_dir), fx.branches(spark))
-    scored = R.evidence_totals(led.versions.where(R.is_current()), led.links, catalog_ledger.event_sources(spark, sf_dir))
+    scored = R.evidence_totals(led.versions.where(R.is_current()), led.direct, catalog_ledger.event_sources(spark, sf_dir), led.inherited)
     viewer = spark.sql("SELECT CAST(1 AS BIGINT) AS branch_id")
     visible = R.current_versions(scored, fx.branches(spark), viewer)
     return visible.select("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status",

@@ -64,7 +64,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> C.Snapshot:
         viewers = spark.sql("SELECT CAST(id AS BIGINT) AS branch_id FROM VALUES (1), (2) AS t(id)")
         cur = R.current_versions(CL.scored(led, spark, sf_dir), fx.branches(spark), viewers)
         undone = CL.rollback_ledger(spark, sf_dir)
-        return C.Snapshot(materialise(_renamed(cur), "snapshot"), _renamed(undone.versions), _renamed(undone.links.where("status <> 'rolled_back'")),
+        return C.Snapshot(materialise(_renamed(cur), "snapshot"), _renamed(undone.versions), _renamed(undone.direct.where("status <> 'rolled_back'")),
                           CL.event_sources(spark, sf_dir))
     return once(spark, "snapshot", sf_dir, build=build)
 
@@ -183,7 +183,7 @@ def rolled_back_match(spark, sf_dir):
     offered = CL.main_claims(spark, sf_dir).select(
         F.col("seq").alias("staged_id"), "claim_key", "normalized_object",
         F.concat(F.lit("REF_"), (F.col("seq") % 40).cast("string")).alias("source_ref"), F.lit("").alias("excerpt"))
-    return R.rolled_back_match(offered, led.versions, led.links.where("relation = 'support'"), CL.event_sources(spark, sf_dir))
+    return R.rolled_back_match(offered, led.versions, led.direct.where("relation = 'support'"), CL.event_sources(spark, sf_dir))
 
 
 @query("check_suspicious_support", WITH_STAGED + """

@@ -102,7 +102,7 @@ def ledger_answers(spark, sf_dir):
     led = CL.main_ledger(spark, sf_dir)
     visible = CL.visible_main(spark, sf_dir)
     chosen = R.choose_current(visible)
-    prov = R.exact_provenance(chosen, led.links, CL.event_sources(spark, sf_dir), fx.branches(spark))
+    prov = R.exact_provenance(chosen, led.direct, CL.event_sources(spark, sf_dir), fx.branches(spark))
     asked = CL.beliefs(spark, sf_dir).select(F.col("first_seq").alias("question_id"), F.lit(1).cast("long").alias("viewer_id"), "claim_key")
     return FL.ledger_answers(asked, chosen, prov, visible, led.versions)
 

@@ -8,6 +8,7 @@ from claimweave.functions.scores import as_score
 from claimweave.operators import ledger as L, reads as R
 from claimweave.plans import fixtures as fx
 from claimweave.plans.registry import once, query
+from claimweave.plans.session import materialise
 
 LATER = 1 << 31
 """Control operations take seq = LATER + something, after every event."""
@@ -47,13 +48,13 @@ def event_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("excerpt"), fx.decimal_step(F.col("event_id") % 20 + 1).alias("trust_score"))
 
 
-def main_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = fx.as_ledger_claims(fx.event_claims(spark, sf_dir))
-    return claims.withColumn("branch_id", F.lit(1).cast("long"))
+def branch_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised claims, the ledger's input table: written once, as a store would hold them."""
+    return once(spark, "claims", sf_dir, build=lambda: materialise(fx.as_ledger_claims(fx.event_claims(spark, sf_dir)), "claims"))
 
 
-def branch_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.as_ledger_claims(fx.event_claims(spark, sf_dir))
+def main_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branch_claims(spark, sf_dir).withColumn("branch_id", F.lit(1).cast("long"))
 
 
 def main_ledger(spark: SparkSession, sf_dir: str) -> L.Ledger:
@@ -104,7 +105,7 @@ def beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(led: L.Ledger, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.evidence_totals(led.versions, led.links, event_sources(spark, sf_dir))
+    return R.evidence_totals(led.versions, led.direct, event_sources(spark, sf_dir), led.inherited)
 
 
 def seq_of(column: str):
@@ -242,7 +243,7 @@ def branch_ancestry(spark, sf_dir):
 @query("support_score", WITH_RUNS + "SELECT claim_key, version_seq, score FROM isl_scored")
 def support_score(spark, sf_dir):
     led = main_ledger(spark, sf_dir)
-    s = R.support_score(led.versions, led.links, event_sources(spark, sf_dir))
+    s = R.support_score(led.versions, led.direct, event_sources(spark, sf_dir), led.inherited)
     return s.select("claim_key", seq_of("version_id").alias("version_seq"), "score")
 
 
@@ -253,7 +254,7 @@ SELECT claim_key, version_seq, version_seq AS governing_source_id, score AS supp
        CAST(CASE WHEN next_seq IS NULL THEN 0 ELSE 1 END AS BIGINT) AS active_opposition_count FROM isl_scored""")
 def support_graph(spark, sf_dir):
     led = main_ledger(spark, sf_dir)
-    g = R.support_graph(led.versions, led.links, event_sources(spark, sf_dir))
+    g = R.support_graph(led.versions, led.direct, event_sources(spark, sf_dir), led.inherited)
     return g.withColumn("version_seq", seq_of("version_id")).drop("version_id")
 
 
@@ -272,7 +273,7 @@ SELECT g.claim_key, isl.version_seq, g.seq AS source_id, concat('ref_', g.seq %
 FROM g JOIN isl ON g.claim_key = isl.claim_key AND g.vno = isl.vno JOIN events e ON e.event_id = g.seq""")
 def link_detail(spark, sf_dir):
     led = main_ledger(spark, sf_dir)
-    d = R.link_detail(led.links.where("relation = 'support'"), event_sources(spark, sf_dir))
+    d = R.link_detail(led.direct.where("relation = 'support'"), event_sources(spark, sf_dir))
     return d.select("claim_key", seq_of("version_id").alias("version_seq"), "source_id", "source_ref",
                     F.col("trust_score").cast("double").alias("trust_score"), "excerpt", "status")
 
@@ -307,7 +308,7 @@ FROM isl JOIN b ON b.claim_key = isl.claim_key AND b.vno = isl.vno WHERE next_se
 def exact_provenance(spark, sf_dir):
     led = main_ledger(spark, sf_dir)
     chosen = R.choose_current(visible_main(spark, sf_dir))
-    p = R.exact_provenance(chosen, led.links, event_sources(spark, sf_dir), fx.branches(spark))
+    p = R.exact_provenance(chosen, led.direct, event_sources(spark, sf_dir), fx.branches(spark))
     return p.select("claim_key", seq_of("version_id").alias("version_seq"), "provenance_source_id", "source_ref")
 
 
@@ -317,7 +318,7 @@ FROM isl JOIN g ON g.claim_key = isl.claim_key AND g.vno = isl.vno WHERE next_se
 def support_set(spark, sf_dir):
     led = main_ledger(spark, sf_dir)
     chosen = R.choose_current(visible_main(spark, sf_dir))
-    s = R.support_set(chosen, led.links, event_sources(spark, sf_dir), fx.branches(spark))
+    s = R.support_set(chosen, led.direct, event_sources(spark, sf_dir), fx.branches(spark))
     return s.select("claim_key", seq_of("version_id").alias("version_seq"), "source_ref")
 
 

@@ -12,12 +12,14 @@ from claimweave.operators.ledger import EVENT_SCHEMA, ORD_WIDTH, branch_chains
 from claimweave.plans.session import materialise, ship_package
 
 STATE = "state string"
+_EVENT_NAMES = [f.name for f in EVENT_SCHEMA.fields]
 
 
 def _fold_group(keep_all: bool):
     def run(key, batches, state: GroupState):
         kf = fold.KeyFold(key[0], state.get[0] if state.exists else None, keep_all=keep_all)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("pos")
+        parts = list(batches)
+        rows = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values("pos")
         for r in rows.itertuples(index=False):
             kf.apply({
                 "pos": int(r.pos), "seq": int(r.pos) >> fold.ORD_BITS, "op": "claim", "branch": int(r.branch_id),
@@ -25,12 +27,7 @@ def _fold_group(keep_all: bool):
                 "obj": r.object_value, "nobj": r.normalized_object, "conf": int(r.conf),
                 "vf": None if pd.isna(r.vf) else int(r.vf), "vt": None if pd.isna(r.vt) else int(r.vt), "shared": True, "pinned": False})
         state.update((kf.state(),))
-        out = pd.DataFrame(kf.events, columns=[f.name for f in EVENT_SCHEMA.fields])
-        for name in ("version_id", "branch_id", "source_id", "other_id", "confidence", "pos"):
-            out[name] = out[name].astype("Int64")
-        for name in ("k", "valid_from", "valid_to"):
-            out[name] = out[name].astype("Int32")
-        out["conflict"] = out["conflict"].astype("boolean")
+        out = pd.DataFrame({name: pd.Series(col, dtype=object) for name, col in zip(_EVENT_NAMES, zip(*kf.events))})
         yield out
     return run
 
