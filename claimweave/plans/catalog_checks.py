@@ -378,6 +378,26 @@ def plan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
 
 
+@query("final_action", _PLAN_CTE + """
+, rt AS (SELECT *, CASE WHEN action = 'reject' THEN asked WHEN to_branch OR stale THEN derived WHEN home THEN 'main' ELSE start END AS branch_name,
+  CASE WHEN odd THEN least(trust, 0.25) ELSE trust END AS t,
+  CASE WHEN action = 'reject' THEN 'reject' WHEN to_branch THEN 'branch_hypothetical' WHEN stale AND action = 'commit_now' THEN 'branch_hypothetical'
+       WHEN home AND action = 'branch_hypothetical' THEN 'commit_now' ELSE action END AS a2 FROM ru),
+nd AS (SELECT *, a2 <> 'reject' AND (t < 0.5 OR (branch_name = 'main' AND branch_only)) AS need FROM rt)
+SELECT staged_id, branch_name, CASE WHEN need AND a2 = 'commit_now' THEN 'stage_for_review' ELSE a2 END AS write_action, need AS review_required FROM nd""")
+def final_action(spark, sf_dir):
+    """Routed writes after the review requirements of where they were routed to."""
+    p = plans(spark, sf_dir)
+    routed = RT.route_writes(p, plan_claims(spark, sf_dir), TODAY)
+    known = fx.branches(spark).select(F.col("id").alias("branch_id"), F.col("name").alias("branch_name"))
+    claim = F.struct(F.lit("Alice").alias("subject"), F.lit("lives_in").alias("predicate"), F.lit("Busan").alias("object_value"),
+                     F.lit("0.8").cast("decimal(6,4)").alias("confidence"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    writes = routed.join(known, "branch_name", "left").withColumn("claims", F.array(claim))
+    facts = C.claim_facts(writes, snapshot(spark, sf_dir), Policy())
+    done = RT.final_action(routed, RT.review_requirements(facts, writes, TODAY))
+    return done.select("staged_id", "branch_name", "write_action", "review_required")
+
+
 @query("review_requirements", WITH_STAGED + f"""
 , k AS (SELECT w.staged_id, coalesce(p.other AND on_m AND NOT (p.vf IS NOT NULL AND p.vf >= p.v_from) AND round(CAST(p.trust * p.conf AS DECIMAL(18,8)), 4) < p.score, false) AS clash,
         w.trust < 0.5 AS low, w.on_main AND (w.staged_id % 7 = 0 OR (w.staged_id % 11 <> 0 AND NOT w.empty AND (w.vt IS NOT NULL OR (w.vf IS NOT NULL AND w.vf > DATE '{TODAY}')))) AS leak

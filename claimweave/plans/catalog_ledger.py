@@ -54,7 +54,8 @@ def branch_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def main_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return branch_claims(spark, sf_dir).withColumn("branch_id", F.lit(1).cast("long"))
+    return once(spark, "main-claims", sf_dir, build=lambda: materialise(
+        branch_claims(spark, sf_dir).withColumn("branch_id", F.lit(1).cast("long")), "main-claims"))
 
 
 def main_ledger(spark: SparkSession, sf_dir: str) -> L.Ledger:

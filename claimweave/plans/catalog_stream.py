@@ -8,14 +8,17 @@ from claimweave.operators import ledger as L
 from claimweave.plans import catalog_checks as CC, catalog_ledger as CL, fixtures as fx
 from claimweave.plans.catalog_corpus import scratch
 from claimweave.plans.registry import query
+from claimweave.plans.session import materialise
 from claimweave.streaming import ledger as SL
 
 
 @query("stream_ledger", CL.WITH_RUNS + """
 SELECT claim_key, version_seq, object_value, status, supersedes_seq FROM isl""")
 def stream_ledger(spark, sf_dir):
-    stream = SL.feed(CL.main_claims(spark, sf_dir), "seq", scratch(spark, "claim-feed"))
-    events = SL.run_to_table(SL.stream_events(stream, fx.branches(spark)), scratch(spark, "stream-events"), scratch(spark, "stream-state"))
+    out, state = scratch(spark, "stream-events"), scratch(spark, "stream-state")
+    chains = materialise(L.branch_chains(fx.branches(spark)), "chains")
+    for claims in SL.drops(CL.main_claims(spark, sf_dir), "seq", scratch(spark, "claim-drops")):
+        events = SL.run_to_table(SL.stream_events(claims, chains), out, state)
     return L.versions_table(events).select("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status",
                                            CL.seq_of("supersedes_id").alias("supersedes_seq"))
 
@@ -23,6 +26,7 @@ def stream_ledger(spark, sf_dir):
 @query("stream_checks", CC._RUN_ORACLE + """
 SELECT staged_id, CASE status WHEN 'rejected' THEN 'reject' WHEN 'quarantined' THEN 'quarantine' WHEN 'review_required' THEN 'require_review' ELSE 'auto_apply' END AS decision FROM dec""")
 def stream_checks(spark, sf_dir):
-    stream = SL.feed(CC.staged_writes(spark, sf_dir), "staged_id", scratch(spark, "proposal-feed"), parts=2)
-    done = SL.stream_checks(stream, CC.snapshot(spark, sf_dir), scratch(spark, "stream-decisions"), scratch(spark, "check-state"), today=CC.TODAY)
+    out, state = scratch(spark, "stream-decisions"), scratch(spark, "check-state")
+    for staged in SL.drops(CC.staged_writes(spark, sf_dir), "staged_id", scratch(spark, "proposal-drops"), parts=2):
+        done = SL.stream_checks(staged, CC.snapshot(spark, sf_dir), out, state, today=CC.TODAY)
     return done.select("staged_id", "decision")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimweave.functions.scores import exact
 from claimweave.operators import checks as C, fold
-from claimweave.operators.ledger import EVENT_SCHEMA, ORD_WIDTH, branch_chains
+from claimweave.operators.ledger import EVENT_SCHEMA, ORD_WIDTH
 from claimweave.plans.session import materialise, ship_package
 
 STATE = "state string"
@@ -32,14 +34,13 @@ def _fold_group(keep_all: bool):
     return run
 
 
-def stream_events(claims: DataFrame, branches: DataFrame, *, keep_all: bool = False) -> DataFrame:
-    """Ledger events of a claim stream; state per key is the fold's state between micro-batches.
+def stream_events(claims: DataFrame, chains: DataFrame, *, keep_all: bool = False) -> DataFrame:
+    """Ledger events of a claim stream; ``chains`` is the written ``branch_chains`` table.  State per key is the fold's state between micro-batches.
 
     Claims are applied in the order of arrival, within a micro-batch by commit order.  ``keep_all``
     keeps superseded versions in the state, which only later rollbacks need.
     """
     ship_package(claims.sparkSession)
-    chains = materialise(branch_chains(branches), "chains")
     ops = claims.join(chains, "branch_id").select(
         "claim_key", (F.col("seq") * ORD_WIDTH + F.col("ord")).alias("pos"), F.col("branch_id").cast("long").alias("branch_id"), "chain", "hyp",
         "source_id", exact(F.col("trust_score")).alias("trust"), "object_value", "normalized_object", exact(F.col("confidence")).alias("conf"),
@@ -68,9 +69,13 @@ def stream_checks(staged: DataFrame, snapshot: C.Snapshot, path: str, checkpoint
     return staged.sparkSession.read.parquet(path).drop("epoch")
 
 
-def feed(rows: DataFrame, order: str, path: str, parts: int = 3) -> DataFrame:
-    """Write rows as ``parts`` successive drops and read them as a stream, one drop per micro-batch."""
-    spark: SparkSession = rows.sparkSession
+def drops(rows: DataFrame, order: str, path: str, parts: int = 3) -> Iterator[DataFrame]:
+    """Write rows to ``path`` in ``parts`` successive slices of ``order``; after each, yield the folder as a stream.
+
+    Draining the stream each time with the same checkpoint folder is how a scheduled job picks up
+    what arrived since its last run.
+    """
+    spark = rows.sparkSession
     cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0]
     for i in range(parts):
         part = rows
@@ -78,5 +83,5 @@ def feed(rows: DataFrame, order: str, path: str, parts: int = 3) -> DataFrame:
             part = part.where(F.col(order) > cuts[i - 1])
         if i < parts - 1:
             part = part.where(F.col(order) <= cuts[i])
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(path)
+        yield spark.readStream.schema(rows.schema).parquet(path)
