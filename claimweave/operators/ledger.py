@@ -188,8 +188,10 @@ def key_operations(claims: DataFrame, branches: DataFrame, control: DataFrame |
             .join(later_retracted.withColumn("p2", F.lit(True)), ["claim_key", "seq"], "left")
             .withColumn("pinned", F.coalesce("p1", "p2", F.lit(False)))
         )
+    fits = (F.col("ord") >= 0) & (F.col("ord") < ORD_WIDTH)
+    pos = F.when(fits, F.col("seq") * ORD_WIDTH + F.col("ord")).otherwise(F.raise_error(F.lit("a commit holds at most 2^20 claims; split it")).cast("long"))
     return ops.join(chains, "branch_id").select(
-        "claim_key", (F.col("seq") * ORD_WIDTH + F.col("ord")).alias("pos"), "op", "branch_id", "chain", "hyp",
+        "claim_key", pos.alias("pos"), "op", "branch_id", "chain", "hyp",
         "source_id", "trust", "object_value", "normalized_object", "conf", "vf", "vt", "shared", "pinned", "target",
     )
 
@@ -207,10 +209,19 @@ _OP_COLUMNS = ["claim_key", "chunk", "pos", "op", "branch_id", "chain", "hyp", "
                "normalized_object", "conf", "vf", "vt", "shared", "pinned", "target", "state"]
 
 
+def _values(column: pa.Array) -> list:
+    """Python values of a column; the usual cases (no nulls, only nulls) skip per-value conversion."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if column.null_count == 0:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _operations(batches) -> Iterator[tuple]:
     chains: dict[str, tuple[int, ...]] = {}
     for batch in batches:
-        columns = [batch.column(name).to_pylist() for name in _OP_COLUMNS]
+        columns = [_values(batch.column(name)) for name in _OP_COLUMNS]
         for (key, chunk, pos, op, branch, chain, hyp, source, trust, obj, nobj, conf, vf, vt, shared, pinned,
              target, state) in zip(*columns):
             if chain is not None and chain not in chains:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimweave.functions.scores import exact
@@ -18,34 +19,35 @@ _EVENT_NAMES = [f.name for f in EVENT_SCHEMA.fields]
 
 
 def _fold_group(keep_all: bool):
+    """Per key and micro-batch; one text column in and out keeps the per-group conversion small."""
     def run(key, batches, state: GroupState):
         kf = fold.KeyFold(key[0], state.get[0] if state.exists else None, keep_all=keep_all)
-        parts = list(batches)
-        rows = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values("pos")
-        for r in rows.itertuples(index=False):
-            kf.apply({
-                "pos": int(r.pos), "seq": int(r.pos) >> fold.ORD_BITS, "op": "claim", "branch": int(r.branch_id),
-                "chain": tuple(int(x) for x in r.chain.split(",")), "hyp": bool(r.hyp), "source": int(r.source_id), "trust": int(r.trust),
-                "obj": r.object_value, "nobj": r.normalized_object, "conf": int(r.conf),
-                "vf": None if pd.isna(r.vf) else int(r.vf), "vt": None if pd.isna(r.vt) else int(r.vt), "shared": True, "pinned": False})
+        ops = [json.loads(text) for pdf in batches for text in pdf["op"]]
+        for op in sorted(ops, key=lambda o: o["pos"]):
+            op.update(seq=op["pos"] >> fold.ORD_BITS, op="claim", chain=tuple(int(x) for x in op["chain"].split(",")), shared=True, pinned=False)
+            kf.apply(op)
         state.update((kf.state(),))
-        out = pd.DataFrame({name: pd.Series(col, dtype=object) for name, col in zip(_EVENT_NAMES, zip(*kf.events))})
-        yield out
+        yield pd.DataFrame({"events": [json.dumps([dict(zip(_EVENT_NAMES, e)) for e in kf.events])]})
     return run
 
 
 def stream_events(claims: DataFrame, chains: DataFrame, *, keep_all: bool = False) -> DataFrame:
-    """Ledger events of a claim stream; ``chains`` is the written ``branch_chains`` table.  State per key is the fold's state between micro-batches.
+    """Ledger events of a claim stream; ``chains`` is the written ``branch_chains`` table.  State per key is
+    the fold's state between micro-batches.
 
     Claims are applied in the order of arrival, within a micro-batch by commit order.  ``keep_all``
     keeps superseded versions in the state, which only later rollbacks need.
     """
     ship_package(claims.sparkSession)
-    ops = claims.join(chains, "branch_id").select(
-        "claim_key", (F.col("seq") * ORD_WIDTH + F.col("ord")).alias("pos"), F.col("branch_id").cast("long").alias("branch_id"), "chain", "hyp",
-        "source_id", exact(F.col("trust_score")).alias("trust"), "object_value", "normalized_object", exact(F.col("confidence")).alias("conf"),
+    op = F.struct(
+        (F.col("seq") * ORD_WIDTH + F.col("ord")).alias("pos"), F.col("branch_id").cast("long").alias("branch"), "chain", "hyp",
+        F.col("source_id").alias("source"), exact(F.col("trust_score")).alias("trust"), F.col("object_value").alias("obj"),
+        F.col("normalized_object").alias("nobj"), exact(F.col("confidence")).alias("conf"),
         F.unix_date("valid_from").alias("vf"), F.unix_date("valid_to").alias("vt"))
-    return ops.groupBy("claim_key").applyInPandasWithState(_fold_group(keep_all), EVENT_SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
+    ops = claims.join(chains, "branch_id").select("claim_key", F.to_json(op, {"ignoreNullFields": "false"}).alias("op"))
+    packed = ops.groupBy("claim_key").applyInPandasWithState(
+        _fold_group(keep_all), "events string", STATE, "append", GroupStateTimeout.NoTimeout)
+    return packed.select(F.inline(F.from_json("events", T.ArrayType(EVENT_SCHEMA))))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
