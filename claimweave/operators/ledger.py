@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from claimweave.functions.scores import exact
 from claimweave.operators import fold
-from claimweave.plans.session import materialise, ship_package
+from claimweave.plans.session import lift_recursion_limits, materialise, ship_package
 
 ORD_WIDTH = 1 << fold.ORD_BITS
 
@@ -59,7 +59,7 @@ _ARROW_EVENTS = pa.schema([
 ])
 SUMMARY_SCHEMA = "claim_key string, chunk long, summary string"
 _ARROW_SUMMARY = pa.schema([("claim_key", pa.string()), ("chunk", pa.int64()), ("summary", pa.string())])
-STATE_SCHEMA = "claim_key string, chunk long, state string, settled boolean"
+STATE_SCHEMA = "claim_key string, chunk long, state string, settled boolean, turn long"
 
 
 @dataclass
@@ -70,6 +70,10 @@ class FoldOptions:
     """Operations of one key above which its history is folded in chunks."""
     batch_rows: int = 20_000
     """Event rows per Arrow batch handed back to Spark."""
+    wide_rounds: int = 3
+    """Rounds in which all unsettled chunks of a hot key are run."""
+    window: int = 256
+    """Unsettled chunks per hot key run in each later round."""
 
 
 # ---------------------------------------------------------------------------
@@ -79,6 +83,7 @@ class FoldOptions:
 def branch_ancestry(branches: DataFrame) -> DataFrame:
     """(branch_id, ancestor_id, depth), each branch being its own ancestor at depth 0."""
     spark = branches.sparkSession
+    lift_recursion_limits(spark)
     branches.select("id", "parent_branch_id").createOrReplaceTempView("cw_branches")
     return spark.sql("""
         WITH RECURSIVE up(branch_id, ancestor_id, depth) AS (
@@ -118,6 +123,7 @@ def branch_chains(branches: DataFrame) -> DataFrame:
 def _merge_reach(control: DataFrame) -> DataFrame:
     """(branch_id, merge seq): writes on ``branch_id`` may be read by that merge, directly or through earlier ones."""
     spark = control.sparkSession
+    lift_recursion_limits(spark)
     control.where("op = 'merge'").select("seq", "branch_id", "target").createOrReplaceTempView("cw_merges")
     return spark.sql("""
         WITH RECURSIVE reach(branch_id, seq, via_seq) AS (
@@ -278,9 +284,11 @@ def _chain_states(pdf):
     import pandas as pd
 
     pdf = pdf.sort_values("chunk")
-    key = pdf["claim_key"].iloc[0]
-    rows = [(key, c, s, ok) for c, s, ok in fold.chain(zip(pdf["chunk"].tolist(), pdf["summary"].tolist()))]
-    return pd.DataFrame(rows, columns=["claim_key", "chunk", "state", "settled"])
+    key, turn, rows = pdf["claim_key"].iloc[0], 0, []
+    for chunk, state, settled in fold.chain(zip(pdf["chunk"].tolist(), pdf["summary"].tolist())):
+        rows.append((key, chunk, state, settled, turn))
+        turn += not settled
+    return pd.DataFrame(rows, columns=["claim_key", "chunk", "state", "settled", "turn"])
 
 
 def _ordered_units(ops: DataFrame, states: DataFrame | None) -> DataFrame:
@@ -319,31 +327,29 @@ def _assign_chunks(ops: DataFrame, hot: DataFrame | None) -> DataFrame:
         "lo", "width", "last_chunk")
 
 
-def settle_hot_chunks(ops: DataFrame, hot_keys: DataFrame) -> DataFrame:
+def settle_hot_chunks(ops: DataFrame, hot_keys: DataFrame, options: FoldOptions) -> DataFrame:
     """Start states (claim_key, chunk, state) for the chunks of the hot keys.
 
-    Every round folds the unsettled chunks in parallel from their best known start
-    state, then threads states through the chunk summaries, one small row per chunk.
-    A round settles at least one more chunk per key, and usually all of them: a
-    chunk's effect rarely depends on more than which versions were current before it.
+    Every round folds unsettled chunks in parallel from their best known start state, then
+    threads states through the chunk summaries, one small row per chunk.  A round settles at
+    least one more chunk per key, and usually all of them: what a chunk does rarely depends on
+    more than which versions were current before it.  Where it does, later rounds work on the
+    next ``window`` chunks only, as guesses further ahead would be redone anyway.
     """
     todo = materialise(ops.join(hot_keys, "claim_key", "left_semi"), "hot-ops")
-    summaries, states = None, None
+    unit = ["claim_key", "chunk"]
+    summaries = materialise(_ordered_units(todo, None).mapInArrow(_fold_to_summaries, SUMMARY_SCHEMA), "summaries")
+    rounds = 1
     while True:
-        if states is None:
-            work = _ordered_units(todo, None)
-        else:
-            open_units = states.where(~F.col("settled"))
-            work = _ordered_units(todo.join(open_units.select("claim_key", "chunk"), ["claim_key", "chunk"], "left_semi"),
-                                  open_units)
-        fresh = work.mapInArrow(_fold_to_summaries, SUMMARY_SCHEMA)
-        if summaries is not None:
-            fresh = fresh.unionByName(
-                summaries.join(open_units.select("claim_key", "chunk"), ["claim_key", "chunk"], "left_anti"))
-        summaries = materialise(fresh, "summaries")
         states = materialise(summaries.groupBy("claim_key").applyInPandas(_chain_states, STATE_SCHEMA), "states")
-        if states.where(~F.col("settled")).isEmpty():
-            return states.select("claim_key", "chunk", "state")
+        unsettled = states.where(~F.col("settled"))
+        if unsettled.isEmpty():
+            return states.select(*unit, "state")
+        rounds += 1
+        again = unsettled if rounds <= options.wide_rounds else unsettled.where(F.col("turn") < options.window)
+        work = _ordered_units(todo.join(again.select(*unit), unit, "left_semi"), again)
+        fresh = work.mapInArrow(_fold_to_summaries, SUMMARY_SCHEMA)
+        summaries = materialise(fresh.unionByName(summaries.join(again.select(*unit), unit, "left_anti")), "summaries")
 
 
 def fold_events(claims: DataFrame, branches: DataFrame, control: DataFrame | None = None,
@@ -358,7 +364,7 @@ def fold_events(claims: DataFrame, branches: DataFrame, control: DataFrame | Non
         ops = _assign_chunks(ops, None)
     else:
         ops = materialise(_assign_chunks(ops, hot), "ops")
-        states = settle_hot_chunks(ops, hot.select("claim_key"))
+        states = settle_hot_chunks(ops, hot.select("claim_key"), options)
     return _ordered_units(ops, states).mapInArrow(_fold_to_events(options.batch_rows), EVENT_SCHEMA)
 
 

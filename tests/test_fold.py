@@ -91,7 +91,8 @@ def test_fold_matches_model_whole_and_chunked(spark, seed):
     el = sorted((k, l["v"], l["source"], l["rel"], l["status"], l["seq"]) for k, m in expected.items() for l in m.links)
     c, b, ctl = frames(spark, claims, control)
     for rows in (10_000, 9):
-        got_v, got_l = tables(L.materialise(L.fold_events(c, b, ctl, L.FoldOptions(chunk_rows=rows)), "t"))
+        options = L.FoldOptions(chunk_rows=rows, wide_rounds=seed % 2 + 1, window=2)
+        got_v, got_l = tables(L.materialise(L.fold_events(c, b, ctl, options), "t"))
         assert got_v == ev
         assert got_l == el
 
@@ -99,7 +100,6 @@ def test_fold_matches_model_whole_and_chunked(spark, seed):
 def test_single_object_hot_key_settles_quickly(spark, monkeypatch):
     """One key, one value, every claim its own source: sums differ in every chunk, the rounds must not."""
     rounds = []
-    real = L._chain_states
     monkeypatch.setattr(L, "materialise", lambda df, name, _m=L.materialise: (rounds.append(name), _m(df, name))[1])
     claims = [("k", s, 0, 1, s, 5000, "a" if s % 9 else "b", 9000, None, None) for s in range(1, 400)]
     c, b, _ = frames(spark, claims, [])
@@ -108,4 +108,18 @@ def test_single_object_hot_key_settles_quickly(spark, monkeypatch):
     m = model_of(claims, [])["k"]
     got = {(r.version_id, r.status) for r in L.versions_table(events).collect()}
     assert got == {(v["id"], v["status"]) for v in m.versions}
-    assert real is L._chain_states
+
+
+def test_deep_branch_tree(spark):
+    """A chain of branches deeper than Spark's default recursion limit."""
+    n = 130
+    rows = [(i, "main" if i == 1 else f"b{i}", i - 1 if i > 1 else None, "active") for i in range(1, n + 1)]
+    b = spark.createDataFrame(rows, "id long, name string, parent_branch_id long, status string")
+    deepest = L.branch_chains(b).where(F.col("branch_id") == n).first()
+    assert deepest.chain == ",".join(str(i) for i in range(n, 0, -1)) and deepest.hyp
+
+
+def test_oversized_commit_is_refused(spark):
+    c, b, _ = frames(spark, [("k", 1, W, 1, 1, 5000, "a", 9000, None, None)], [])
+    with pytest.raises(Exception, match="split it"):
+        L.fold_events(c, b).collect()
