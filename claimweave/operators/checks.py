@@ -209,7 +209,9 @@ def register_check(name: str, check: Callable[[CheckInput], DataFrame]) -> None:
 
 def check_input(staged: DataFrame, snapshot: Snapshot, *, today: str, policy: Policy | None = None,
                 recent: int | None = None) -> CheckInput:
+    """Writes still open (neither applied nor rejected) with their facts."""
     policy = policy or Policy()
+    staged = staged.where(~F.col("status").isin("applied", "rejected"))
     return CheckInput(staged, claim_facts(staged, snapshot, policy), snapshot, policy, today, recent)
 
 

@@ -77,6 +77,16 @@ def select_sample(records: DataFrame, key: str, size: int, seed: int = 0) -> Dat
     return records.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size).orderBy(key)
 
 
+def select_records(records: DataFrame, key: str, *, limit: int | None = None, sample_size: int | None = None, sample_seed: int = 0,
+                   start_index: int = 0) -> DataFrame:
+    """A shard or a sample of the corpus, never both."""
+    if sample_size is None:
+        return select_shard(records, key, start_index=start_index, limit=limit)
+    if limit is not None or start_index:
+        raise ValueError("use either a shard (start_index, limit) or a sample, not both")
+    return select_sample(records, key, sample_size, sample_seed)
+
+
 def read_hypotheses(spark: SparkSession, path: str, *, list_file: bool = False) -> DataFrame:
     """Answer or evaluation logs: JSON lines (default), or one JSON list / object."""
     schema = "question_id string, hypothesis string, autoeval_label struct<model:string,label:boolean>"

@@ -63,6 +63,9 @@ def test_empty_logs_and_sample(spark, tmp_path):
     assert S.read_hypotheses(spark, str(path)).count() == 0
     ids = spark.range(100).withColumnRenamed("id", "k")
     a, b = [[r.k for r in S.select_sample(ids, "k", 10, seed).collect()] for seed in (1, 1)]
+    with pytest.raises(ValueError):
+        S.select_records(ids, "k", limit=3, sample_size=2)
+    assert [r.k for r in S.select_records(ids, "k", start_index=98, limit=5).orderBy("k").collect()] == [98, 99]
     assert a == b == sorted(a) and len(a) == 10 and S.select_sample(ids, "k", 500).count() == 100
 
 
