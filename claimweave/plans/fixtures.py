@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimweave.functions.text import canonical_text, claim_key
+from claimweave.plans.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given Parquet tables; those that feed text work use all cores even when they are one small file."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("events", "documents") else df
 
 
 def decimal_step(expr, step: str = "0.05"):

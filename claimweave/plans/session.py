@@ -57,6 +57,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores (a single small file, say) one partition per core.
+
+    Such an input is at most cores * spark.sql.files.maxPartitionBytes large, so the shuffle is
+    bounded; a larger one is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def lift_recursion_limits(spark: SparkSession) -> None:
     """Trees here are acyclic by construction (a parent exists before its child), so depth and size need no cap."""
     spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
