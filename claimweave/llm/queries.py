@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import mixture
+from claimweave.llm import chat, decontaminate, mixture, syncmers
 from claimweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,47 @@ SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least
 @register("op10_mixture", MIX_SQL)
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
+
+
+LEAK_SQL = r"""
+WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM documents),
+iw AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM benchmark),
+ds AS (SELECT id, unnest(list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)])) AS s FROM w WHERE len(words) >= 5),
+isets AS (SELECT id, list_sort(list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)])) AS l FROM iw WHERE len(words) >= 5),
+one AS (SELECT min(id) AS item_id, count(*) AS n_items, l FROM isets GROUP BY l),
+its AS (SELECT item_id, n_items, CAST(len(l) AS BIGINT) AS item_shingles, unnest(l) AS s FROM one)
+SELECT ds.id AS doc_id, item_id, n_items, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
+FROM ds JOIN its USING (s) GROUP BY ds.id, item_id, n_items, item_shingles HAVING count(*) * 100 >= 80 * item_shingles
+"""
+
+
+@register("op1_decontamination", LEAK_SQL)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, role AS speaker,
+    replace(replace(coalesce(text, ''), '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>') AS content, coalesce(text, '') AS raw FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS DISTINCT FROM 'system'),
+r AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker IS NOT DISTINCT FROM perspective THEN 'assistant' ELSE 'user' END AS role
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, CASE WHEN role <> 'assistant' THEN coalesce(speaker, '') END AS name,
+    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || coalesce(speaker, '') ELSE '' END || chr(10) AS head FROM r),
+g AS (SELECT *, head || content || '<|im_end|>' || chr(10) AS segment FROM s),
+o AS (SELECT *, row_number() OVER w AS position, CAST(sum(length(segment)) OVER w AS BIGINT) AS "end" FROM g
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, raw ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, position, role, name, segment, "end" - length(segment) AS start, "end",
+  CASE WHEN role = 'assistant' THEN "end" - length(segment) + length(head) END AS mask_start, CASE WHEN role = 'assistant' THEN "end" - 1 END AS mask_end
+FROM o
+"""
+
+
+@register("op9_chat_rotation", CHAT_SQL)
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotations(table(spark, sf_dir, "conversations"))
+
+
+@register("op7_syncmers")
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
