@@ -7,8 +7,8 @@ the anchors that touch it and unchanged passages keep theirs at the same distanc
 similarity of their sets of anchors.
 
 Words are runs without white space, cut after ``LONGEST`` characters so that a text without blanks has words too.
-Defined results: a text shorter than a window has one anchor over all its words; a text without words has an
-empty fingerprint; two empty fingerprints are alike (1), an empty and another are not (0). Null texts are empty.
+Defined results: in a text shorter than a window every pair of words (or its only word) is an anchor; a text without words
+has an empty fingerprint; two empty fingerprints are alike (1), an empty and another are not (0). Null texts are empty.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from claimweave.llm.common import RUN, ordered_runs, text_of
 
-K, S, LONGEST = 10, 2, 24
+K, S, LONGEST = 6, 2, 24
 _SPAN = K - S + 1
 
 
@@ -47,8 +47,8 @@ def with_anchors(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Adds the array of anchors of ``text``."""
     words, inner = f"{name}__w", f"{name}__h"
     staged = df.withColumn(words, word_list(text)).withColumn(inner, _inner(words))
-    whole = F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.array(F.hash(F.array_join(F.col(words), " "))))
-    return staged.withColumn(name, F.when(F.size(inner) >= _SPAN, _closed(inner)).otherwise(whole)).drop(words, inner)
+    short = F.when(F.size(inner) > 0, F.transform(F.col(inner), lambda h: F.hash(h))).otherwise(F.transform(F.col(words), lambda w: F.hash(w)))
+    return staged.withColumn(name, F.when(F.size(inner) >= _SPAN, _closed(inner)).otherwise(short)).drop(words, inner)
 
 
 def spelled(anchors: str) -> Column:
@@ -67,26 +67,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Next in order of id is the next different document (id, text); rows that repeat both have the same next. The
     last one's is the first, a single document's is itself. Null ids come first.
     """
-    keyed = docs.select("doc_id", text_of().alias("text")).withColumns({"k1": F.xxhash64("text"), "n_chars": F.length("text").cast("long")})
-    slim = keyed.select("doc_id", "k1", "n_chars").distinct()
-    runs = ordered_runs(slim, ["doc_id", "k1"])
-    local = W.partitionBy(RUN).orderBy("doc_id", "k1")
-    here = F.struct("doc_id", "k1", "n_chars")
+    # both joins below move the same four columns by the same key, so the texts are shuffled once
+    keyed = docs.select("doc_id", text_of().alias("text")).withColumns({"k0": F.xxhash64("doc_id"), "k1": F.xxhash64("text")})
+    slim = keyed.select("doc_id", "k0", "k1", F.length("text").cast("long").alias("n_chars")).distinct()
+    runs = ordered_runs(slim, ["doc_id", "k0", "k1"])
+    local = W.partitionBy(RUN).orderBy("doc_id", "k0", "k1")
+    here = F.struct("doc_id", "k0", "k1", "n_chars")
     before = runs.select("*", F.lag(here).over(local).alias("prev"))
     last = runs.groupBy(RUN).agg(F.max(here).alias("last"))
     ends = last.select(RUN, F.coalesce(F.lag("last").over(W.orderBy(RUN)), F.max("last").over(W.partitionBy(F.lit(1)))).alias("carried"))
     linked = before.join(ends.withColumnRenamed(RUN, "__r"), F.col(RUN) == F.col("__r"))
-    linked = linked.select(F.col("doc_id").alias("l_id"), F.col("k1").alias("l_k1"), F.coalesce("prev", "carried").alias("p"))
+    linked = linked.select("k0", "k1", F.coalesce("prev", "carried").alias("p"))
     # what each document gives to the one before it: the head it lends and its own anchors
-    lend = keyed.join(linked, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("k1") == F.col("l_k1")))
     need = F.floor(F.col("p.n_chars") / 4).cast("int")
-    lend = with_anchors(lend, F.col("text"), "next_anchors").select(
-        F.col("p.doc_id").alias("p_id"), F.col("p.k1").alias("p_k1"), F.substring(F.col("text"), F.lit(1), need).alias("head"), "next_anchors")
-    lend = lend.groupBy("p_id", "p_k1").agg(F.first("head").alias("head"), F.first("next_anchors").alias("next_anchors"))
-    met = keyed.join(lend, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("k1") == F.col("p_k1")))
+    lend = with_anchors(keyed.join(linked, ["k0", "k1"]), F.col("text"), "next_anchors").select(
+        F.col("p.k0").alias("k0"), F.col("p.k1").alias("k1"), F.substring(F.col("text"), F.lit(1), need).alias("head"), "next_anchors", F.col("doc_id").alias("next_doc_id"))
+    lend = lend.groupBy("k0", "k1").agg(*[F.first(c).alias(c) for c in ("head", "next_anchors", "next_doc_id")])
+    met = keyed.join(lend, ["k0", "k1"]).withColumn("n_chars", F.length("text").cast("long"))
     stay = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     met = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), stay), F.col("head")))
     met = with_anchors(with_anchors(met, F.col("text"), "anchors"), F.col("edited"), "edited_anchors")
     return met.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled("anchors").alias("fingerprint"), spelled("edited_anchors").alias("edited_fingerprint"),
+        "doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled("anchors").alias("fingerprint"), spelled("edited_anchors").alias("edited_fingerprint"),
         likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"))
