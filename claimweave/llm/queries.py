@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import chat, decontaminate, mixture, syncmers, token_count, token_files
+from claimweave.llm import chat, decontaminate, html_text, mixture, syncmers, token_count, token_files
 from claimweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_token_files")
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
