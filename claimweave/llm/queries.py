@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import chat, decontaminate, html_text, mixture, ngram_join, syncmers, token_count, token_files
+from claimweave.llm import chat, decontaminate, html_text, mixture, ngram_join, syncmers, token_count, token_files, toxicity
 from claimweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ SELECT n.doc_id, n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a
 @register("op5_ngram_join", JACCARD_SQL)
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
