@@ -6,7 +6,7 @@ import numpy as np
 
 from claimweave.llm.shingle_arrays import PLACE, U
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 7, 9)
 BITS = 20
 
 

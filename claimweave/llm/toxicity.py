@@ -26,7 +26,7 @@ from claimweave.llm.labelled import FIT_ROWS, fit_sample, held_out
 
 MODULUS, HELD = 5, 0
 #: Columns of the regression; smoothing of the counts; least texts an n-gram is in; ridge; rounds of descent.
-COLUMNS, SMOOTHING, LEAST_TEXTS, RIDGE, ROUNDS = 20_000, 1.0, 3, 1e-4, 200
+COLUMNS, SMOOTHING, LEAST_TEXTS, RIDGE, ROUNDS = 20_000, 1.0, 3, 3e-5, 300
 THRESHOLD = 0.5
 
 
@@ -114,9 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, modulus: int =
     lists = table.column("at").combine_chunks()
     sizes = np.diff(np.asarray(lists.offsets))
     x_rows, x_cols = np.repeat(np.arange(len(y)), sizes), np.asarray(lists.flatten())
-    # rows of a label stand for all of it
-    weight = np.where(y == 1, n1 / have[1], n0 / have[0])
-    w, b = descend(x_rows, x_cols, scale, y, np.sqrt(weight / weight.min()))
+    # both labels weigh the same, whatever their shares: the threshold then lies midway between them
+    w, b = descend(x_rows, x_cols, scale, y, np.where(y == 1, 1 / y.sum(), 1 / (len(y) - y.sum())))
     weights = np.zeros(1 << BITS)
     weights[columns] = w * scale
     return ToxicityModel(weights, b)
