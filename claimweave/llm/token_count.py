@@ -15,6 +15,8 @@ from claimweave.llm.common import text_of, workers
 from claimweave.llm.transducer import token_counts
 
 LIMIT = 512
+#: Texts that a worker unpacks at once.
+ROWS = 1_000
 
 
 def counter(path: str):
@@ -22,7 +24,8 @@ def counter(path: str):
 
     @F.arrow_udf(LongType())
     def tokens(texts: pa.Array) -> pa.Array:
-        return pa.array(token_counts([t or "" for t in texts.to_pylist()], path), type=pa.int64())
+        some = [token_counts(texts.slice(at, ROWS).to_pylist(), path) for at in range(0, len(texts), ROWS)]
+        return pa.array([n for counts in some for n in counts], type=pa.int64())
 
     return tokens
 

@@ -25,7 +25,7 @@ CHUNK = 512
 #: Code points laid end to end at once; longer texts are cut at a blank after a non-blank, where a pre-token always ends.
 GROUP = 2_000_000
 #: Compiled transitions and remembered pre-tokens, per worker; when full they are forgotten and compiled again.
-MOST_TRANSITIONS, MOST_WORDS = 250_000, 200_000
+MOST_TRANSITIONS, MOST_WORDS = 400_000, 400_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +133,22 @@ class MergeMachine:
         self.forget()
 
     def forget(self) -> None:
-        # a state: the text that may still begin a vocabulary entry; the last tokens and relative counts at its places
+        # a state: the text that may still grow into a vocabulary entry, and for each place in it where one could
+        # have begun the last token up to there and the count relative to now
         first = ("", ((None, 0),))
-        self.numbers, self.states, self.moves = {first: 0}, [first], {}
+        self.numbers, self.states, self.moves, self.shapes = {first: 0}, [first], {}, {}
+
+    def places(self, head: str) -> list[int]:
+        """How far back the places of a head lie."""
+        return [d for d in range(len(head), -1, -1) if head[len(head) - d:] in self.heads]
+
+    def shape(self, head: str, char: str) -> tuple:
+        """What a byte more means whatever the tokens: entries that may end here with the place before them, next head, places kept."""
+        text, old = head + char, self.places(head)
+        ends = tuple((old.index(n - 1), text[len(text) - n:]) for n in range(len(text), 0, -1) if text[len(text) - n:] in self.vocab)
+        keep = next(n for n in range(len(text), -1, -1) if text[len(text) - n:] in self.heads)
+        after = text[len(text) - keep:]
+        return ends, after, tuple(old.index(d - 1) for d in self.places(after) if d)
 
     def adjacent(self, a: str | None, b: str) -> bool:
         """Whether ``a`` and ``b`` are neighbours in the encoding of the two together (alone, if nothing precedes)."""
@@ -149,19 +162,17 @@ class MergeMachine:
 
     def compile(self, state: int, char: str) -> tuple[int, int]:
         head, places = self.states[state]
-        text = head + char
-        for size in range(len(text), 0, -1):
-            token = text[-size:]
-            if token in self.vocab and self.adjacent(places[-size][0], token):
-                emitted = places[-size][1] + 1
+        shape = self.shapes.get((head, char))
+        if shape is None:
+            shape = self.shapes[head, char] = self.shape(head, char)
+        ends, after, kept = shape
+        for at, token in ends:
+            if self.adjacent(places[at][0], token):
+                emitted = places[at][1] + 1
                 break
         else:
             raise ValueError(f"no token ends with {char!r}")
-        keep = next(n for n in range(len(text), -1, -1) if text[len(text) - n:] in self.heads)
-        # a place is remembered only where what follows it may still grow into a vocabulary entry
-        now = (*places, (token, emitted))[-(keep + 1):]
-        now = tuple((p[0], p[1] - emitted) if p and text[len(text) - keep + i:] in self.heads else None for i, p in enumerate(now))
-        target = (text[len(text) - keep:], now)
+        target = after, (*[(places[i][0], places[i][1] - emitted) for i in kept], (token, 0))
         number = self.numbers.setdefault(target, len(self.states))
         if number == len(self.states):
             self.states.append(target)
