@@ -11,8 +11,12 @@ ordered by a hash of their text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType
 
 from claimweave.llm.common import before_run, kept, small, text_of, workers
+from claimweave.llm.transducer import byte_names
 from claimweave.plans.session import scratch_dir
 
 END_ID = 2
@@ -27,88 +32,104 @@ END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS, DICTIONARY_BYTES = 32 << 20, 256 << 10, 5_000, 1 << 20
 #: Remembered words per worker; when full they are forgotten.
 MOST_WORDS = 300_000
+#: Texts that a worker encodes at once.
+ROWS = 500
+SCHEMA = "doc_id bigint, tie bigint, file int, n_tokens bigint, ids array<int>"
 SMALL_FILES = 200_000
 
 
+# White space as the tokenizer's expressions know it; its splitting expression for texts below U+0250, where
+# letters and numbers can be listed.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+_WORDS = re.compile(f"[^{BLANKS}]+")
+_BEYOND = re.compile("[\u0130\u0250-\U0010ffff]")
+
+
 class WordEncoder:
-    """Ids of whole texts through the library, asked once per blank-separated piece.
+    """Ids of whole texts through the library, asked once per piece that it encodes on its own.
 
-    The tokenizer drops white space and normalises and splits each piece on its own, so the ids of a text are those of its
-    pieces in a row. A piece that starts with a combining mark could be joined to what precedes it only by
-    composition, and a blank composes with nothing.
+    The tokenizer drops white space, normalises and then splits by an expression, so the ids of a text are those of its
+    blank-separated words in a row: nothing composes across a blank. Texts that stay below U+0250 are in
+    composed form already and are split further, by the same expression, into words, digits and marks, which
+    repeat more.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and the number of ids of each text (with its end id)."""
-        words, flat, sizes = self.words, [], []
-        if len(words) > MOST_WORDS:
-            words.clear()
-        split = [t.split() for t in texts]
-        new = list({w for s in split for w in s if w not in words})
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            words.update(zip(some, (np.array(e.ids, dtype="<i4").tobytes() for e in self.tokenizer.encode_batch(some, add_special_tokens=False))))
-        close = np.array([end], dtype="<i4").tobytes()
-        for s in split:
-            ids = b"".join([words[w] for w in s]) + close
-            flat.append(ids)
-            sizes.append(len(ids) // 4)
-        return np.frombuffer(b"".join(flat), dtype="<i4"), np.array(sizes, dtype=np.int64)
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model, self.names = self.tokenizer.model, byte_names()
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
+
+    def encode(self, texts: list[str], end: int) -> tuple[bytes, np.ndarray]:
+        """All ids end to end as little-endian integers, and the number of ids of each text (with its end id)."""
+        if len(self.known) > MOST_WORDS:
+            self.known.clear()
+        known, split, pieces, words = self.known, [], set(), set()
+        for text in texts:
+            whole = not text or _BEYOND.search(text) or self.special.search(text)
+            parts = _WORDS.findall(text or "") if whole else _PIECES.findall(text.lower())
+            split.append(parts)
+            (words if whole else pieces).update(w for w in parts if w not in known)
+        words = sorted(words - pieces)
+        for w in pieces:  # normalised and split already: only the merges remain, on the bytes' names
+            named = w if w.isascii() else "".join(map(self.names.__getitem__, w.encode("utf-8")))
+            known[w] = array("i", [t.id for t in self.model.tokenize(named)]).tobytes()
+        for at in range(0, len(words), 1_000):
+            some = words[at:at + 1_000]
+            known.update((w, array("i", e.ids).tobytes()) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+        close = array("i", [end]).tobytes()
+        flat = [b"".join([known[w] for w in s]) + close for s in split]
+        sizes = np.array([len(f) // 4 for f in flat], dtype=np.int64)
+        for w in (*pieces, *words):
+            if len(w) > 64:
+                del known[w]
+        return b"".join(flat), sizes
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _batches(texts: list[str], most: int = 2_000_000):
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield texts[start:i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
-def encoder(path: str, end: int = END_ID):
-    """A column function: the ids of a text column, ``end`` appended, as a list column."""
+def _encoding(path: str, end: int):
+    """Batches of ``doc_id, tie, file, text`` to ``doc_id, tie, file, n_tokens, ids``."""
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         own = _encoders.setdefault(path, WordEncoder(path))
-        parts = [own.encode(some, end) for some in _batches([t or "" for t in texts.to_pylist()])]
-        sizes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
-        values = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32()), pa.array(values, type=pa.int32()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids, sizes = own.encode(part.column(3).to_pylist(), end)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), len(ids) // 4, [None, pa.py_buffer(ids)]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sizes), lists], names=["doc_id", "tie", "file", "n_tokens", "ids"])
 
-    return ids
+    return run
 
 
 @F.arrow_udf(LongType())
 def ids_crc32(ids: pa.Array) -> pa.Array:
     """Unsigned crc32 of each list's ids as little-endian unsigned 32-bit integers."""
-    values, bounds = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
-    return pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])], type=pa.int64())
+    values, bounds = np.asarray(ids.values).astype("<i4", copy=False), np.asarray(ids.offsets)
+    return pa.array([zlib.crc32(values[a:b]) for a, b in zip(bounds, bounds[1:])], type=pa.int64())
 
 
 def write_ids(docs: DataFrame, path: str, target: str, end: int = END_ID) -> None:
     """Writes ``doc_id, file, n_tokens, ids`` to the folder ``target``; ``file`` numbers the files in order of id."""
     keyed = workers(docs).select("doc_id", text_of().alias("text")).withColumn("__tie", F.xxhash64("text"))
     ranged = keyed.repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie")
-    encoded = ranged.select("doc_id", "__tie", F.spark_partition_id().alias("file"), encoder(path, end)("text").alias("ids"))
-    (encoded.select("doc_id", F.col("__tie").alias("tie"), "file", F.size("ids").cast("long").alias("n_tokens"), "ids").write
+    numbered = ranged.select(F.col("doc_id").cast("long").alias("doc_id"), "__tie", F.spark_partition_id().alias("file"), "text")
+    (numbered.mapInArrow(_encoding(path, end), SCHEMA).write
         .option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
         .option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", DICTIONARY_BYTES)
         .option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").parquet(target))
 
 
 def read_ids(spark, target: str) -> DataFrame:
-    return spark.read.schema("doc_id bigint, tie bigint, file int, n_tokens bigint, ids array<int>").parquet(target)
+    return spark.read.schema(SCHEMA).parquet(target)
 
 
 def digests(spark, target: str) -> DataFrame:

@@ -108,11 +108,21 @@ def pretoken_starts(sym: np.ndarray) -> np.ndarray:
     return np.flatnonzero(marks.T.reshape(-1)[: len(sym)])
 
 
+def byte_names() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Bytes printable in Latin-1 stand for themselves, the others follow from 256 on in order.
+    """
+    printable = {b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
 class MergeMachine:
     """Counts the tokens of a pre-token by a transducer over its bytes, compiled as it is used."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
@@ -120,14 +130,7 @@ class MergeMachine:
         self.model = Tokenizer.from_file(path).model
         self.vocab = set(config["model"]["vocab"])
         self.heads = {t[:i] for t in self.vocab for i in range(len(t))}  # what may still grow into an entry
-        one_byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        low = {ord(c): one_byte.pre_tokenize_str(c)[0][0] for c in map(chr, range(128))}
-        # bytes above 127: those printable in Latin-1 stand for themselves, the others follow from 256 on in order
-        printable = {b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
-        spare = iter(range(256, 512))
-        names = {b: chr(b) if b in printable else chr(next(spare)) for b in range(256)}
-        assert all(names[b] == c for b, c in low.items())
-        self.names = [names[b] for b in range(256)]
+        self.names = byte_names()
         self.words: dict[str, int] = {}
         self.fits: dict[tuple, bool] = {}
         self.forget()
