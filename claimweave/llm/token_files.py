@@ -76,7 +76,7 @@ class WordEncoder:
             (words if whole else pieces).update(w for w in parts if w not in known)
         words = sorted(words - pieces)
         for w in pieces:  # normalised and split already: only the merges remain, on the bytes' names
-            named = w if w.isascii() else "".join(map(self.names.__getitem__, w.encode("utf-8")))
+            named = w if w.isascii() and w.isprintable() else "".join(map(self.names.__getitem__, w.encode("utf-8")))
             known[w] = array("i", [t.id for t in self.model.tokenize(named)]).tobytes()
         for at in range(0, len(words), 1_000):
             some = words[at:at + 1_000]
