@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import chat, decontaminate, html_text, mixture, ngram_join, syncmers, token_count, token_files, toxicity
+from claimweave.llm import chat, decontaminate, html_text, mixture, ngram_join, quality, syncmers, token_count, token_files, toxicity
 from claimweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
