@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import LongType
 
 from claimweave.llm import shingle_arrays as A
 from claimweave.llm.common import kept, small, text_of, workers
@@ -88,13 +87,6 @@ def _signatures(width: int, percent: int):
     return deal
 
 
-@F.arrow_udf(LongType())
-def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Entries of the product: elements two ascending lists share."""
-    av, ao, bv, bo = np.asarray(a.values), np.asarray(a.offsets), np.asarray(b.values), np.asarray(b.offsets)
-    return pa.array([len(np.intersect1d(av[ao[i]:ao[i + 1]], bv[bo[i]:bo[i + 1]], assume_unique=True)) for i in range(len(a))], type=pa.int64())
-
-
 def components(links: DataFrame) -> DataFrame:
     """``row, component`` for the rows that ``links`` (``a, b``) connect; a component is named by its smallest row.
 
@@ -147,7 +139,7 @@ class JaccardJoin:
         right = columns.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("ids").alias("ids_b"))
         sizes = (F.col("n_a") * 100 >= F.col("n_b") * p) & (F.col("n_b") * 100 >= F.col("n_a") * p)
         met = pairs.join(right, "b").join(left, "a").where(sizes)
-        shared = met.select("a", "b", "n_a", "n_b", _overlap("ids_a", "ids_b").alias("shared"))
+        shared = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ids_a", "ids_b")).alias("shared"))
         return kept(shared.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * p).select("a", "b"))
 
     def linked(self) -> DataFrame:
