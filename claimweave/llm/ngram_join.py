@@ -149,7 +149,7 @@ class JaccardJoin:
         links = tested = None
         labels = rows.select("row").distinct().withColumn("component", F.col("row"))
         for turn in range(PIVOT_ROUNDS + 1):
-            labelled = rows.join(small(labels, SMALL_ROWS), "row")
+            labelled = rows.join(labels, "row")
             whole = W.partitionBy("block")
             still = kept(labelled.select("*", F.min("component").over(whole).alias("lo"), F.max("component").over(whole).alias("hi")).where("lo < hi").select("block", "row", "component"))
             if still.isEmpty():
@@ -158,8 +158,8 @@ class JaccardJoin:
                 met = still.groupBy("block").agg(F.count("*").alias("m"))
                 standing = still.join(met, "block").groupBy("row").agg(F.sum("m").alias("met"))
                 if tested is not None:  # a row that was pivot where it still meets others has been multiplied with them
-                    standing = standing.join(small(tested, SMALL_ROWS), "row", "left_anti")
-                ranked = still.join(small(standing, SMALL_ROWS), "row")
+                    standing = standing.join(tested, "row", "left_anti")
+                ranked = still.join(standing, "row")
                 pivot = ranked.groupBy("block").agg(F.max(F.struct("met", "row", "component")).alias("p"))
                 pairs = still.join(pivot, "block").where("component <> p.component").select(F.col("p.row").alias("a"), F.col("row").alias("b"))
                 pivots = pivot.select(F.col("p.row").alias("row")).distinct()
@@ -173,14 +173,14 @@ class JaccardJoin:
             if links.isEmpty():
                 continue
             joined = components(links)
-            labels = rows.select("row").distinct().join(small(joined, SMALL_ROWS), "row", "left").select("row", F.coalesce("component", "row").alias("component"))
+            labels = rows.select("row").distinct().join(joined, "row", "left").select("row", F.coalesce("component", "row").alias("component"))
             labels = kept(labels)
         return labels
 
     def grouped(self) -> DataFrame:
         """``doc_id, t, n, component_id, winner``: every document with the smallest id of its group, and which one stays."""
         labels = self.linked().withColumnRenamed("row", "k1")
-        named = self.classes.join(small(labels, SMALL_ROWS), "k1", "left").withColumn("c", F.coalesce("component", "k1"))
+        named = self.classes.join(labels, "k1", "left").withColumn("c", F.coalesce("component", "k1"))
         # classes without links keep to themselves by both keys
         solo = F.when(F.col("component").isNull(), F.col("k2")).otherwise(F.lit(0))
         named = named.withColumn("c2", solo)
