@@ -55,8 +55,9 @@ def normalize_predicate(value: Column) -> Column:
 
 
 def claim_key(subject: Column, predicate: Column) -> Column:
-    """Identity of the belief a claim is about."""
-    return F.concat_ws("::", canonical_text(subject), normalize_predicate(predicate))
+    """Identity of the belief a claim is about; null if its subject or predicate is missing or blank."""
+    parts = F.nullif(canonical_text(subject), F.lit("")), F.nullif(normalize_predicate(predicate), F.lit(""))
+    return F.concat(parts[0], F.lit("::"), parts[1])
 
 
 def parse_month_year(text: Column) -> Column:
@@ -111,12 +112,17 @@ def source_label(ref: Column, excerpt: Column, source_id: Column) -> Column:
     )
 
 
-def safe_branch_name(value: Column) -> Column:
-    """Lower-case letters, digits and single dashes, at most 40 characters; ``main`` if nothing is left."""
+def safe_branch_name(value: Column, cut_only: bool = False) -> Column:
+    """Lower-case letters, digits and single dashes, at most 40 characters; ``main`` if nothing is left.
+
+    A longer name keeps its first 31 characters and eight of its md5, so that names with the same start stay apart;
+    ``cut_only`` keeps the first 40 characters and nothing else.
+    """
     name = F.replace(F.lower(F.trim(value)), F.lit("_"), F.lit("-"))
     name = F.regexp_replace(name, r"[^\p{L}\p{N}-]", "")
     name = F.btrim(F.regexp_replace(name, "-+", "-"), F.lit("-"))
-    name = F.substring(name, 1, 40)
+    short = F.substring(name, 1, 40) if cut_only else F.concat(F.substring(name, 1, 31), F.lit("-"), F.substring(F.md5(name), 1, 8))
+    name = F.when(F.length(name) > 40, short).otherwise(name)
     return F.when(name == "", F.lit("main")).otherwise(F.coalesce(name, F.lit("main")))
 
 

@@ -65,7 +65,13 @@ class CheckInput:
 
 
 def staged_claims(staged: DataFrame) -> DataFrame:
-    """One normalised row per proposed claim; writes without claims keep one empty row (claim_no null)."""
+    """One normalised row per proposed claim; writes without claims keep one empty row (claim_no null).
+
+    ``error`` says what a claim lacks (subject, predicate or object); negation, quote and notes are carried where the
+    proposals have them.
+    """
+    carried = [n for n in ("is_negation", "source_quote", "notes") if n in staged.schema["claims"].dataType.elementType.names]
+    part = {n: F.coalesce(F.trim(F.col(f"claim.{n}")), F.lit("")) == "" for n in ("subject", "predicate", "object_value")}
     c = staged.select("staged_id", F.posexplode_outer("claims").alias("claim_no", "claim"))
     has = F.col("claim").isNotNull()
     return c.select(
@@ -74,7 +80,8 @@ def staged_claims(staged: DataFrame) -> DataFrame:
         strip(F.col("claim.subject")).alias("subject"), normalize_predicate(F.col("claim.predicate")).alias("predicate"),
         strip(F.col("claim.object_value")).alias("object_value"), canonical_text(F.col("claim.object_value")).alias("normalized_object"),
         F.when(has, clamp(F.coalesce(F.col("claim.confidence"), F.lit("0.7").cast("decimal(6,4)")))).cast("decimal(6,4)").alias("confidence"),
-        F.col("claim.valid_from").alias("valid_from"), F.col("claim.valid_to").alias("valid_to"))
+        F.col("claim.valid_from").alias("valid_from"), F.col("claim.valid_to").alias("valid_to"), *[F.col(f"claim.{n}").alias(n) for n in carried],
+        F.when(has & part["subject"], "subject missing").when(has & part["predicate"], "predicate missing").when(has & part["object_value"], "object missing").alias("error"))
 
 
 def branch_only_wording(text: Column, speculative: str = SPECULATIVE) -> tuple[Column, Column]:
@@ -87,7 +94,7 @@ def claim_facts(staged: DataFrame, snapshot: Snapshot, policy: Policy) -> DataFr
     """Per proposed claim: its policy class and how it stands to what its branch currently holds."""
     head = staged.select("staged_id", "branch_id", (F.col("branch_name") == "main").alias("on_main"),
                          clamp(F.col("trust_score")).cast("decimal(6,4)").alias("trust"))
-    claims = staged_claims(staged).where("claim_no IS NOT NULL").join(head, "staged_id")
+    claims = staged_claims(staged).where("claim_no IS NOT NULL AND error IS NULL").join(head, "staged_id")
     claims = claims.withColumn("policy_class", policy.class_of(F.col("predicate")))
     v = snapshot.current.select(
         F.col("viewer_id").alias("branch_id"), "claim_key", F.col("normalized_object").alias("v_object"),

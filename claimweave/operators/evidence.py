@@ -35,51 +35,52 @@ def candidate_lines(sources: DataFrame) -> DataFrame:
     return rows.withColumn("line", squeeze(F.col("raw"))).drop("raw").where((F.col("line") != "") & ~F.col("line").startswith("[Session"))
 
 
-def _dedupe(lines: DataFrame, cap: int, limit: int, order: list[str]) -> DataFrame:
-    """First of equal lines per (question, source), then the first ``cap`` of each question."""
-    keyed = lines.withColumn("evidence", compact(F.col("line"), limit)).withColumn("norm", canonical_text(F.col("evidence")))
+def _dedupe(lines: DataFrame, cap: int | None, limit: int | None, order: list[str]) -> DataFrame:
+    """First of equal whole lines per (question, source), shown in at most ``limit`` characters; the first ``cap`` of each question."""
+    shown = F.col("line") if limit is None else compact(F.col("line"), limit)
+    keyed = lines.withColumn("evidence", shown).withColumn("norm", canonical_text(F.col("line")))
     first = keyed.groupBy("question_id", "source_ref", "norm").agg(F.min(F.struct(*order, "session_date", "evidence")).alias("f"))
     rows = first.select("question_id", "source_ref", *[F.col(f"f.{c}").alias(c) for c in order], "f.session_date", "f.evidence")
-    return first_per_group(rows, ["question_id"], order, cap).drop(*order)
+    return (rows if cap is None else first_per_group(rows, ["question_id"], order, cap)).drop(*order)
 
 
 ORDER = ["place", "line_no"]
 
 
-def evidence_age(lines: DataFrame, cap: int = 20) -> DataFrame:
-    return _dedupe(lines.where(F.col("line").rlike(AGE)), cap, 420, ORDER)
+def evidence_age(lines: DataFrame, cap: int | None = None, limit: int | None = None) -> DataFrame:
+    return _dedupe(lines.where(F.col("line").rlike(AGE)), cap, limit, ORDER)
 
 
-def evidence_money(lines: DataFrame, cap: int = 30) -> DataFrame:
-    return _dedupe(lines.where(F.col("line").rlike(AMOUNT) & F.col("line").rlike(SALE)), cap, 520, ORDER)
+def evidence_money(lines: DataFrame, cap: int | None = None, limit: int | None = None) -> DataFrame:
+    return _dedupe(lines.where(F.col("line").rlike(AMOUNT) & F.col("line").rlike(SALE)), cap, limit, ORDER)
 
 
-def evidence_relative_date(lines: DataFrame, questions: DataFrame, cap: int = 20) -> DataFrame:
+def evidence_relative_date(lines: DataFrame, questions: DataFrame, cap: int | None = None, limit: int | None = None) -> DataFrame:
     q = questions.select("question_id", tokens(F.col("question")).alias("q"),
                          relative_date_targets(F.col("question"), find_date(F.col("question_date"))).alias("targets"))
     x = lines.join(q, "question_id").where(F.array_contains("targets", find_date(F.col("session_date"))))
-    return _dedupe(x.where(F.col("line").rlike(GOT) | (F.size(F.array_intersect("q", tokens(F.col("line")))) > 0)), cap, 420, ORDER)
+    return _dedupe(x.where(F.col("line").rlike(GOT) | (F.size(F.array_intersect("q", tokens(F.col("line")))) > 0)), cap, limit, ORDER)
 
 
-def evidence_temporal(lines: DataFrame, questions: DataFrame, cap: int = 20) -> DataFrame:
+def evidence_temporal(lines: DataFrame, questions: DataFrame, cap: int | None = None, limit: int | None = None) -> DataFrame:
     q = questions.select("question_id", tokens(F.col("question")).alias("q"))
     x = lines.where("session_date IS NOT NULL AND session_date <> ''").join(q, "question_id")
     x = x.withColumn("common", F.array_intersect("q", tokens(F.col("line"))))
     x = x.withColumn("specific", F.size(F.array_except("common", F.array(*[F.lit(t) for t in GENERIC_TIME]))))
     x = x.where(F.col("line").rlike(HAPPENED) & ((F.col("specific") > 0) | (F.size("common") >= 3)))
-    return _dedupe(x.withColumn("rank", -(F.col("specific") * 2 + F.size("common"))), cap, 420, ["rank", *ORDER])
+    return _dedupe(x.withColumn("rank", -(F.col("specific") * 2 + F.size("common"))), cap, limit, ["rank", *ORDER])
 
 
-def evidence_count(lines: DataFrame, questions: DataFrame, cap: int = 20) -> DataFrame:
+def evidence_count(lines: DataFrame, questions: DataFrame, cap: int | None = None, limit: int | None = None) -> DataFrame:
     x = lines.join(questions.select("question_id", F.lower("question").rlike(MUSIC_QUESTION).alias("music")), "question_id")
     line = F.col("line")
     hit = F.when(F.col("music"), line.rlike(MUSIC_GOT) & line.rlike(MUSIC_THING)).otherwise(line.rlike(COUNTED))
-    return _dedupe(x.where(hit), cap, 420, ORDER)
+    return _dedupe(x.where(hit), cap, limit, ORDER)
 
 
-def evidence_preference(lines: DataFrame, questions: DataFrame, cap: int = 20) -> DataFrame:
+def evidence_preference(lines: DataFrame, questions: DataFrame, cap: int | None = None, limit: int | None = None) -> DataFrame:
     asked = questions.where(F.lower("question").rlike(PLACE_QUESTION)).select("question_id")
-    return _dedupe(lines.join(asked, "question_id", "left_semi").where(F.col("line").rlike(PREFERENCE)), cap, 420, ORDER)
+    return _dedupe(lines.join(asked, "question_id", "left_semi").where(F.col("line").rlike(PREFERENCE)), cap, limit, ORDER)
 
 
 def question_families(questions: DataFrame) -> DataFrame:

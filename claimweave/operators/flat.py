@@ -263,7 +263,7 @@ def context_reader(context: DataFrame, questions: DataFrame) -> DataFrame:
     return x.groupBy("question_id").agg(best).select("question_id", "f.row_id", "f.object_value", "f.source_ref")
 
 
-def answer_context(visible: DataFrame, detail: DataFrame, staged: DataFrame, audit: DataFrame, *, timelines: int = 80, proposals: int = 30, events: int = 40) -> DataFrame:
+def answer_context(visible: DataFrame, detail: DataFrame, staged: DataFrame, audit: DataFrame, *, timelines: int | None = None, proposals: int | None = None, events: int | None = None) -> DataFrame:
     """Everything an answerer is shown, as (section, place, payload) rows: current truth whole, the rest newest first."""
     def rows(df: DataFrame, section: str, order: list[Column], limit: int | None, fields: list[str]) -> DataFrame:
         if limit is not None:

@@ -20,11 +20,12 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from claimweave.functions.scores import exact
 from claimweave.operators import fold
-from claimweave.plans.session import lift_recursion_limits, materialise, ship_package
+from claimweave.plans.ordered import numbered
+from claimweave.plans.session import lift_recursion_limits, materialise, ship_package, sized_broadcast
 
 ORD_WIDTH = 1 << fold.ORD_BITS
 
@@ -121,27 +122,34 @@ def branch_chains(branches: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _merge_reach(control: DataFrame) -> DataFrame:
-    """(branch_id, merge seq): writes on ``branch_id`` may be read by that merge, directly or through earlier ones."""
-    spark = control.sparkSession
-    lift_recursion_limits(spark)
-    control.where("op = 'merge'").select("seq", "branch_id", "target").createOrReplaceTempView("cw_merges")
-    return spark.sql("""
-        WITH RECURSIVE reach(branch_id, seq, via_seq) AS (
-          SELECT target, seq, seq FROM cw_merges
-          UNION ALL
-          SELECT m.target, r.seq, m.seq FROM reach r JOIN cw_merges m
-          ON m.branch_id = r.branch_id AND m.seq < r.via_seq)
-        SELECT DISTINCT branch_id, seq FROM reach""")
+    """(branch_id, merge seq): writes on ``branch_id`` may be read by that merge, directly or through earlier ones.
+
+    Per branch and merge only the latest merge through which it is reached counts, since it admits all that earlier ones do.
+    A round follows one merge further, so there are at most as many rounds as branches lie on a way.
+    """
+    merges = materialise(control.where("op = 'merge'").select("seq", F.col("branch_id").cast("long").alias("into"), F.col("target").cast("long").alias("branch_id")), "merges")
+    reach = materialise(merges.select("branch_id", "seq", F.col("seq").alias("via")), "reach")
+    fresh = reach
+    while not fresh.isEmpty():
+        earlier = merges.select("into", F.col("branch_id").alias("from_id"), F.col("seq").alias("at"))
+        step = fresh.join(earlier, (F.col("into") == F.col("branch_id")) & (F.col("at") < F.col("via")))
+        step = step.groupBy(F.col("from_id").alias("branch_id"), "seq").agg(F.max("at").alias("via"))
+        better = step.join(reach.select("branch_id", "seq", F.col("via").alias("had")), ["branch_id", "seq"], "left").where("had IS NULL OR via > had")
+        fresh = materialise(better.select("branch_id", "seq", "via"), "reach-step")
+        reach = materialise(reach.unionByName(fresh).groupBy("branch_id", "seq").agg(F.max("via").alias("via")), "reach")
+    return reach.select("branch_id", "seq")
 
 
 def key_operations(claims: DataFrame, branches: DataFrame, control: DataFrame | None = None) -> DataFrame:
     """The log as one ordered stream per claim key.
 
     A rollback is copied to the keys its target commit wrote, a merge to the keys
-    that have writes on a branch feeding it.  Claims on unknown branches drop out
-    here (see ``unknown_branch_claims``).
+    that have writes on a branch feeding it.  Claims that ``rejected_claims`` lists are
+    left out.  Branches are few, so they are broadcast (after counting them) and the claims
+    are not shuffled by branch.
     """
-    chains = branch_chains(branches)
+    chains = sized_broadcast(branch_chains(branches))
+    claims = claims.where(claim_fault().isNull())
     ops = claims.select(
         "claim_key", "seq", F.col("ord").cast("long").alias("ord"), F.lit("claim").alias("op"),
         F.col("branch_id").cast("long").alias("branch_id"), "source_id",
@@ -159,7 +167,7 @@ def key_operations(claims: DataFrame, branches: DataFrame, control: DataFrame |
         ops = ops.withColumn("shared", F.coalesce("again", F.lit(False))).withColumn("pinned", F.lit(False))
     else:
         reach = _merge_reach(control)
-        merged_from = reach.select("branch_id", F.lit(True).alias("feeds_merge")).distinct()
+        merged_from = sized_broadcast(reach.select("branch_id", F.lit(True).alias("feeds_merge")).distinct())
         ops = (
             ops.join(merged_from, "branch_id", "left")
             .withColumn("shared", F.coalesce("again", "feeds_merge", F.lit(False)))
@@ -202,9 +210,21 @@ def key_operations(claims: DataFrame, branches: DataFrame, control: DataFrame |
     )
 
 
-def unknown_branch_claims(claims: DataFrame, branches: DataFrame) -> DataFrame:
-    """Claims the ledger cannot take: their branch does not exist."""
-    return claims.join(branches.select(F.col("id").alias("branch_id")), "branch_id", "left_anti")
+def claim_fault() -> Column:
+    """Why a claim cannot enter a ledger whatever its branch; null if it can."""
+    def blank(name: str) -> Column:
+        return F.coalesce(F.trim(F.col(name)), F.lit("")) == ""
+
+    return (F.when(blank("claim_key"), "subject or predicate missing").when(blank("object_value"), "object missing")
+            .when(F.col("seq").isNull(), "commit missing"))
+
+
+def rejected_claims(claims: DataFrame, branches: DataFrame) -> DataFrame:
+    """Claims the ledger cannot take, with the reason in ``error``: faulty in themselves, or on a branch that does not exist."""
+    known = sized_broadcast(branches.select(F.col("id").cast("long").alias("branch_id"), F.lit(True).alias("known")))
+    rows = claims.withColumn("branch_id", F.col("branch_id").cast("long")).join(known, "branch_id", "left")
+    error = F.coalesce(claim_fault(), F.when(F.col("known").isNull(), "unknown branch"))
+    return rows.withColumn("error", error).where("error IS NOT NULL").select(*claims.columns, "error")
 
 
 # ---------------------------------------------------------------------------
@@ -304,27 +324,18 @@ def _ordered_units(ops: DataFrame, states: DataFrame | None) -> DataFrame:
     )
 
 
-def hot_key_ranges(claims: DataFrame, chunk_rows: int) -> DataFrame:
-    """Keys with more than ``chunk_rows`` claims, with the position range and width of their chunks.
-
-    One map-side combined count; the result has at most rows / chunk_rows rows.
-    """
-    return (
-        claims.groupBy("claim_key").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
-        .where(F.col("n") > chunk_rows)
-        .select("claim_key", (F.col("first") * ORD_WIDTH).alias("lo"),
-                (F.ceil(F.col("n") / chunk_rows) - 1).alias("last_chunk"),
-                ((F.col("last") + 1 - F.col("first")) * ORD_WIDTH / F.ceil(F.col("n") / chunk_rows)).alias("width"))
-    )
+def hot_keys(ops: DataFrame, chunk_rows: int) -> DataFrame:
+    """Keys with more than ``chunk_rows`` operations of any kind: a map-side combined count, at most rows / chunk_rows rows."""
+    return ops.groupBy("claim_key").agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows).select("claim_key")
 
 
-def _assign_chunks(ops: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _assign_chunks(ops: DataFrame, hot: DataFrame | None, chunk_rows: int) -> DataFrame:
+    """Chunk number of every operation: hot keys are cut every ``chunk_rows`` operations, however their positions bunch."""
     if hot is None:
         return ops.withColumn("chunk", F.lit(0).cast("long"))
-    place = F.floor((F.col("pos") - F.col("lo")) / F.col("width")).cast("long")
-    chunk = F.greatest(F.lit(0).cast("long"), F.least(F.col("last_chunk").cast("long"), place))
-    return ops.join(hot, "claim_key", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0).cast("long"))).drop(
-        "lo", "width", "last_chunk")
+    cold = ops.join(hot, "claim_key", "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    ranked = numbered(ops.join(hot, "claim_key", "left_semi"), ["claim_key"], ["pos"], "rank")
+    return cold.unionByName(ranked.withColumn("chunk", F.floor((F.col("rank") - 1) / chunk_rows).cast("long")).drop("rank"))
 
 
 def settle_hot_chunks(ops: DataFrame, hot_keys: DataFrame, options: FoldOptions) -> DataFrame:
@@ -358,13 +369,13 @@ def fold_events(claims: DataFrame, branches: DataFrame, control: DataFrame | Non
     options = options or FoldOptions()
     ship_package(claims.sparkSession)
     ops = key_operations(claims, branches, control)
-    hot = materialise(hot_key_ranges(claims, options.chunk_rows), "hot-keys")
+    hot = materialise(hot_keys(ops, options.chunk_rows), "hot-keys")
     states = None
     if hot.isEmpty():
-        ops = _assign_chunks(ops, None)
+        ops = _assign_chunks(ops, None, options.chunk_rows)
     else:
-        ops = materialise(_assign_chunks(ops, hot), "ops")
-        states = settle_hot_chunks(ops, hot.select("claim_key"), options)
+        ops = materialise(_assign_chunks(ops, hot, options.chunk_rows), "ops")
+        states = settle_hot_chunks(ops, hot, options)
     return _ordered_units(ops, states).mapInArrow(_fold_to_events(options.batch_rows), EVENT_SCHEMA)
 
 
@@ -476,6 +487,8 @@ class Ledger:
     """Edges added one by one (``direct_links``)."""
     inherited: DataFrame
     """Inherited opposition as sums (``inherited_totals``)."""
+    rejected: DataFrame | None = None
+    """Claims that could not enter, with the reason (``rejected_claims``)."""
 
     @cached_property
     def links(self) -> DataFrame:
@@ -488,4 +501,4 @@ def build_ledger(claims: DataFrame, branches: DataFrame, control: DataFrame | No
     """Fold once, write the events, and derive the tables from the written events."""
     events = materialise(fold_events(claims, branches, control, options), "events")
     return Ledger(events, materialise(versions_table(events), "versions"), materialise(direct_links(events), "direct-links"),
-                  materialise(inherited_totals(events), "inherited"))
+                  materialise(inherited_totals(events), "inherited"), materialise(rejected_claims(claims, branches), "rejected"))

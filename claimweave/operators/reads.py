@@ -12,6 +12,7 @@ from claimweave.functions.scores import as_score, exact, scaled_score, windows_o
 from claimweave.functions.text import canonical_text
 from claimweave.operators.ledger import branch_ancestry
 from claimweave.plans.ordered import numbered, with_previous
+from claimweave.plans.session import sized_broadcast
 
 KEY = ["claim_key", "version_id"]
 CURRENT = ("active", "hypothetical")
@@ -102,7 +103,7 @@ def current_versions(versions: DataFrame, branches: DataFrame, branch_ids: DataF
     up = branch_ancestry(branches)
     if branch_ids is not None:
         up = up.join(branch_ids, "branch_id", "left_semi")
-    seen = up.withColumnRenamed("branch_id", "viewer_id")
+    seen = sized_broadcast(up.withColumnRenamed("branch_id", "viewer_id"))  # versions are not shuffled by their few branches
     rows = versions.where(is_current()).join(seen, F.col("branch_id") == F.col("ancestor_id")).drop("ancestor_id")
     nearest = rows.groupBy("viewer_id", "claim_key").agg(F.min("depth").alias("depth"))
     return rows.join(nearest, ["viewer_id", "claim_key", "depth"])
@@ -200,7 +201,7 @@ def lineage_pairs(versions: DataFrame) -> DataFrame:
 # -- selections --------------------------------------------------------------
 
 def search_versions(detail: DataFrame, query: str, *, branch_id: int | None = None, include_inactive: bool = False,
-                    limit: int | None = 25) -> DataFrame:
+                    limit: int | None = None) -> DataFrame:
     """Case-insensitive substring search over subject, predicate and object, newest first."""
     needle = F.lit(query.lower())
     fields = ("subject", "predicate", "object_value", "normalized_object")
@@ -245,7 +246,7 @@ def _ancestral_support(chosen: DataFrame, links: DataFrame, branches: DataFrame)
     """Active support edges of the chosen versions whose commit branch the viewer descends from."""
     live = links.where("status = 'active' AND relation = 'support'").select(
         *KEY, F.col("source_id").alias("support_source_id"), "commit_branch_id", "link_pos")
-    up = branch_ancestry(branches).select(F.col("branch_id").alias("viewer_id"), F.col("ancestor_id").alias("commit_branch_id"))
+    up = sized_broadcast(branch_ancestry(branches).select(F.col("branch_id").alias("viewer_id"), F.col("ancestor_id").alias("commit_branch_id")))
     return chosen.select("viewer_id", *KEY).join(live, KEY).join(up, ["viewer_id", "commit_branch_id"])
 
 
@@ -293,7 +294,7 @@ def backfill_links(versions: DataFrame) -> DataFrame:
         F.when(F.col("status") == "retracted", "removed").otherwise("active").alias("status"), "commit_seq")
 
 
-def context_union(retrieved: DataFrame, current: DataFrame, limit: int = 30) -> DataFrame:
+def context_union(retrieved: DataFrame, current: DataFrame, limit: int | None = None) -> DataFrame:
     """Per question: retrieved versions, then current ones, first occurrence kept, first ``limit``.
 
     Inputs carry (question_id, place, claim_key, version_id); each side is already a top-k list.
@@ -301,7 +302,8 @@ def context_union(retrieved: DataFrame, current: DataFrame, limit: int = 30) ->
     both = retrieved.withColumn("part", F.lit(0)).unionByName(current.withColumn("part", F.lit(1)))
     first = both.groupBy("question_id", *KEY).agg(F.min(F.struct("part", "place")).alias("at"))
     place = F.row_number().over(W.partitionBy("question_id").orderBy("at", *KEY))
-    return first.withColumn("position", place).where(F.col("position") <= limit).drop("at")
+    placed = first.withColumn("position", place).drop("at")
+    return placed if limit is None else placed.where(F.col("position") <= limit)
 
 
 def memory_snapshot(versions: DataFrame, commits: DataFrame, branches: DataFrame, beliefs: DataFrame,
@@ -319,11 +321,6 @@ def memory_snapshot(versions: DataFrame, commits: DataFrame, branches: DataFrame
     return out
 
 
-def latest_rows(versions: DataFrame, limit: int = 80) -> DataFrame:
-    """The newest versions, as a dashboard shows them."""
-    return versions.orderBy(F.col("version_id").desc(), "claim_key").limit(limit)
-
-
 # -- log tables ----------------------------------------------------------------
 
 def belief_identity(claims: DataFrame) -> DataFrame:
@@ -360,13 +357,14 @@ def audit_log(events: DataFrame, commits: DataFrame, beliefs: DataFrame) -> Data
     return fold_rows.unionByName(made).unionByName(new_belief)
 
 
-def audit_filter(audit: DataFrame, limit: int = 100, *, entity_type: str | None = None, entity_id: int | None = None,
+def audit_filter(audit: DataFrame, limit: int | None = None, *, entity_type: str | None = None, entity_id: int | None = None,
                  entity_key: str | None = None) -> DataFrame:
     """Newest audit rows, optionally for one kind, id or key."""
     for name, value in (("entity_type", entity_type), ("entity_id", entity_id), ("entity_key", entity_key)):
         if value is not None:
             audit = audit.where(F.col(name) == value)
-    return audit.orderBy(F.col("seq").desc(), "event_type", "entity_id", "entity_key").limit(limit)
+    rows = audit.orderBy(F.col("seq").desc(), "event_type", "entity_id", "entity_key")
+    return rows if limit is None else rows.limit(limit)
 
 
 def commit_history(commits: DataFrame, versions: DataFrame | None = None, *, seq: int | None = None,

@@ -263,17 +263,17 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query("evidence_age", _capped("i IN (0, 1)", 20))
 def evidence_age(spark, sf_dir):
-    return _shown(E.evidence_age(memory_lines(spark, sf_dir)))
+    return _shown(E.evidence_age(memory_lines(spark, sf_dir), cap=20))
 
 
 @query("evidence_money", _capped("i IN (2, 3)", 30))
 def evidence_money(spark, sf_dir):
-    return _shown(E.evidence_money(memory_lines(spark, sf_dir)))
+    return _shown(E.evidence_money(memory_lines(spark, sf_dir), cap=30))
 
 
 @query("evidence_relative_date", _capped("question_id % 6 = 2 AND day = target AND (regexp_matches(lower(line), '(bought|downloaded|completed|started)') OR len(list_intersect(" + sql_tokens("question") + ", " + sql_tokens("line") + ")) > 0)", 20))
 def evidence_relative_date(spark, sf_dir):
-    return _shown(E.evidence_relative_date(memory_lines(spark, sf_dir), family_questions(spark, sf_dir)))
+    return _shown(E.evidence_relative_date(memory_lines(spark, sf_dir), family_questions(spark, sf_dir), cap=20))
 
 
 _COMMON = "list_intersect(" + sql_tokens("question") + ", " + sql_tokens("line") + ")"
@@ -286,17 +286,17 @@ _SPECIFIC = f"list_filter({_COMMON}, lambda c: NOT list_contains({_GENERIC}, c))
 dd AS (SELECT *, row_number() OVER (PARTITION BY question_id, source_ref, i ORDER BY rk, place, line_no) AS dn FROM sc)
 SELECT question_id, source_ref, line AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rk, place, line_no) AS rn FROM dd WHERE dn = 1) WHERE rn <= 20""")
 def evidence_temporal(spark, sf_dir):
-    return _shown(E.evidence_temporal(memory_lines(spark, sf_dir), family_questions(spark, sf_dir)))
+    return _shown(E.evidence_temporal(memory_lines(spark, sf_dir), family_questions(spark, sf_dir), cap=20))
 
 
 @query("evidence_count", _capped("CASE WHEN question_id % 6 = 4 THEN i IN (4, 5) ELSE i IN (4, 5, 6, 10) END", 20))
 def evidence_count(spark, sf_dir):
-    return _shown(E.evidence_count(memory_lines(spark, sf_dir), family_questions(spark, sf_dir)))
+    return _shown(E.evidence_count(memory_lines(spark, sf_dir), family_questions(spark, sf_dir), cap=20))
 
 
 @query("evidence_preference", _capped("question_id % 6 = 5 AND i IN (7, 9)", 20))
 def evidence_preference(spark, sf_dir):
-    return _shown(E.evidence_preference(memory_lines(spark, sf_dir), family_questions(spark, sf_dir)))
+    return _shown(E.evidence_preference(memory_lines(spark, sf_dir), family_questions(spark, sf_dir), cap=20))
 
 
 @query("question_families", """
@@ -336,7 +336,7 @@ def focus_excerpt(spark, sf_dir):
 def focus_session(spark, sf_dir):
     s = S.session_texts(corpus_turns(spark, sf_dir)).join(corpus(spark, sf_dir).select("question_id", "question"), "question_id")
     header = F.concat(F.lit("[Session "), F.col("session_index").cast("string"), F.lit(" | "), F.coalesce("session_date", F.lit("unknown")), F.lit("]"))
-    return s.select("question_id", "session_index", RV.focus_session(F.col("turns"), header, F.col("question"), 800).alias("excerpt"))
+    return s.select("question_id", "session_index", RV.focus_session(F.col("turns"), header, F.col("question"), 800, lines=10).alias("excerpt"))
 
 
 @query("retrieve_versions", CL.WITH_RUNS + """
@@ -352,7 +352,7 @@ def retrieve_versions(spark, sf_dir):
         F.concat(F.lit("so User_"), (F.col("o_custkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " why").otherwise("")).alias("question"))
     led = CL.main_ledger(spark, sf_dir)
     d = R.version_detail(led.versions, CL.beliefs(spark, sf_dir), CL.event_sources(spark, sf_dir), fx.branches(spark))
-    found = RV.retrieve_versions(q, d, led.versions.where(R.is_current()))
+    found = RV.retrieve_versions(q, d, led.versions.where(R.is_current()), per_term=10, limit=8)
     return found.select("question_id", "claim_key", CL.seq_of("version_id").alias("version_seq"))
 
 

@@ -115,12 +115,24 @@ def seq_of(column: str):
 
 # -- the fold -------------------------------------------------------------------
 
-@query("apply_claims", WITH_RUNS + """
+_APPLIED = WITH_RUNS + """
 SELECT claim_key, version_seq, object_value, status, supersedes_seq, confidence, valid_from,
-       CASE WHEN supersedes_seq IS NULL THEN 'add' ELSE 'supersede' END AS action FROM isl""")
+       CASE WHEN supersedes_seq IS NULL THEN 'add' ELSE 'supersede' END AS action FROM isl"""
+
+
+@query("apply_claims_chunked", _APPLIED)
+def apply_claims_chunked(spark, sf_dir):
+    """The same history with its larger keys folded in chunks, in parallel."""
+    return _applied(L.fold_events(main_claims(spark, sf_dir), fx.branches(spark), options=L.FoldOptions(chunk_rows=10)))
+
+
+@query("apply_claims", _APPLIED)
 def apply_claims(spark, sf_dir):
     """The whole fold in one plan: log, reducer, final version table."""
-    events = L.fold_events(main_claims(spark, sf_dir), fx.branches(spark))
+    return _applied(L.fold_events(main_claims(spark, sf_dir), fx.branches(spark)))
+
+
+def _applied(events: DataFrame) -> DataFrame:
     return L.versions_table(events).select(
         "claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status",
         seq_of("supersedes_id").alias("supersedes_seq"), "confidence", "valid_from", "action")
@@ -177,6 +189,19 @@ def merge_branch(spark, sf_dir):
                                "object_value", "status")
 
 
+@query("rejected_claims", """
+SELECT event_id AS seq, CASE WHEN event_id % 5 = 1 THEN 'subject or predicate missing' WHEN event_id % 5 = 2 THEN 'object missing' ELSE 'unknown branch' END AS error
+FROM events WHERE event_id % 5 IN (1, 2, 3)""")
+def rejected_claims(spark, sf_dir):
+    """Claims without a predicate, without an object, or on a branch that does not exist, beside good ones."""
+    seq = F.col("seq")
+    claims = main_claims(spark, sf_dir)
+    broken = claims.withColumns({
+        "claim_key": F.when(seq % 5 != 1, F.col("claim_key")), "object_value": F.when(seq % 5 == 2, F.lit(" ")).otherwise(F.col("object_value")),
+        "branch_id": F.when(seq % 5 == 3, F.lit(99)).otherwise(F.lit(1)).cast("long")})
+    return L.rejected_claims(broken, fx.branches(spark)).select("seq", "error")
+
+
 @query("create_branch", """
 WITH b AS (SELECT min(event_id) AS seq, user_id FROM events GROUP BY user_id)
 SELECT concat('user-', user_id) AS name, 'main' AS parent_name, seq AS created_seq FROM b
@@ -429,7 +454,7 @@ ORDER BY version_seq DESC LIMIT 25""")
 def search_versions(spark, sf_dir):
     led = main_ledger(spark, sf_dir)
     d = R.version_detail(led.versions, beliefs(spark, sf_dir), event_sources(spark, sf_dir), fx.branches(spark))
-    found = R.search_versions(d, "USER_1", include_inactive=True)
+    found = R.search_versions(d, "USER_1", include_inactive=True, limit=25)
     return found.select("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status")
 
 

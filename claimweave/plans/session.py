@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,8 +35,9 @@ def local_session(cpus: int | str = "*", *, shuffle_partitions: int = 8, memory:
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for materialised intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    local runs) a temporary folder is made, once per session.
+    A cluster names it in ``spark.checkpoint.dir``; only in a local session where that is unset a
+    temporary folder is made, once per session.  On a cluster a machine's own folder would be read back
+    incomplete, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,6 +45,8 @@ def scratch_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -58,13 +61,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer partitions than cores (a single small file, say) one partition per core.
+    """Give a scan of one partition (a single small file that cannot be split) one partition per core.
 
-    Such an input is at most cores * spark.sql.files.maxPartitionBytes large, so the shuffle is
-    bounded; a larger one is left alone.
+    Such an input is at most spark.sql.files.maxPartitionBytes large; any other is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() == 1 else df
+
+
+def sized_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which are counted; unchanged (shuffled) beyond."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def lift_recursion_limits(spark: SparkSession) -> None:

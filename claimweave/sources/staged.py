@@ -13,5 +13,6 @@ def parse_claims(staged: DataFrame, column: str = "claims_json") -> DataFrame:
     parsed = F.from_json(column, CLAIM_ARRAY)
     claims = F.transform(parsed, lambda c: F.struct(
         c["subject"].alias("subject"), c["predicate"].alias("predicate"), F.coalesce(c["object_value"], c["object"]).alias("object_value"),
-        c["confidence"].alias("confidence"), c["valid_from"].alias("valid_from"), c["valid_to"].alias("valid_to")))
+        c["confidence"].alias("confidence"), c["valid_from"].alias("valid_from"), c["valid_to"].alias("valid_to"),
+        c["is_negation"].alias("is_negation"), c["source_quote"].alias("source_quote"), c["notes"].alias("notes")))
     return staged.withColumn("claims", claims).drop(column)
