@@ -24,6 +24,13 @@ COUNTED = (r"(?i)\b(downloaded|purchased|bought|buying|acquired|ordered|cancelle
 PLACE_QUESTION = r"\b(hotel|restaurant|trip|travel|stay|visit|venue|place|activity)\b"
 PREFERENCE = (r"(?i)\b(prefer|like|love|want|need|looking for|interested in|stick with|sounds amazing|great view|views?|skyline|ocean|rooftop|"
               r"pool|hot tub|balcony|fireplace|breakfast|package|perk|unique|dietary|near|close to)\b")
+AGE_QUESTION = r"\b(age|old|older|younger|born|birthday)\b"
+COUNT_QUESTION = r"\b(how many|count|number of)\b"
+PREFERENCE_QUESTION = r"\b(suggest|recommend|recommendation|where should|what should)\b"
+DURATION_QUESTION = (
+    r"\b(days?|weeks?|months?|years?)\b.*\b(passed|between|elapsed|after|before)\b|\bbetween\b.*\b(days?|weeks?|months?|years?)\b"
+    r"|\bhow many\s+(days?|weeks?|months?|years?)\b.*\b(when|until|since|by the time)\b"
+    r"|\b(days?|weeks?|months?|years?)\b.*\b(have i been|had i been|when i|when did|ago)\b")
 GENERIC_TIME = ("many", "much", "day", "days", "week", "weeks", "month", "months", "year", "years", "been", "when", "between", "passed", "elapsed",
                 "after", "before", "have", "had")
 
@@ -87,14 +94,11 @@ def question_families(questions: DataFrame) -> DataFrame:
     """Which evidence jobs a question calls for: one main family, plus preference."""
     low = F.lower("question")
     dated = F.size(relative_date_targets(F.col("question"), find_date(F.col("question_date")))) > 0
-    duration = (r"\b(days?|weeks?|months?|years?)\b.*\b(passed|between|elapsed|after|before)\b|\bbetween\b.*\b(days?|weeks?|months?|years?)\b"
-                r"|\bhow many\s+(days?|weeks?|months?|years?)\b.*\b(when|until|since|by the time)\b"
-                r"|\b(days?|weeks?|months?|years?)\b.*\b(have i been|had i been|when i|when did|ago)\b")
     family = (
-        F.when(low.rlike(r"\b(age|old|older|younger|born|birthday)\b"), "age").when(is_money_total(F.col("question")), "money")
-        .when(dated, "relative_date").when(low.rlike(duration), "temporal").when(low.rlike(r"\b(how many|count|number of)\b"), "count"))
+        F.when(low.rlike(AGE_QUESTION), "age").when(is_money_total(F.col("question")), "money")
+        .when(dated, "relative_date").when(low.rlike(DURATION_QUESTION), "temporal").when(low.rlike(COUNT_QUESTION), "count"))
     return questions.select("question_id", family.alias("family"),
-                            low.rlike(r"\b(suggest|recommend|recommendation|where should|what should)\b").alias("preference"))
+                            low.rlike(PREFERENCE_QUESTION).alias("preference"))
 
 
 # -- reductions over evidence candidates ------------------------------------------------

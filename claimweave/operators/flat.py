@@ -161,38 +161,6 @@ def _fill(top: DataFrame, docs: DataFrame, questions: DataFrame, k: int) -> Data
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def _block_topk(d: DataFrame, q: DataFrame, k: int, block: int) -> DataFrame | None:
-    """Top-k of each open question over all documents, one bounded block of questions at a time."""
-    spark = d.sparkSession
-    ship_package(spark)
-    packed = materialise(q.groupBy("question_id").agg(F.collect_list(F.struct("term", "w")).alias("v")), "open-vectors")
-    per_doc = d.groupBy("fact_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
-    remaining, out = packed, None
-    while True:
-        rows = remaining.orderBy("question_id").limit(block).collect()  # at most ``block`` questions
-        if not rows:
-            return out
-        queries = spark.sparkContext.broadcast({r.question_id: {t.term: t.w for t in r.v} for r in rows})
-
-        def best_of_partition(batches, queries=queries):
-            heaps: dict = {}
-            for pdf in batches:
-                weights = [dict(zip(t, w)) for t, w in zip(pdf["terms"], pdf["weights"])]
-                ids = pdf["fact_id"].to_numpy()
-                for qid, qv in queries.value.items():
-                    s = np.round([sum(x * dv[t] for t, x in qv.items() if t in dv) for dv in weights], SCORE_DIGITS)
-                    pool = heaps.get(qid, []) + list(zip(s.tolist(), ids.tolist()))
-                    heaps[qid] = sorted(pool, key=lambda x: (-x[0], x[1]))[:k]
-            rows = [(qid, f, s) for qid, heap in heaps.items() for s, f in heap]
-            yield pd.DataFrame(rows, columns=["question_id", "fact_id", "score"])
-
-        part = per_doc.mapInPandas(best_of_partition, "question_id long, fact_id long, score double")
-        part = materialise(first_per_group(part, ["question_id"], [F.col("score").desc(), "fact_id"], k), "block-topk")
-        out = part if out is None else out.unionByName(part)
-        last = rows[-1].question_id
-        remaining = packed.where(F.col("question_id") > last)
-
-
 def tfidf_answer(facts: DataFrame, questions: DataFrame, topk: DataFrame) -> DataFrame:
     """Same-key facts among the top-k, else all of the key; best by (valid_from, trust * confidence, id)."""
     q = questions.select("question_id", "subject", "predicate")

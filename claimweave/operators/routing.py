@@ -15,8 +15,24 @@ BRANCH_WORDS = r"\b(branch|workspace|scenario|hypothetical|what-if|what if|trip-
 FICTION = r"\b(fiction|fictional|story|novel|game|roleplay|role-play|fantasy|worldbuilding|imaginary)\b"
 PLACE_PREDICATE = r"(live|lives|resid|stay|stays|location|located|address|city|country|move|moved|base|work_from|visit)"
 FICTIONAL_PLACES = ("atlantis", "narnia", "hogwarts", "mordor", "middle earth", "neverland", "wakanda", "gotham", "metropolis", "asgard")
-
-_WORD = "[a-z][a-z0-9-]{2,40}"
+RELOCATION = r"\b(?:in\s+)?(?:the\s+)?([a-z][a-z0-9-]{2,40})\s+relocation\s+scenario\b"
+FELLOWSHIP = r"\b([a-z][a-z0-9-]{2,40})\s+fellowship\b"
+SCENARIO = r"\b(?:in\s+)?(?:the\s+)?([a-z][a-z0-9-]{2,40}(?:\s+[a-z][a-z0-9-]{2,40}){0,2})\s+scenario\b"
+# Names given by words in the text, in this order.
+NAMES_BY_WORDS = (
+    (("fellowship", "kyoto"), "kyoto-fellowship"),
+    (("fellowship",), "fellowship-plan"),
+    (("relocation",), "relocation-scenario"),
+    (("remote work",), "remote-work-plan"),
+    (("conference",), "conference-week"),
+    (("trip",), "trip-plan"),
+    (("itinerary",), "trip-plan"),
+    (("travel",), "trip-plan"),
+    (("what if",), "hypothetical"),
+    (("hypothetical",), "hypothetical"),
+    (("counterfactual",), "hypothetical"),
+)
+OTHER_NAME = "branch-hypothesis"
 
 
 def branch_only_flag(excerpt: Column, any_valid_to: Column, any_future: Column) -> Column:
@@ -33,22 +49,8 @@ def derive_branch_name(excerpt: Column) -> Column:
         found = F.regexp_extract(low, pattern, 1)
         return F.when(low.rlike(pattern), safe_branch_name(F.concat(found, F.lit(suffix))))
 
-    def has(*words: str) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | F.contains(low, F.lit(w))
-        return out
-
-    lead = r"\b(?:in\s+)?(?:the\s+)?"
-    return F.coalesce(
-        named(lead + f"({_WORD})" + r"\s+relocation\s+scenario\b", "-relocation"),
-        named(rf"\b({_WORD})\s+fellowship\b", "-fellowship"),
-        named(lead + rf"({_WORD}(?:\s+{_WORD}){{0,2}})\s+scenario\b", "-scenario"),
-        F.when(has("fellowship") & has("kyoto"), "kyoto-fellowship")
-        .when(has("fellowship"), "fellowship-plan").when(has("relocation"), "relocation-scenario")
-        .when(has("remote work"), "remote-work-plan").when(has("conference"), "conference-week")
-        .when(has("trip", "itinerary", "travel"), "trip-plan")
-        .when(has("what if", "hypothetical", "counterfactual"), "hypothetical").otherwise("branch-hypothesis"))
+    by_words = [F.when(F.forall(F.array(*[F.contains(low, F.lit(w)) for w in words]), lambda x: x), F.lit(name)) for words, name in NAMES_BY_WORDS]
+    return F.coalesce(named(RELOCATION, "-relocation"), named(FELLOWSHIP, "-fellowship"), named(SCENARIO, "-scenario"), *by_words, F.lit(OTHER_NAME))
 
 
 def explicit_branch_reference(excerpt: Column) -> Column:
