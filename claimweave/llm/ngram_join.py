@@ -6,11 +6,13 @@ that reach the similarity agree entirely in at least one non-empty block. Only r
 multiplied, and their overlap counts decide; a pair whose sizes or whose overlap so far rules the
 similarity out is dropped. Nothing is lost: the blocks are a filter without false negatives.
 
-Rows that meet in a block are not multiplied pair by pair. Of each block's rows the one that meets most
-others is the pivot; each is multiplied with the pivot, and what proves similar is joined in one component. In blocks whose
-rows are still in several components the next pivots follow, and at last all pairs of rows of different components
-are multiplied, so a large group of near copies costs its size, not its square, and no link between
-components is missed. Equal sets are one row of the matrix.
+Rows that meet in a block are not multiplied pair by pair. Of each block's rows the one that meets most others is the
+pivot, and each row is multiplied with its pivots only. What a row and a pivot do not share, their difference, is
+small among near copies, and two rows' distance follows from their differences to the same pivot. So the
+rows around a pivot are joined on the first elements of their differences (what the pivot lacks first), as many as the size bound
+asks for, with bounds on the places at which two similar rows can first meet; what is left is multiplied whole. A
+large group of near copies, similar to each other or not, costs about its size, not its square, and no link
+between components is missed. Equal sets are one row of the matrix.
 
 Words are blank-separated (ASCII blanks), ``A-Z`` in lower case; a document's set has its distinct ``width``-word
 shingles (64-bit hashes); with fewer words, the whole sequence as one.
@@ -26,14 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from claimweave.llm import shingle_arrays as A
 from claimweave.llm.common import kept, small, text_of, workers
 
 #: Sets a worker remembers as dealt already; when full they are forgotten (and dealt again, harmlessly).
 MOST_SEEN = 200_000
-PIVOT_ROUNDS = 3
 #: Rows of class or component tables that are broadcast; larger ones are shuffled.
 SMALL_ROWS = 400_000
 
@@ -132,50 +133,52 @@ class JaccardJoin:
         texts = self.docs.join(small(picks, SMALL_ROWS), (F.col("t") == F.col("p_t")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
         return kept(texts.dropDuplicates(["row", "k2"]).select("row", "k2", "n", _arrays(self.width)("text").alias("ids")))
 
+    def most_apart(self, n: Column, m: Column) -> Column:
+        """The largest symmetric difference of similar sets of sizes ``n`` and ``m``."""
+        return n + m - F.ceil((n + m) * self.percent / (100 + self.percent)) * 2
+
     def multiply(self, pairs: DataFrame, columns: DataFrame) -> DataFrame:
         """The pairs (``a, b``) whose rows are similar."""
         p = self.percent
         left = columns.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("ids").alias("ids_a"))
         right = columns.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("ids").alias("ids_b"))
-        sizes = (F.col("n_a") * 100 >= F.col("n_b") * p) & (F.col("n_b") * 100 >= F.col("n_a") * p)
-        met = pairs.join(right, "b").join(left, "a").where(sizes)
+        met = pairs.join(right, "b").join(left, "a")
         shared = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ids_a", "ids_b")).alias("shared"))
-        return kept(shared.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * p).select("a", "b"))
+        return shared.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * p).select("a", "b")
+
+    def differences(self, rows: DataFrame, columns: DataFrame) -> DataFrame:
+        """``pivot, row, n, apart, near, first``: each row against the pivots of its blocks.
+
+        ``near``: they are linked. ``first``: the leading elements of their difference at which a link to another row around the
+        pivot can first show, elements that the pivot lacks before those that the row lacks, each by hash.
+        """
+        met = rows.groupBy("block").agg(F.count("*").alias("m"))
+        standing = rows.join(met, "block").groupBy("row").agg(F.sum("m").alias("met"))
+        pivot = rows.join(standing, "row").groupBy("block").agg(F.max(F.struct("met", "row")).alias("p"))
+        pairs = rows.join(pivot, "block").where("row <> p.row").select(F.col("p.row").alias("pivot"), "row").distinct()
+        own = columns.select("row", "n", "ids")
+        other = columns.select(F.col("row").alias("pivot"), F.col("n").alias("n_p"), F.col("ids").alias("ids_p"))
+        both = pairs.join(own, "row").join(other, "pivot")
+        both = both.select("pivot", "row", "n", "n_p", F.concat(F.array_except("ids", "ids_p"), F.array_except("ids_p", "ids")).alias("d"))
+        near = F.size("d") <= self.most_apart(F.col("n"), F.col("n_p"))
+        # a row near the pivot looks for rows that are not: they meet in the first half of its difference, or a little
+        # later for the rows' unequal sizes
+        places = F.when(near, F.floor(F.size("d") * 100 / (100 + self.percent)) + 2).otherwise(F.floor(F.col("n") * (100 - self.percent) / self.percent) + 1)
+        return kept(both.select("pivot", "row", "n", F.size("d").alias("apart"), near.alias("near"), F.slice("d", F.lit(1), places.cast("int")).alias("first")))
 
     def linked(self) -> DataFrame:
         """``row, component`` of the rows that have links."""
         rows = self.block_rows()
         columns = self.columns_of(rows)
-        links = tested = None
-        labels = rows.select("row").distinct().withColumn("component", F.col("row"))
-        for turn in range(PIVOT_ROUNDS + 1):
-            labelled = rows.join(labels, "row")
-            whole = W.partitionBy("block")
-            still = kept(labelled.select("*", F.min("component").over(whole).alias("lo"), F.max("component").over(whole).alias("hi")).where("lo < hi").select("block", "row", "component"))
-            if still.isEmpty():
-                break
-            if turn < PIVOT_ROUNDS:
-                met = still.groupBy("block").agg(F.count("*").alias("m"))
-                standing = still.join(met, "block").groupBy("row").agg(F.sum("m").alias("met"))
-                if tested is not None:  # a row that was pivot where it still meets others has been multiplied with them
-                    standing = standing.join(tested, "row", "left_anti")
-                ranked = still.join(standing, "row")
-                pivot = ranked.groupBy("block").agg(F.max(F.struct("met", "row", "component")).alias("p"))
-                pairs = still.join(pivot, "block").where("component <> p.component").select(F.col("p.row").alias("a"), F.col("row").alias("b"))
-                pivots = pivot.select(F.col("p.row").alias("row")).distinct()
-                tested = kept(pivots if tested is None else tested.union(pivots).distinct())
-            else:
-                other = still.select("block", F.col("row").alias("b"), F.col("component").alias("of_b"))
-                pairs = still.withColumnRenamed("row", "a").join(other, "block").where("component < of_b").select("a", "b")
-            ordered = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a").groupBy("x", "y").agg(F.min("a").alias("a"))
-            found = self.multiply(ordered.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), columns)
-            links = found if links is None else kept(links.union(found))
-            if links.isEmpty():
-                continue
-            joined = components(links)
-            labels = rows.select("row").distinct().join(joined, "row", "left").select("row", F.coalesce("component", "row").alias("component"))
-            labels = kept(labels)
-        return labels
+        around = self.differences(rows, columns)
+        spread = around.select("pivot", "row", "n", "apart", "near", F.posexplode("first").alias("place", "id"))
+        one, two = (spread.select("pivot", "id", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "apart", "near", "place")]) for x in "ab")
+        limit = self.most_apart(F.col("n_a"), F.col("n_b"))
+        possible = ((F.col("place_a") * 2 <= F.col("apart_a") - F.col("apart_b") + limit) & (F.col("place_b") * 2 <= F.col("apart_b") - F.col("apart_a") + limit))
+        meet = one.join(two, ["pivot", "id"]).where((F.col("row_a") < F.col("row_b")) & ~(F.col("near_a") & F.col("near_b")) & possible)
+        others = self.multiply(meet.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct(), columns)
+        links = around.where("near").select(F.col("pivot").alias("a"), F.col("row").alias("b")).union(others)
+        return components(links)
 
     def grouped(self) -> DataFrame:
         """``doc_id, t, n, component_id, winner``: every document with the smallest id of its group, and which one stays."""
