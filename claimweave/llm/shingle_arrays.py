@@ -12,7 +12,7 @@ import math
 import numpy as np
 
 U = np.uint64
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from claimweave.llm import shingle_arrays as A
-from claimweave.llm.char_grams import BITS, distinct, grams
+from claimweave.llm.char_grams import BITS, in_groups
 from claimweave.llm.common import text_of, workers
 from claimweave.llm.labelled import FIT_ROWS, fit_sample, held_out
 
@@ -35,8 +34,7 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts = np.zeros((2, 1 << BITS), dtype=np.int64)
     for batch in batches:
         texts, labels = batch.column(0).to_pylist(), np.asarray(batch.column(1))
-        for a, b in A.groups(texts):
-            buckets, owners = distinct(*grams(texts[a:b]))
+        for a, b, buckets, owners in in_groups(texts):
             for label in (0, 1):
                 counts[label] += np.bincount(buckets[labels[a:b][owners] == label], minlength=1 << BITS)
     there = np.flatnonzero(counts.any(axis=0))
@@ -51,10 +49,7 @@ def _rows_of(columns: np.ndarray):
         number[columns] = np.arange(len(columns))
         for batch in batches:
             texts, labels = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in A.groups(texts):
-                buckets, owners = grams(texts[a:b])
-                use = number[buckets] >= 0
-                buckets, owners = distinct(buckets[use], owners[use])
+            for a, b, buckets, owners in in_groups(texts, number >= 0):
                 bounds = np.searchsorted(owners, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([labels.slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(number[buckets]))], names=["label", "at"])
 
@@ -85,10 +80,7 @@ class ToxicityModel:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = [np.zeros(0)]
-        for a, b in A.groups(texts):
-            buckets, owners = grams(texts[a:b])
-            use = self.weights[buckets] != 0
-            buckets, owners = distinct(buckets[use], owners[use])
+        for a, b, buckets, owners in in_groups(texts, self.weights != 0):
             out.append(np.bincount(owners, weights=self.weights[buckets], minlength=b - a))
         return 1 / (1 + np.exp(-np.clip(np.concatenate(out) + self.intercept, -500, 500)))
 
