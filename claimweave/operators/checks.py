@@ -113,9 +113,9 @@ def claim_facts(staged: DataFrame, snapshot: Snapshot, policy: Policy) -> DataFr
     def n(condition: Column) -> Column:
         return F.count(F.when(condition, 1))
 
-    keys = ["staged_id", "claim_no", "claim_key", "subject", "predicate", "object_value", "normalized_object", "confidence",
-            "valid_from", "valid_to", "on_main", "trust", "policy_class"]
-    return pairs.groupBy(*keys).agg(
+    told = ["claim_key", "subject", "predicate", "object_value", "normalized_object", "confidence", "valid_from", "valid_to", "on_main", "trust", "policy_class"]
+    return pairs.groupBy("staged_id", "claim_no").agg(
+        *[F.any_value(c).alias(c) for c in told],
         n(same & near).alias("same_near"), n(other).alias("other_near"),
         n(other & ~newer_or_same & (claimed < F.col("score_units"))).alias("stronger_near"),
         n(other & ~newer).alias("unordered_near"), n(same & weak_support).alias("weak_same"),
@@ -282,7 +282,8 @@ def ci_decision(staged: DataFrame, results: DataFrame, check_order: tuple[str, .
 def run_checks(x: CheckInput) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(updated staged writes, decisions, check rows)."""
     from dataclasses import replace
-    x = replace(x, facts=materialise(x.facts, "claim-facts"))
+    # ten checks read the writes and the facts: both are written once, so texts are parsed and matched once
+    x = replace(x, staged=materialise(x.staged, "open-writes"), facts=materialise(x.facts, "claim-facts"))
     results = materialise(check_results(x), "check-results")
     decisions = ci_decision(x.staged, results, x.policy.checks)
     status = (

@@ -337,24 +337,61 @@ def commit_log(claims: DataFrame, control: DataFrame | None = None) -> DataFrame
     return latest_commit(commits)
 
 
-def audit_log(events: DataFrame, commits: DataFrame, beliefs: DataFrame) -> DataFrame:
-    """One audit row per change, derived from the fold's events and the log."""
+AUDIT = "seq long, event_type string, entity_type string, entity_id long, entity_key string, n long"
+# Audit events of the review steps, by the action or status that leads to them.
+REVIEW_EVENTS = {
+    "staged": "staged_commit.created",
+    "checks_started": "memory_ci.started",
+    "checks_completed": "memory_ci.completed",
+    "quarantined": "staged_commit.quarantined",
+    "review_required": "staged_commit.review_required",
+    "released": "staged_commit.quarantine_released",
+    "override_approved": "staged_commit.quarantine_override_approved",
+    "approval_recorded": "staged_commit.approval_recorded",
+    "approved": "staged_commit.approved",
+    "rejected": "staged_commit.rejected",
+}
+
+
+def audit_log(events: DataFrame, commits: DataFrame, beliefs: DataFrame, *, sources: DataFrame | None = None, branches: DataFrame | None = None,
+              control: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:
+    """Audit rows of every change: ``seq, event_type, entity_type, entity_id, entity_key, n``.
+
+    From the fold's events (``n`` edges where a version took over the supporters of one it opposes, else 1), the log of commits,
+    first-seen beliefs, and where given: sources (``seq, source_id``), branches (``created_seq, id, name``), control operations,
+    and review steps (``seq, staged_id, step``; ``REVIEW_EVENTS``).
+    """
     kind = (
         F.when(F.col("kind") == "version", "belief_version.created")
-        .when(F.col("kind") == "edge", F.concat(F.lit("belief_source."), "relation", F.lit("_added")))
-        .when((F.col("kind") == "status") & (F.col("reason") == "retracted"), "belief_version.retracted")
-        .when((F.col("kind") == "status") & F.col("reason").isin("rolled_back", "support_rolled_back"), "belief_version.rolled_back")
-        .when((F.col("kind") == "status") & (F.col("reason") == "restored"), "belief_version.restored")
-    )
-    fold_rows = events.withColumn("event_type", kind).where("event_type IS NOT NULL").select(
-        F.shiftright("pos", 20).alias("seq"), "event_type", F.lit("belief_version").alias("entity_type"),
-        F.col("version_id").alias("entity_id"), F.col("claim_key").alias("entity_key"))
-    made = commits.select("seq", F.lit("commit.created").alias("event_type"), F.lit("commit").alias("entity_type"),
-                          F.col("seq").alias("entity_id"), F.lit(None).cast("string").alias("entity_key"))
-    new_belief = beliefs.select(F.col("first_seq").alias("seq"), F.lit("belief.created").alias("event_type"),
-                                F.lit("belief").alias("entity_type"), F.lit(None).cast("long").alias("entity_id"),
-                                F.col("claim_key").alias("entity_key"))
-    return fold_rows.unionByName(made).unionByName(new_belief)
+        .when(F.col("kind").isin("edge", "inherit"), F.concat(F.lit("belief_source."), "relation", F.lit("_added")))
+        .when((F.col("kind") == "status") & (F.col("reason") == "retracted"), "belief_version.retracted"))
+    parts = [events.withColumn("event_type", kind).where("event_type IS NOT NULL").select(
+        F.shiftright("pos", 20).alias("seq"), "event_type", F.lit("belief_version").alias("entity_type"), F.col("version_id").alias("entity_id"),
+        F.col("claim_key").alias("entity_key"), F.when(F.col("kind") == "inherit", F.col("n")).otherwise(1).cast("long").alias("n"))]
+
+    def add(rows: DataFrame, seq: str, event_type, entity_type: str, entity_id, entity_key=None) -> None:
+        event_type = F.lit(event_type) if isinstance(event_type, str) else event_type
+        key = F.lit(None) if entity_key is None else F.col(entity_key)
+        ident = F.lit(None) if entity_id is None else F.col(entity_id)
+        parts.append(rows.select(F.col(seq).cast("long").alias("seq"), event_type.alias("event_type"), F.lit(entity_type).alias("entity_type"),
+                                 ident.cast("long").alias("entity_id"), key.cast("string").alias("entity_key"), F.lit(1).cast("long").alias("n")))
+
+    add(commits, "seq", "commit.created", "commit", "seq")
+    add(beliefs, "first_seq", "belief.created", "belief", None, "claim_key")
+    if sources is not None:
+        add(sources, "seq", "source.created", "source", "source_id")
+    if branches is not None:
+        add(branches, "created_seq", "branch.created", "branch", "id", "name")
+    if control is not None:
+        add(control.where("op = 'rollback'"), "seq", "commit.rolled_back", "commit", "target")
+        add(control.where("op = 'merge'"), "seq", "branch.merged", "branch", "target")
+    if reviews is not None:
+        event = F.coalesce(*[F.when(F.col("step") == step, name) for step, name in REVIEW_EVENTS.items()])
+        add(reviews.where(F.col("step").isin(*REVIEW_EVENTS)), "seq", event, "staged_commit", "staged_id")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def audit_filter(audit: DataFrame, limit: int | None = None, *, entity_type: str | None = None, entity_id: int | None = None,

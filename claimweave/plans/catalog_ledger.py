@@ -238,17 +238,34 @@ def belief_identity(spark, sf_dir):
     return beliefs(spark, sf_dir)
 
 
-@query("audit_log", WITH_RUNS + """
-, a AS (SELECT 'belief_version.created' AS event_type, count(*) AS n FROM isl
-  UNION ALL SELECT 'belief_source.support_added', count(*) FROM c
-  UNION ALL SELECT 'commit.created', count(*) FROM c
-  UNION ALL SELECT 'belief.created', count(DISTINCT claim_key) FROM c
-  UNION ALL SELECT 'belief_source.opposition_added', count(*) FROM isl WHERE next_seq IS NOT NULL)
-SELECT event_type, n FROM a""")
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that happened in the rollback ledger, sources, branches and control operations included."""
+    claims, control = main_claims(spark, sf_dir), rollbacks(spark, sf_dir)
+    commits = claims.select("seq").distinct().unionByName(control.select("seq"))
+    sources = claims.groupBy("source_id").agg(F.min("seq").alias("seq"))
+    made = fx.branches(spark).select("id", "name", F.lit(0).cast("long").alias("created_seq"))
+    return R.audit_log(rollback_ledger(spark, sf_dir).events, commits, beliefs(spark, sf_dir), sources=sources, branches=made, control=control)
+
+
+_AUDIT_SQL = WITH_RUNS + f"""
+, a AS (SELECT version_seq AS seq, 'belief_version.created' AS event_type, claim_key AS entity_key, CAST(NULL AS BIGINT) AS entity_id, CAST(1 AS BIGINT) AS n FROM isl
+  UNION ALL SELECT seq, 'belief_source.support_added', claim_key, NULL, 1 FROM c
+  UNION ALL SELECT next_seq, 'belief_source.opposition_added', claim_key, NULL, 1 FROM isl WHERE next_seq IS NOT NULL
+  UNION ALL SELECT version_seq, 'belief_source.opposition_added', claim_key, NULL, prev_support FROM isl WHERE prev_support IS NOT NULL
+  UNION ALL SELECT seq, 'commit.created', NULL, seq, 1 FROM c
+  UNION ALL SELECT version_seq + {LATER}, 'commit.created', NULL, version_seq + {LATER}, 1 FROM isl WHERE next_seq IS NULL
+  UNION ALL SELECT version_seq + {LATER}, 'commit.rolled_back', NULL, version_seq, 1 FROM isl WHERE next_seq IS NULL
+  UNION ALL SELECT min(seq), 'belief.created', claim_key, NULL, 1 FROM c GROUP BY claim_key
+  UNION ALL SELECT seq, 'source.created', NULL, seq, 1 FROM c
+  UNION ALL SELECT 0, 'branch.created', name, id, 1 FROM (VALUES (1, 'main'), (2, 'trial'), (3, 'trial-child')) AS t(id, name))"""
+
+
+@query("audit_log", _AUDIT_SQL + """
+SELECT seq, event_type, entity_key, entity_id, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY seq, event_type, entity_key, entity_id""")
 def audit_log(spark, sf_dir):
-    led = main_ledger(spark, sf_dir)
-    commits = main_claims(spark, sf_dir).select("seq").distinct()
-    return R.audit_log(led.events, commits, beliefs(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Rows of every change, rollbacks included; versions are told by key and commit."""
+    rows = _audit(spark, sf_dir)
+    return rows.groupBy("seq", "event_type", "entity_key", F.when(F.col("entity_type") != "belief_version", F.col("entity_id")).alias("entity_id")).agg(F.sum("n").alias("n"))
 
 
 # -- reads ------------------------------------------------------------------------
