@@ -81,9 +81,10 @@ def _signatures(width: int, percent: int):
                     if key not in seen:
                         seen.add(key)
                         new[i] = True
-                signatures, owner = A.block_signatures(hashes, bounds, percent)
+                signatures, owner, need = A.block_signatures(hashes, bounds, percent)
                 use = new[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(signatures[use], type=pa.int64()), pa.array(k1[owner[use]], type=pa.int64())], names=["block", "row"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signatures[use], type=pa.int64()), pa.array(k1[owner[use]], type=pa.int64()), pa.array(need[use].astype(np.int32))], names=["block", "row", "need"])
 
     return deal
 
@@ -120,11 +121,15 @@ class JaccardJoin:
         self.classes = kept(classes)
 
     def block_rows(self) -> DataFrame:
-        """``block, row`` of the blocks in which different rows meet."""
-        dealt = self.docs.select("text").mapInArrow(_signatures(self.width, self.percent), "block bigint, row bigint")
+        """``block, row`` of the blocks in which different rows meet, of rows that meet others in as many as a link needs."""
+        dealt = self.docs.select("text").mapInArrow(_signatures(self.width, self.percent), "block bigint, row bigint, need int")
         whole = W.partitionBy("block")
         met = dealt.select("*", F.min("row").over(whole).alias("lo"), F.max("row").over(whole).alias("hi")).where("lo < hi")
-        return kept(met.select("block", "row").distinct())
+        met = kept(met.select("block", "row", "need").distinct())
+        enough = met.groupBy("row", "need").agg(F.count("*").alias("m")).where(F.col("m") >= F.shiftright("need", 1)).select("row", "need")
+        able = met.join(enough, ["row", "need"]).select("block", "row")
+        whole = W.partitionBy("block")
+        return kept(able.select("*", F.min("row").over(whole).alias("lo"), F.max("row").over(whole).alias("hi")).where("lo < hi").select("block", "row"))
 
     def columns_of(self, rows: DataFrame) -> DataFrame:
         """``row, k2, n, ids``: the incidence of the given rows, one document standing for each class."""
@@ -172,6 +177,9 @@ class JaccardJoin:
         columns = self.columns_of(rows)
         around = self.differences(rows, columns)
         spread = around.select("pivot", "row", "n", "apart", "near", F.posexplode("first").alias("place", "id"))
+        whole = W.partitionBy("pivot", "id")
+        spread = spread.select("*", F.min("row").over(whole).alias("lo"), F.max("row").over(whole).alias("hi")).where("lo < hi").drop("lo", "hi")
+        spread = kept(spread)
         one, two = (spread.select("pivot", "id", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "apart", "near", "place")]) for x in "ab")
         limit = self.most_apart(F.col("n_a"), F.col("n_b"))
         possible = ((F.col("place_a") * 2 <= F.col("apart_a") - F.col("apart_b") + limit) & (F.col("place_b") * 2 <= F.col("apart_b") - F.col("apart_a") + limit))

@@ -113,16 +113,18 @@ def _tail(mean: float, k: int) -> float:
     return max(0.0, 1 - total)
 
 
-def block_signatures(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the blocks of all sets and the number of the set each belongs to.
+def block_signatures(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the blocks of all sets, the number of the set each belongs to, and how many it needs.
 
-    A set deals its elements in its own size class and, as a possible larger partner, in the class below.
+    A set deals its elements in its own size class and, as a possible larger partner, in the class below. Similar sets
+    agree in as many blocks of a class as the slack and one, of which no more are empty in both than are empty in either; so a set
+    needs at least the rest met by others to be similar to any. The class is told by the lowest bit of that number.
     """
     table = np.array([c for c in size_classes(percent)], dtype=np.int64)
     sizes = np.diff(bounds)
     own = np.searchsorted(table[:, 1], sizes)
     found = []
-    for cls, joins in ((own, sizes > 0), (own - 1, (own > 0) & (sizes <= table[own - 1, 1] * 100 // percent))):
+    for role, cls, joins in ((0, own, sizes > 0), (1, own - 1, (own > 0) & (sizes <= table[own - 1, 1] * 100 // percent))):
         k = np.where(joins, table[cls, 2], 0)
         sets = np.flatnonzero(k > 0)
         if not len(sets):
@@ -139,10 +141,11 @@ def block_signatures(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tu
         keep = filled | (empty > table[cls[sets], 3])[owner]
         place = np.arange(base[-1]) - base[:-1][owner]
         label = mix(cls[sets].astype(U))[owner] + mix(place.astype(U) + U(77))
-        found.append((mix(content + label)[keep].view(np.int64), sets[owner[keep]]))
+        need = np.maximum(table[cls[sets], 3] + 1 - empty, 1) * 2 + role
+        found.append((mix(content + label)[keep].view(np.int64), sets[owner[keep]], need[owner[keep]]))
     if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
 def groups(texts: list[str], most: int = GROUP_BYTES):
