@@ -76,8 +76,10 @@ def test_blocks_miss_no_link(percent, width):
             b[int(rnd.integers(0, len(b)))] = str(rnd.integers(0, 10**6))
         x, y = shingles(" ".join(a), width), shingles(" ".join(b), width)
         if x != y and 100 * len(x & y) >= percent * len(x | y):
-            signatures, owner = shingle_arrays.block_signatures(*shingle_arrays.shingle_sets([" ".join(a), " ".join(b)], width), percent)
-            assert set(signatures[owner == 0]) & set(signatures[owner == 1])
+            signatures, owner, need = shingle_arrays.block_signatures(*shingle_arrays.shingle_sets([" ".join(a), " ".join(b)], width), percent)
+            both = set(signatures[owner == 0]) & set(signatures[owner == 1])
+            shared = [[n for s, n in zip(signatures[owner == i], need[owner == i]) if s in both] for i in (0, 1)]
+            assert all(any(kinds.count(n) >= n >> 1 for n in kinds) for kinds in shared)
             met += 1
     assert met > 50
 
