@@ -60,12 +60,17 @@ def descend(x_rows: np.ndarray, x_cols: np.ndarray, scale: np.ndarray, y: np.nda
     """Weights and intercept of the logistic regression on binary features times ``scale``: accelerated gradient descent."""
     n, total = len(scale), weight.sum()
     w, b, w_at, b_at, t = np.zeros(n), 0.0, np.zeros(n), 0.0, 1.0
-    norm = np.bincount(x_rows, weights=scale[x_cols] ** 2, minlength=len(y)) + 1
+    parts = [slice(at, at + 1_000_000) for at in range(0, len(x_rows), 1_000_000)]  # bounds the temporary arrays
+    norm = sum((np.bincount(x_rows[at], weights=scale[x_cols[at]] ** 2, minlength=len(y)) for at in parts), np.ones(len(y)))
     step = 4.0 / (np.average(norm, weights=weight) + 4 * ridge)
     for _ in range(rounds):
-        z = np.bincount(x_rows, weights=(w_at * scale)[x_cols], minlength=len(y)) + b_at
+        u, z = w_at * scale, np.full(len(y), b_at)
+        for at in parts:
+            z += np.bincount(x_rows[at], weights=u[x_cols[at]], minlength=len(y))
         wrong = weight * (1 / (1 + np.exp(-z)) - y) / total
-        gradient = np.bincount(x_cols, weights=wrong[x_rows], minlength=n) * scale + ridge * w_at
+        gradient = ridge * w_at
+        for at in parts:
+            gradient += np.bincount(x_cols[at], weights=wrong[x_rows[at]], minlength=n) * scale
         w_new, b_new, t_new = w_at - step * gradient, b_at - step * wrong.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         w_at, b_at = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = w_new, b_new, t_new
@@ -105,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, modulus: int =
     y = table.column("label").combine_chunks().to_numpy(zero_copy_only=False).astype(float)
     lists = table.column("at").combine_chunks()
     sizes = np.diff(np.asarray(lists.offsets))
-    x_rows, x_cols = np.repeat(np.arange(len(y)), sizes), np.asarray(lists.flatten())
+    x_rows, x_cols = np.repeat(np.arange(len(y), dtype=np.int32), sizes), np.asarray(lists.flatten())
     # both labels weigh the same, whatever their shares: the threshold then lies midway between them
     w, b = descend(x_rows, x_cols, scale, y, np.where(y == 1, 1 / y.sum(), 1 / (len(y) - y.sum())))
     weights = np.zeros(1 << BITS)
