@@ -7,8 +7,9 @@ the anchors that touch it and unchanged passages keep theirs at the same distanc
 similarity of their sets of anchors.
 
 Words are runs without white space, cut after ``LONGEST`` characters so that a text without blanks has words too.
-Defined results: in a text shorter than a window every pair of words (or its only word) is an anchor; a text without words
-has an empty fingerprint; two empty fingerprints are alike (1), an empty and another are not (0). Null texts are empty.
+Defined results: where no window is chosen (texts shorter than one, and many a text of 6 to 9 words) every pair of words (or
+the only word) is an anchor, which never equals the anchor of a window; only a text without words has an empty
+fingerprint; two empty fingerprints are alike (1), an empty and another are not (0). Null texts are empty.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ def with_anchors(df: DataFrame, text: Column, name: str) -> DataFrame:
     words, inner = f"{name}__w", f"{name}__h"
     staged = df.withColumn(words, word_list(text)).withColumn(inner, _inner(words))
     short = F.when(F.size(inner) > 0, F.transform(F.col(inner), lambda h: F.hash(h))).otherwise(F.transform(F.col(words), lambda w: F.hash(w)))
-    return staged.withColumn(name, F.when(F.size(inner) >= _SPAN, _closed(inner)).otherwise(short)).drop(words, inner)
+    chosen = staged.withColumn(name, _closed(inner))
+    return chosen.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(short)).drop(words, inner)
 
 
 def spelled(anchors: str) -> Column:

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -148,6 +149,31 @@ def test_fingerprints(docs, none):
     assert one[0][7] == 1.0
 
 
+def test_fingerprints_around_a_window(spark):
+    """Texts of 0 to 14 words against brute force over the hashes of their pairs."""
+    texts = [" ".join(f"w{i * 31 + j * 7}" for j in range(n)) for n in range(15) for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).withColumn("w", F.split("text", " "))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
+    hashed = df.select("text", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<long>")).alias("pairs"), F.hash("text").alias("only"))
+    got = {r.text: r.a for r in syncmers.with_anchors(df, F.col("text"), "a").collect()}
+    windows, want, short, unchosen = set(), {}, {}, 0
+    for text, p, only in hashed.collect():
+        chosen = [tuple(p[i:i + 5]) for i in range(len(p) - 4) if min(p[i], p[i + 4]) <= min(p[i + 1:i + 4])]
+        want[text] = chosen or [(h,) for h in p]
+        short[text] = [] if not text else [only]
+        windows.update(want[text])
+        unchosen += len(p) > 4 and not chosen
+    assert unchosen > 5
+    value = {}
+    for n in (1, 5):
+        of = [w for w in windows if len(w) == n]
+        rows_ = spark.createDataFrame(of, ", ".join(f"h{i} long" for i in range(n))).select("*", F.hash(*[f"h{i}" for i in range(n)]).alias("a")).collect()
+        value.update({tuple(r[:n]): r[n] for r in rows_})
+    for text in texts:
+        assert got[text] == ([value[w] for w in want[text]] or short[text]), text
+    assert [t for t in got if not got[t]] == [""]
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([
         (1, 0, "system", "be kind", 9), (1, 1, "ann", "hi", 9), (1, 2, "bob", None, 9), (1, 3, None, "who?", 9), (1, 3, None, "who?", 9),
