@@ -6,7 +6,9 @@ node with the largest sum is the core of the text; the threshold is the smallest
 it. Going up that path, the selection widens to an ancestor as long as what the ancestor adds is at least as dense as
 the threshold (headings always are part of the text they stand above), and at once to an enclosing article or main
 element. Parts that are marked as something else (menus, page headers and footers, sidebars, notices, adverts,
-forms, reader comments, scripts, styles) are left out of the tree before any density is taken.
+forms, reader comments, scripts, styles) are left out of the tree before any density is taken. A class or id only tells
+what a part may be (``page-with-sidebar`` is no sidebar), so a part marked by its name stays if it holds the page's
+article, main element or first heading, or most of the text, and nothing outside it could be the main text.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined in page
 order by one space.
@@ -45,6 +47,8 @@ MARKED = re.compile(
     r"|related|recommend\w*|trending|popular|widget\w*|toolbar|pagination|pager|skip-?link|copyright|legal|disclaimer|paywall|outbrain|taboola)(?![a-z])")
 #: Names that tell what a container has or lacks, not what it is.
 STATE = re.compile(r"(has|no|with|without|is|show|hide)[-_]")
+#: Names of one reader's comment, which is no article of the page.
+ONE_COMMENT = re.compile(r"(?<![a-z])comment(?![a-z])")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
@@ -52,23 +56,21 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop|style)(?![\
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "order")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "mark", "plain", "holds")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, mark: int = 0):
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.children: list[Node | str] = []
 
 
 def _left_out(tag: str, attributes: str) -> bool:
-    """Whether an element is one of the parts that are not main text."""
+    """Whether an element is one of the parts that are not main text, whatever they hold."""
     if tag in SKIPPED:
         return True
     if not attributes or tag in ("html", "body", "main") or tag == "article" and "comment" not in attributes.lower():
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and any(MARKED.search(v) and not STATE.match(v) for v in value.split()):
-            return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "itemprop" and value == "comment":
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
@@ -76,6 +78,65 @@ def _left_out(tag: str, attributes: str) -> bool:
     return False
 
 
+def _mark(tag: str, attributes: str) -> int:
+    """What class and id say: 0 nothing, 1 a name with the word of a part in it, 2 that word alone, 3 one reader's comment as an article."""
+    if not attributes or tag in ("html", "body", "main") or tag == "article" and "comment" not in attributes.lower():
+        return 0
+    names = [v for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for v in "".join(values).lower().split() if MARKED.search(v) and not STATE.match(v)]
+    if tag == "article" and any(ONE_COMMENT.search(v) for v in names):
+        return 3
+    return 0 if not names else 2 if any(MARKED.fullmatch(v) for v in names) else 1
+
+
+def _stays(part: Node, all_text: int, outside: int, rival: int) -> bool:
+    """Whether a marked part holds the main text. ``outside``: text in no marked part; ``rival``: the most of it in one article."""
+    if part.mark == 3:
+        return False
+    if part.holds:
+        return part.plain * (4 if part.mark == 1 else 2) >= all_text and rival * 3 < part.plain
+    return part.plain * 2 > all_text and outside * (4 if part.mark == 1 else 20) < part.plain and rival * 10 < part.plain
+
+
+def without_marked(root: Node) -> Node:
+    """``root`` after taking out the parts marked by their names that do not hold the main text; every node is seen once or twice."""
+    nodes = [root]
+    for n in nodes:
+        nodes.extend(c for c in n.children if isinstance(c, Node))
+    if not any(n.mark for n in nodes):
+        return root
+    for n in reversed(nodes):
+        below = [c for c in n.children if isinstance(c, Node)]
+        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        # what is very likely no main text does not count against what may be
+        n.plain = 0 if n.tag == "a" else own + sum(c.plain for c in below if c.mark < 2 or c.mark == 2 and c.holds)
+        n.holds = n.mark != 3 and (n.tag in ("article", "main") or n.tag == "h1" and n.plain > 0 or any(c.holds for c in below))
+    outside, articles, start = 0, {}, [(root, None)]
+    while start:  # marked parts in marked parts are judged after those around them
+        found: list[tuple[Node, Node | None]] = []
+        while start:
+            n, article = start.pop()
+            if n.tag == "a":
+                continue
+            if n.tag in ("article", "main"):
+                article = n
+            for c in n.children:
+                if isinstance(c, str):
+                    size = len("".join(c.split()))
+                    outside += size
+                    if article is not None:
+                        articles[article] = articles.get(article, 0) + size
+                else:
+                    (found if c.mark else start).append((c, article))
+        rival = max(articles.values(), default=0)
+        for n, article in found:
+            if _stays(n, root.plain, outside, rival):
+                n.mark = 0
+                start.append((n, article))
+    for n in nodes:
+        n.children = [c for c in n.children if isinstance(c, str) or not c.mark]
+    return root
+
+
 def parse(page: str) -> Node:
     """The tree of a page without the parts that are left out; children are nodes and texts."""
     root = Node("html", None)
@@ -137,7 +198,7 @@ def parse(page: str) -> Node:
             continue
         if tag == "html":
             continue
-        child = Node(tag, node)
+        child = Node(tag, node, _mark(tag, attributes))
         node.children.append(child)
         if not attributes.endswith("/"):
             node = child
@@ -210,7 +271,7 @@ def text_in(node: Node) -> str:
 
 
 def main_text(page: str | None) -> str:
-    return text_in(select(parse(page))) if page else ""
+    return text_in(select(without_marked(parse(page)))) if page else ""
 
 
 @F.arrow_udf(StringType())

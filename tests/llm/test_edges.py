@@ -77,6 +77,30 @@ def test_html(spark):
     assert html_text.extracted(pages.where("false")).count() == 0
 
 
+PROSE = "".join(f"<p>Sentence {i} of the story tells what happened next, in so many words.</p>" for i in range(12))
+STORY = " ".join(f"Sentence {i} of the story tells what happened next, in so many words." for i in range(12))
+
+
+@pytest.mark.parametrize("name", ["page-with-sidebar", "content-with-sidebar", "layout-no-sidebar", "header-fixed", "menu-open", "cookie-accepted", "social-science", "legal-text"])
+def test_html_wrappers_named_after_other_parts(name):
+    side = "<div class='sidebar'><p>About the author of this site.</p></div><div class='share-bar'><a href='x'>Share</a> this</div>"
+    foot = "<div class='site-footer'>All rights reserved by somebody.</div>"
+    for inner in (f"<article>{PROSE}</article>", f"<div class='text'>{PROSE}</div>"):
+        for outer in (f"class='{name}'", f"id='wrapper' class='{name}'", f"id='{name}'"):
+            assert html_text.main_text(f"<html><body><div {outer}>{inner}{side}</div>{foot}</body></html>") == STORY
+    assert html_text.main_text(f"<body><div class='{name}'><div class='{name}'>{PROSE}</div></div></body>") == STORY
+
+
+def test_html_articles_and_comments():
+    comments = "".join(f"<article id='div-comment-{i}' class='comment-body'><p>I {i} do not agree with any of this at all, and here is why I think so.</p></article>" for i in range(40))
+    post = f"<article class='post comments-open'>{PROSE}</article>"
+    for page in (post, f"{post}<div class='comments-area'>{comments}</div>", f"{post}<div id='comments'>{comments}</div>", f"<div class='page-with-sidebar'>{post}<ol class='comment-list'>{comments}</ol></div>"):
+        assert html_text.main_text(f"<body>{page}</body>") == STORY
+    assert html_text.main_text(f"<body><article>{PROSE}</article><div class='related-posts'>{'<article><p>Another story, told in a teaser of a few words only.</p></article>' * 15}</div></body>") == STORY
+    assert html_text.main_text(f"<body><div class='header'><h1>Site</h1></div><div>{PROSE}</div></body>") == STORY
+    assert html_text.main_text("<div class='menu-open'>" * 3000 + "deep") == "deep"
+
+
 def test_token_counts(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
