@@ -16,9 +16,11 @@ from claimweave.streaming import ledger as SL
 SELECT claim_key, version_seq, object_value, status, supersedes_seq FROM isl""")
 def stream_ledger(spark, sf_dir):
     out, state = scratch(spark, "stream-events"), scratch(spark, "stream-state")
+    rejected, seen = scratch(spark, "stream-rejected"), scratch(spark, "stream-rejected-state")
     chains = materialise(L.branch_chains(fx.branches(spark)), "chains")
     for claims in SL.drops(CL.main_claims(spark, sf_dir), "seq", scratch(spark, "claim-drops")):
         events = SL.run_to_table(SL.stream_events(claims, chains), out, state)
+        SL.run_to_table(SL.stream_rejected(claims, chains), rejected, seen)
     return L.versions_table(events).select("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status",
                                            CL.seq_of("supersedes_id").alias("supersedes_seq"))
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimweave.functions.scores import exact
 from claimweave.operators import checks as C, fold
-from claimweave.operators.ledger import EVENT_SCHEMA, ORD_WIDTH
+from claimweave.operators.ledger import EVENT_SCHEMA, ORD_WIDTH, claim_fault, rejected_claims
 from claimweave.plans.session import materialise, ship_package
 
 STATE = "state string"
@@ -35,7 +35,8 @@ def stream_events(claims: DataFrame, chains: DataFrame, *, keep_all: bool = Fals
     """Ledger events of a claim stream; ``chains`` is the written ``branch_chains`` table.  State per key is
     the fold's state between micro-batches.
 
-    Claims are applied in the order of arrival, within a micro-batch by commit order.  ``keep_all``
+    Claims are applied in the order of arrival, within a micro-batch by commit order; those it cannot take are the
+    rows of ``stream_rejected``.  ``keep_all``
     keeps superseded versions in the state, which only later rollbacks need.
     """
     ship_package(claims.sparkSession)
@@ -44,12 +45,17 @@ def stream_events(claims: DataFrame, chains: DataFrame, *, keep_all: bool = Fals
         F.col("source_id").alias("source"), exact(F.col("trust_score")).alias("trust"), F.col("object_value").alias("obj"),
         F.col("normalized_object").alias("nobj"), exact(F.col("confidence")).alias("conf"),
         F.unix_date("valid_from").alias("vf"), F.unix_date("valid_to").alias("vt"))
-    ops = claims.join(chains, "branch_id").select("claim_key", F.to_json(op, {"ignoreNullFields": "false"}).alias("op"))
+    ops = claims.where(claim_fault().isNull()).join(chains, "branch_id").select("claim_key", F.to_json(op, {"ignoreNullFields": "false"}).alias("op"))
     packed = ops.groupBy("claim_key").applyInPandasWithState(
         _fold_group(keep_all), "events string", STATE, "append", GroupStateTimeout.NoTimeout)
     return packed.select(F.inline(F.from_json("events", T.ArrayType(EVENT_SCHEMA))))
 
 
+def stream_rejected(claims: DataFrame, chains: DataFrame) -> DataFrame:
+    """The claims of a stream that ``stream_events`` leaves out, with the reason in ``error``; drain it into a table of its own."""
+    return rejected_claims(claims, chains.select(F.col("branch_id").alias("id")))
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Drain a stream of rows into a Parquet table, each micro-batch into a folder of its own so a retried batch replaces itself."""
     def write(batch: DataFrame, epoch: int):

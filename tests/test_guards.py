@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as X
 from claimweave.operators import evidence as E, ledger as L, lifecycle as LC
+from claimweave.streaming import ledger as SL
 
 
 def test_lines_that_differ_late_are_kept(spark):
@@ -90,3 +91,18 @@ def test_claim_key_needs_both_parts(spark, subject, predicate, key):
 def test_long_branch_names_stay_apart(spark):
     names = spark.createDataFrame([("n" * 60 + "a",), ("n" * 60 + "b",)], "v string").select(X.safe_branch_name(F.col("v")).alias("x"), X.safe_branch_name(F.col("v"), cut_only=True).alias("y")).collect()
     assert len({r.x for r in names}) == 2 and all(len(r.x) == 40 for r in names) and {r.y for r in names} == {"n" * 40}
+
+
+def test_stream_keeps_what_it_rejects(spark, tmp_path):
+    rows = [(1, "a::b", "x", 1), (2, "a::b", "y", 99), (3, None, "x", 1), (4, "a::b", " ", 1), (None, "a::b", "x", 1), (6, "a::c", "z", 1), (7, "a::c", "z", None)]
+    claims = spark.createDataFrame([(*r, 5) for r in rows], "seq long, claim_key string, object_value string, branch_id long, source_id long").select(
+        "*", F.lit(0).alias("ord"), F.col("object_value").alias("normalized_object"), F.expr("0.8BD AS trust_score"), F.expr("0.8BD AS confidence"),
+        F.expr("cast(null AS date) AS valid_from"), F.expr("cast(null AS date) AS valid_to"))
+    chains = spark.createDataFrame([(1, "1", False)], "branch_id long, chain string, hyp boolean")
+    claims.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(claims.schema).parquet(f"{tmp_path}/in")
+    events = SL.run_to_table(SL.stream_events(stream, chains), f"{tmp_path}/events", f"{tmp_path}/s1")
+    assert {(r.claim_key, r.commit_seq) for r in L.versions_table(events).collect()} == {("a::b", 1), ("a::c", 6)}
+    rejected = SL.run_to_table(SL.stream_rejected(stream, chains), f"{tmp_path}/rejected", f"{tmp_path}/s2")
+    assert {(r.seq, r.error) for r in rejected.collect()} == {
+        (2, "unknown branch"), (3, "subject or predicate missing"), (4, "object missing"), (None, "commit missing"), (7, "unknown branch")}
