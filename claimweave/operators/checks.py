@@ -243,8 +243,11 @@ def check_results(x: CheckInput) -> DataFrame:
     return rows.select("staged_id", F.inline(F.concat("failed", passed))).withColumn("passed", F.col("severity") == "info")
 
 
-def ci_decision(staged: DataFrame, results: DataFrame, check_order: tuple[str, ...] | None = None) -> DataFrame:
-    """Decision per staged write from its check rows: reject, quarantine, require_review or auto_apply."""
+def ci_decision(staged: DataFrame, results: DataFrame, check_order: tuple[str, ...] | None = None, *, messages: int | None = None) -> DataFrame:
+    """Decision per staged write from its check rows: reject, quarantine, require_review or auto_apply.
+
+    The summary has the first ``messages`` messages, all if not given.
+    """
     order = list(check_order or Policy().checks) + [NO_CLAIMS[0]]
     place = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("check_name"))
     entry = F.struct(place.alias("place"), "message", "reason_code")
@@ -261,8 +264,9 @@ def ci_decision(staged: DataFrame, results: DataFrame, check_order: tuple[str, .
     own = F.when(F.col("review_required"), F.coalesce("risk_reasons", F.expr("cast(array() as array<string>)"))).otherwise(
         F.expr("cast(array() as array<string>)"))
 
-    def summary(messages: Column) -> Column:
-        return F.array_join(F.slice(distinct_nonempty(messages), 1, 4), "; ")
+    def summary(texts: Column) -> Column:
+        told = distinct_nonempty(texts)
+        return F.array_join(told if messages is None else F.slice(told, 1, messages), "; ")
 
     decision = (
         F.when(F.col("empty"), "reject").when(F.col("n_fail") > 0, "quarantine")
@@ -279,13 +283,13 @@ def ci_decision(staged: DataFrame, results: DataFrame, check_order: tuple[str, .
         F.array_sort(F.concat("fails", "warns")).alias("failed"))
 
 
-def run_checks(x: CheckInput) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(updated staged writes, decisions, check rows)."""
+def run_checks(x: CheckInput, *, messages: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(updated staged writes, decisions, check rows); ``messages`` as in ``ci_decision``."""
     from dataclasses import replace
     # ten checks read the writes and the facts: both are written once, so texts are parsed and matched once
     x = replace(x, staged=materialise(x.staged, "open-writes"), facts=materialise(x.facts, "claim-facts"))
     results = materialise(check_results(x), "check-results")
-    decisions = ci_decision(x.staged, results, x.policy.checks)
+    decisions = ci_decision(x.staged, results, x.policy.checks, messages=messages)
     status = (
         F.when(F.col("decision") == "reject", "rejected").when(F.col("decision") == "quarantine", "quarantined")
         .when(F.col("decision") == "require_review", "review_required").otherwise("checked"))

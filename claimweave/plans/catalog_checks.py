@@ -249,13 +249,13 @@ def ci_decision(spark, sf_dir):
     s = staged_writes(spark, sf_dir)
     fx.table(spark, sf_dir, "events").createOrReplaceTempView("cw_events")
     results = spark.sql("WITH " + _OUTCOMES.replace("FROM events", "FROM cw_events") + " SELECT *, severity = 'info' AS passed FROM outcomes")
-    return C.ci_decision(s, results).drop("failed")
+    return C.ci_decision(s, results, messages=4).drop("failed")
 
 
 def checked(spark: SparkSession, sf_dir: str):
     """The staged writes after a full run of the gate: (writes, decisions, check rows)."""
     def build():
-        writes, decisions, results = C.run_checks(check_input(spark, sf_dir))
+        writes, decisions, results = C.run_checks(check_input(spark, sf_dir), messages=4)
         return materialise(writes, "checked"), materialise(decisions, "decisions"), results
     return once(spark, "checked", sf_dir, build=build)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as X
-from claimweave.operators import evidence as E, ledger as L, lifecycle as LC
+from claimweave.operators import checks as C, evidence as E, ledger as L, lifecycle as LC, retrieve as RV
 from claimweave.streaming import ledger as SL
 
 
@@ -106,3 +106,19 @@ def test_stream_keeps_what_it_rejects(spark, tmp_path):
     rejected = SL.run_to_table(SL.stream_rejected(stream, chains), f"{tmp_path}/rejected", f"{tmp_path}/s2")
     assert {(r.seq, r.error) for r in rejected.collect()} == {
         (2, "unknown branch"), (3, "subject or predicate missing"), (4, "object missing"), (None, "commit missing"), (7, "unknown branch")}
+
+
+def test_summary_has_every_message(spark):
+    staged = spark.createDataFrame([(1, False, [])], "staged_id int, review_required boolean, risk_reasons array<string>")
+    names = list(C.OUTCOMES)[:6]
+    results = spark.createDataFrame([(1, n, "fail", f"r{i}", f"Message {i}.", False) for i, n in enumerate(names)],
+                                    "staged_id int, check_name string, severity string, reason_code string, message string, passed boolean")
+    told = [C.ci_decision(staged, results, tuple(names), **k).first().reason_summary for k in ({}, {"messages": 4})]
+    assert told == ["; ".join(f"Message {i}." for i in range(n)) for n in (6, 4)]
+
+
+def test_excerpt_of_a_long_line(spark):
+    line, other = "needle " + "x " * 900 + "end", "y " * 3000
+    df = spark.createDataFrame([(line + "\n" + other, other + "needle " + other)], "a string, b string")
+    a, b = df.select(RV.focus_excerpt(F.col("a"), F.lit("the needle"), 4000, window=None), RV.focus_excerpt(F.col("b"), F.lit("the needle"), 4000, window=None)).first()
+    assert a == line and "needle" in b and b.startswith("...") and b.endswith("...") and 3990 < len(b) <= 4000
