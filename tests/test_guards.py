@@ -1,5 +1,6 @@
 """Data that must not be lost: long near-equal lines, competing decisions, chains of branch requests, many merges, faulty claims."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as X
 from claimweave.operators import checks as C, evidence as E, ledger as L, lifecycle as LC, retrieve as RV
+from claimweave.plans import catalog_checks as CC, catalog_ledger as CL
 from claimweave.streaming import ledger as SL
 
 
@@ -122,3 +124,13 @@ def test_excerpt_of_a_long_line(spark):
     df = spark.createDataFrame([(line + "\n" + other, other + "needle " + other)], "a string, b string")
     a, b = df.select(RV.focus_excerpt(F.col("a"), F.lit("the needle"), 4000, window=None), RV.focus_excerpt(F.col("b"), F.lit("the needle"), 4000, window=None)).first()
     assert a == line and "needle" in b and b.startswith("...") and b.endswith("...") and 3990 < len(b) <= 4000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+def test_writes_repeating_rolled_back_sources_are_flagged(spark):
+    sf = "/root/testdata/sf0.001"
+    gone = {r.source_id for r in CL.rollback_ledger(spark, sf).direct.where("status = 'rolled_back'").collect()}
+    texts = {r.excerpt for r in CL.event_sources(spark, sf).collect() if r.source_id in gone}
+    repeats = {r.staged_id for r in CC.staged_writes(spark, sf).collect() if r.excerpt in texts}
+    flagged = {r.staged_id for r in CC.check_rollback_regression(spark, sf).collect()}
+    assert repeats and repeats <= flagged
