@@ -70,8 +70,9 @@ class WordEncoder:
             self.known.clear()
         known, split, pieces, words = self.known, [], set(), set()
         for text in texts:
-            whole = not text or _BEYOND.search(text) or self.special.search(text)
-            parts = _WORDS.findall(text or "") if whole else _PIECES.findall(text.lower())
+            lowered = (text or "").lower()  # a small letter may lie beyond although its capital does not
+            whole = _BEYOND.search(lowered) or self.special.search(text or "")
+            parts = _WORDS.findall(text or "") if whole else _PIECES.findall(lowered)
             split.append(parts)
             (words if whole else pieces).update(w for w in parts if w not in known)
         words = sorted(words - pieces)
@@ -93,12 +94,19 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a tokenizer file, with what it remembers."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _encoding(path: str, end: int):
     """Batches of ``doc_id, tie, file, text`` to ``doc_id, tie, file, n_tokens, ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        own = _encoders.setdefault(path, WordEncoder(path))
+        own = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
