@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import chat, decontaminate, html_text, mixture, ngram_join, quality, syncmers, token_count, token_files, toxicity
+from claimweave.llm import (
+    chat, collocations, conversations, decontaminate, html_text, mixture, ngram_join, packing, quality, syncmers, token_count, token_files, toxicity)
 from claimweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op11_collocations")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+@register("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
