@@ -309,6 +309,10 @@ class KeyFold:
     def state(self) -> str:
         return json.dumps([self.live[vid].dump() for vid in sorted(self.live)])
 
+    def emit_state(self):
+        """The state as an event of kind ``state`` at the last operation's position."""
+        self.events.append((self.key, "state", None, self._pos, self._k, *[None] * 6, self.state(), *[None] * 8))
+
     def summary(self) -> str:
         bounds = [[v.low, v.high, v.exact] for v in self.slots]
         return json.dumps({"in": self.incoming, "out": json.loads(self.state()), "bounds": bounds})

@@ -264,11 +264,13 @@ def _event_batch(rows: list[tuple]) -> pa.RecordBatch:
         [pa.array(col, type=field.type) for col, field in zip(zip(*rows), _ARROW_EVENTS)], schema=_ARROW_EVENTS)
 
 
-def _fold_to_events(batch_rows: int):
+def _fold_to_events(batch_rows: int, end_states: bool = False):
     def run(batches):
         unit, current, rows = None, None, []
         for key, chunk, state, op in _operations(batches):
             if (key, chunk) != unit:
+                if end_states and current is not None:
+                    current.emit_state()
                 unit, current = (key, chunk), fold.KeyFold(key, state)
                 current.events = rows
             if op["op"] == "state":
@@ -277,6 +279,8 @@ def _fold_to_events(batch_rows: int):
             if len(rows) >= batch_rows:
                 yield _event_batch(rows)
                 rows.clear()
+        if end_states and current is not None:
+            current.emit_state()
         if rows:
             yield _event_batch(rows)
     return run
@@ -363,9 +367,17 @@ def settle_hot_chunks(ops: DataFrame, hot_keys: DataFrame, options: FoldOptions)
         summaries = materialise(fresh.unionByName(summaries.join(again.select(*unit), unit, "left_anti")), "summaries")
 
 
+def run_fold(ops: DataFrame, states: DataFrame | None, options: FoldOptions, end_states: bool = False) -> DataFrame:
+    """Events of operations with their ``chunk``, folded from the chunks' start states (none: from nothing)."""
+    return _ordered_units(ops, states).mapInArrow(_fold_to_events(options.batch_rows, end_states), EVENT_SCHEMA)
+
+
 def fold_events(claims: DataFrame, branches: DataFrame, control: DataFrame | None = None,
-                options: FoldOptions | None = None) -> DataFrame:
-    """Replay the operation log; the result is the event table all other tables derive from."""
+                options: FoldOptions | None = None, end_states: bool = False) -> DataFrame:
+    """Replay the operation log; the result is the event table all other tables derive from.
+
+    With ``end_states`` each chunk's last row has the kind ``state`` and the reducer's state in ``object_value``.
+    """
     options = options or FoldOptions()
     ship_package(claims.sparkSession)
     ops = key_operations(claims, branches, control)
@@ -376,7 +388,7 @@ def fold_events(claims: DataFrame, branches: DataFrame, control: DataFrame | Non
     else:
         ops = materialise(_assign_chunks(ops, hot, options.chunk_rows), "ops")
         states = settle_hot_chunks(ops, hot, options)
-    return _ordered_units(ops, states).mapInArrow(_fold_to_events(options.batch_rows), EVENT_SCHEMA)
+    return run_fold(ops, states, options, end_states)
 
 
 # ---------------------------------------------------------------------------

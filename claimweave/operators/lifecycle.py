@@ -69,7 +69,7 @@ def _judged(decisions: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def decide(staged: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply review decisions; (updated staged writes, refused decisions with the reason).
+    """Apply review decisions; (updated staged writes with the last legal action in ``decided_by``, refused decisions with the reason).
 
     decisions: staged_id, action ('apply' | 'approve' | 'reject' | 'release'), reviewer, notes, override and seq, their
     order (without it, that of the actions' names).  Of a write's decisions the first legal one counts, and later ones are
@@ -78,7 +78,7 @@ def decide(staged: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFram
     """
     order = F.struct(*([F.col("seq")] if "seq" in decisions.columns else []), "action", "reviewer", "notes", "override")
     open_ = decisions.withColumn("at", order)
-    state, refused = staged, None
+    state, refused = staged.withColumn("decided_by", F.lit(None).cast("string")), None
     action, status = F.col("action"), F.col("status")
     for _ in range(2):
         judged = _judged(open_, state)
@@ -95,7 +95,7 @@ def decide(staged: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFram
             *[c for c in staged.columns if c not in ("status", "review_required", "quarantine_release")],
             F.when(action.isin("apply", "approve"), "applied").when(action == "reject", "rejected").when(action == "release", "review_required").otherwise(status).alias("status"),
             F.when(action.isin("apply", "approve"), False).when(action == "release", True).otherwise(F.col("review_required")).alias("review_required"),
-            release.alias("quarantine_release"))
+            release.alias("quarantine_release"), F.coalesce(action, "decided_by").alias("decided_by"))
         open_ = judged.where("first IS NOT NULL AND at > first").select(open_.columns)
     refused = refused.select("staged_id", "action", "status", "error").unionByName(_judged(open_, state).select("staged_id", "action", "status", "error"))
     unknown = decisions.join(staged.select("staged_id"), "staged_id", "left_anti").select("staged_id", "action", F.lit(None).cast("string").alias("status"), F.lit("unknown write").alias("error"))

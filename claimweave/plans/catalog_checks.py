@@ -76,6 +76,7 @@ def check_input(spark: SparkSession, sf_dir: str) -> C.CheckInput:
 STAGED_CTE = CL.RUNS_CTE + """,
 cur AS (SELECT claim_key, object_value, valid_from, score, n_support, support_trust FROM isl_scored WHERE next_seq IS NULL),
 dead AS (SELECT claim_key, object_value FROM isl WHERE next_seq IS NULL),
+gone AS (SELECT g.seq AS source_id, e.props, concat('ref_', g.seq % 7) AS ref FROM g JOIN isl ON isl.claim_key = g.claim_key AND isl.vno = g.vno JOIN events e ON e.event_id = g.seq WHERE isl.next_seq IS NULL),
 w AS (SELECT event_id AS staged_id, user_id, event_type, props, event_id % 10 <> 0 AS on_main, event_id % 97 = 0 AS empty,
              concat('user_', user_id, '::', event_type) AS claim_key,
              CASE event_type WHEN 'purchase' THEN 'payment_method' WHEN 'signup' THEN 'lives_in' WHEN 'error' THEN 'due_date'
@@ -167,8 +168,9 @@ def check_branch_leak(spark, sf_dir):
 
 
 @query("check_rollback_regression", WITH_STAGED + """
-SELECT staged_id, 'fail' AS severity, 'rollback_regression' AS reason_code FROM w JOIN dead ON dead.claim_key = w.claim_key AND dead.object_value = w.object_value
-WHERE NOT empty""")
+SELECT staged_id, 'fail' AS severity, 'rollback_regression' AS reason_code FROM w
+WHERE (NOT empty AND (claim_key, object_value) IN (SELECT claim_key, object_value FROM dead))
+   OR excerpt IN (SELECT props FROM gone) OR concat('write_', staged_id) IN (SELECT ref FROM gone)""")
 def check_rollback_regression(spark, sf_dir):
     return _failures(C.check_rollback_regression(check_input(spark, sf_dir)))
 
@@ -176,14 +178,16 @@ def check_rollback_regression(spark, sf_dir):
 @query("rolled_back_match", WITH_STAGED + """
 SELECT event_id AS staged_id FROM events JOIN dead ON dead.claim_key = concat('user_', user_id, '::', event_type)
        AND dead.object_value = concat('obj_', CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 4)
-UNION SELECT event_id FROM events WHERE concat('REF_', event_id % 40) IN (SELECT concat('REF_', seq % 7) FROM g JOIN isl ON isl.claim_key = g.claim_key AND isl.vno = g.vno WHERE next_seq IS NULL)""")
+UNION SELECT event_id FROM events WHERE concat('ref_', event_id % 40) IN (SELECT ref FROM gone)
+UNION SELECT event_id FROM events WHERE event_id % 9 = 0 AND props IN (SELECT props FROM gone)""")
 def rolled_back_match(spark, sf_dir):
-    """Original claims offered again under references that partly belong to rolled-back sources."""
+    """Original claims offered again, some under references or with excerpts of rolled-back sources."""
     led = CL.rollback_ledger(spark, sf_dir)
-    offered = CL.main_claims(spark, sf_dir).select(
-        F.col("seq").alias("staged_id"), "claim_key", "normalized_object",
-        F.concat(F.lit("REF_"), (F.col("seq") % 40).cast("string")).alias("source_ref"), F.lit("").alias("excerpt"))
-    return R.rolled_back_match(offered, led.versions, led.direct.where("relation = 'support'"), CL.event_sources(spark, sf_dir))
+    seq = F.col("source_id")
+    texts = CL.event_sources(spark, sf_dir).select("source_id", F.when(seq % 9 == 0, F.upper("excerpt")).otherwise(F.concat(F.lit("Record "), seq)).alias("excerpt"))
+    offered = CL.main_claims(spark, sf_dir).join(texts, "source_id").select(
+        F.col("seq").alias("staged_id"), "claim_key", "normalized_object", F.concat(F.lit("REF_"), (F.col("seq") % 40).cast("string")).alias("source_ref"), "excerpt")
+    return R.rolled_back_match(offered, led.versions, led.direct, CL.event_sources(spark, sf_dir))
 
 
 @query("check_suspicious_support", WITH_STAGED + """
@@ -269,12 +273,12 @@ fl AS (SELECT staged_id, empty, on_main, staged_id % 19 = 0 AS asked,
   on_main AND other AND NOT (vf IS NOT NULL AND vf >= v_from) AND round(CAST(trust * conf AS DECIMAL(18,8)), 4) < score AS contra,
   other AND NOT (vf IS NOT NULL AND vf > v_from) AS tempo,
   on_main AND (staged_id % 7 = 0 OR (staged_id % 11 <> 0 AND NOT empty AND vf IS NOT NULL AND vf > DATE '{TODAY}')) AS leak,
-  NOT empty AND object_value = v_object AS regress,
+  (NOT empty AND coalesce(object_value = v_object, false)) OR excerpt IN (SELECT props FROM gone) AS regress,
   coalesce(v_object = object_value, false) AND trust >= 0.97 AND score < 0.65 AS susp,
   other AND contains(lower(excerpt), 'merge') AS mrg,
   excerpt IN (SELECT props FROM events) AS dup,
   NOT empty AND on_main AND cls = 'financial' AND trust < 0.95 AND CASE WHEN v_object = object_value THEN n_support ELSE 0 END + 1 < 2 AS gap FROM pp),
-fc AS (SELECT *, CAST(low AS INT) + CAST(coalesce(contra, false) AS INT) + CAST(coalesce(tempo, false) AS INT) + CAST(leak AS INT) + CAST(coalesce(regress, false) AS INT) + CAST(coalesce(mrg, false) AS INT) AS nf,
+fc AS (SELECT *, CAST(low AS INT) + CAST(coalesce(contra, false) AS INT) + CAST(coalesce(tempo, false) AS INT) + CAST(leak AS INT) + CAST(regress AS INT) + CAST(coalesce(mrg, false) AS INT) AS nf,
               CAST(NOT low AND border AS INT) + CAST(prot AS INT) + CAST(susp AS INT) + CAST(dup AS INT) + CAST(coalesce(gap, false) AS INT) AS nw FROM fl),
 dec AS (SELECT *, CASE WHEN empty THEN 'rejected' WHEN nf > 0 THEN 'quarantined' WHEN nw > 0 OR asked THEN 'review_required' ELSE 'checked' END AS status FROM fc)
 """
@@ -378,21 +382,22 @@ def plan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
 
 
-@query("final_action", _PLAN_CTE + """
+@query("final_action", _PLAN_CTE + ", " + STAGED_CTE + """
 , rt AS (SELECT *, CASE WHEN action = 'reject' THEN asked WHEN to_branch OR stale THEN derived WHEN home THEN 'main' ELSE start END AS branch_name,
   CASE WHEN odd THEN least(trust, 0.25) ELSE trust END AS t,
   CASE WHEN action = 'reject' THEN 'reject' WHEN to_branch THEN 'branch_hypothetical' WHEN stale AND action = 'commit_now' THEN 'branch_hypothetical'
        WHEN home AND action = 'branch_hypothetical' THEN 'commit_now' ELSE action END AS a2 FROM ru),
-nd AS (SELECT *, a2 <> 'reject' AND (t < 0.5 OR (branch_name = 'main' AND branch_only)) AS need FROM rt)
+nd AS (SELECT rt.*, a2 <> 'reject' AND (t < 0.5 OR (branch_name = 'main' AND branch_only) OR (branch_name = 'main' AND coalesce(
+         p.other AND NOT (p.vf IS NOT NULL AND p.vf >= p.v_from) AND round(CAST(t * p.conf AS DECIMAL(18,8)), 4) < p.score, false))) AS need
+       FROM rt LEFT JOIN p ON p.staged_id = rt.staged_id)
 SELECT staged_id, branch_name, CASE WHEN need AND a2 = 'commit_now' THEN 'stage_for_review' ELSE a2 END AS write_action, need AS review_required FROM nd""")
 def final_action(spark, sf_dir):
     """Routed writes after the review requirements of where they were routed to."""
     p = plans(spark, sf_dir)
     routed = RT.route_writes(p, plan_claims(spark, sf_dir), TODAY)
     known = fx.branches(spark).select(F.col("id").alias("branch_id"), F.col("name").alias("branch_name"))
-    claim = F.struct(F.lit("Alice").alias("subject"), F.lit("lives_in").alias("predicate"), F.lit("Busan").alias("object_value"),
-                     F.lit("0.8").cast("decimal(6,4)").alias("confidence"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
-    writes = routed.join(known, "branch_name", "left").withColumn("claims", F.array(claim))
+    claims = staged_writes(spark, sf_dir).select("staged_id", F.slice("claims", 1, 1).alias("claims"))
+    writes = routed.join(known, "branch_name", "left").join(claims, "staged_id")
     facts = C.claim_facts(writes, snapshot(spark, sf_dir), Policy())
     done = RT.final_action(routed, RT.review_requirements(facts, writes, TODAY))
     return done.select("staged_id", "branch_name", "write_action", "review_required")
@@ -413,11 +418,18 @@ def review_requirements(spark, sf_dir):
 # -- lifecycle -------------------------------------------------------------------------
 
 def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.table(spark, sf_dir, "events")
+    """A decision on every write, and a second one on every third."""
     eid = F.col("event_id")
-    return e.where(eid % 6 < 4).select(
-        eid.alias("staged_id"), F.element_at(F.array(*[F.lit(a) for a in ("apply", "approve", "reject", "release")]), (eid % 6 + 1).cast("int")).alias("action"),
-        F.lit("reviewer").alias("reviewer"), F.when(eid % 4 < 2, "looked at it").alias("notes"), (eid % 8 < 4).alias("override"))
+    names = F.array(*[F.lit(a) for a in ("apply", "approve", "reject", "release")])
+    quarter = F.floor(eid / 4)
+
+    def decision(seq: int, action, noted, override):
+        return F.struct(F.lit(seq).alias("seq"), F.element_at(names, (action + 1).cast("int")).alias("action"), F.when(noted, "looked at it").alias("notes"), override.alias("override"))
+
+    first = decision(1, eid % 4, quarter % 2 == 0, F.floor(eid / 8) % 2 == 0)
+    second = decision(2, quarter % 4, F.lit(True), F.floor(eid / 16) % 2 == 0)
+    made = F.when(eid % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+    return fx.table(spark, sf_dir, "events").select(eid.alias("staged_id"), F.lit("reviewer").alias("reviewer"), F.inline(made))
 
 
 def decided(spark: SparkSession, sf_dir: str):
@@ -427,9 +439,29 @@ def decided(spark: SparkSession, sf_dir: str):
     return once(spark, "decided", sf_dir, build=build)
 
 
-_LIFE = _RUN_ORACLE + """,
-lf AS (SELECT staged_id, status, staged_id % 6 AS a, staged_id % 4 < 2 AS noted, staged_id % 8 < 4 AS ovr,
-              CASE WHEN status = 'rejected' THEN false WHEN status = 'checked' THEN asked ELSE true END AS rr FROM dec)
+def _refusal(s: str, rr: str, a: str, noted: str, over: str) -> str:
+    return f"""CASE WHEN {a} = 3 THEN CASE WHEN {s} <> 'quarantined' THEN 'not quarantined' WHEN NOT {noted} THEN 'notes required' END
+      WHEN {s} IN ('applied', 'rejected') THEN 'already final' WHEN {a} = 0 AND {s} = 'quarantined' THEN 'quarantined' WHEN {a} = 0 AND {rr} THEN 'review required'
+      WHEN {a} = 1 AND {s} = 'quarantined' AND NOT ({over} AND {noted}) THEN 'quarantined' END"""
+
+
+def _after(i: int) -> str:
+    """The state after the ``i``-th decision; a refused or missing one changes nothing."""
+    s, rr, qr, a, e, d = (f"{n}{i - 1}" if n in ("s", "rr", "qr", "d") else f"{n}{i}" for n in ("s", "rr", "qr", "a", "e", "d"))
+    held = f"{a} IS NULL OR {e} IS NOT NULL"
+    return f"""CASE WHEN {held} THEN {s} WHEN {a} < 2 THEN 'applied' WHEN {a} = 2 THEN 'rejected' ELSE 'review_required' END AS s{i},
+      CASE WHEN {held} OR {a} = 2 THEN {rr} ELSE {a} = 3 END AS rr{i}, CASE WHEN {held} THEN {d} ELSE {a} END AS d{i},
+      CASE WHEN {held} THEN {qr} WHEN {a} = 3 THEN 'released' WHEN {a} = 1 AND {s} = 'quarantined' THEN 'approved_override' WHEN {a} = 2 AND {qr} IS NOT NULL THEN 'rejected' ELSE {qr} END AS qr{i}"""
+
+
+_LIFE = _RUN_ORACLE + f""",
+l0 AS (SELECT staged_id, status AS s0, CASE WHEN status = 'rejected' THEN false WHEN status = 'checked' THEN asked ELSE true END AS rr0,
+              CASE WHEN status = 'quarantined' THEN 'blocked' END AS qr0, CAST(NULL AS BIGINT) AS d0, staged_id % 4 AS a1, staged_id // 4 % 2 = 0 AS noted, staged_id // 8 % 2 = 0 AS ovr1,
+              CASE WHEN staged_id % 3 = 0 THEN staged_id // 4 % 4 END AS a2, staged_id // 16 % 2 = 0 AS ovr2 FROM dec),
+j1 AS (SELECT *, {_refusal("s0", "rr0", "a1", "noted", "ovr1")} AS e1 FROM l0),
+l1 AS (SELECT *, {_after(1)} FROM j1),
+j2 AS (SELECT *, {_refusal("s1", "rr1", "a2", "true", "ovr2")} AS e2 FROM l1),
+lf AS (SELECT *, {_after(2)} FROM j2)
 """
 
 
@@ -441,49 +473,40 @@ def stage_writes(spark, sf_dir):
     return staged.select("staged_id", "status", F.concat_ws(",", "warnings").alias("warnings"))
 
 
-@query("apply_staged", _LIFE + "SELECT staged_id FROM lf WHERE a = 0 AND status = 'checked' AND NOT rr")
+@query("apply_staged", _LIFE + "SELECT staged_id, qr2 AS quarantine_release FROM lf WHERE s2 = 'applied' AND d2 = 0")
 def apply_staged(spark, sf_dir):
     """Writes that went straight to the ledger."""
-    done, _ = decided(spark, sf_dir)
-    return done.where("status = 'applied' AND staged_id % 6 = 0").select("staged_id")
+    return decided(spark, sf_dir)[0].where("status = 'applied' AND decided_by = 'apply'").select("staged_id", "quarantine_release")
 
 
-@query("approve_staged", _LIFE + """
-SELECT staged_id, CASE WHEN status = 'quarantined' THEN 'approved_override' END AS quarantine_release FROM lf
-WHERE a = 1 AND status <> 'rejected' AND (status <> 'quarantined' OR (ovr AND noted))""")
+@query("approve_staged", _LIFE + "SELECT staged_id, qr2 AS quarantine_release FROM lf WHERE s2 = 'applied' AND d2 = 1")
 def approve_staged(spark, sf_dir):
-    done, _ = decided(spark, sf_dir)
-    return done.where("status = 'applied' AND staged_id % 6 = 1").select("staged_id", "quarantine_release")
+    return decided(spark, sf_dir)[0].where("status = 'applied' AND decided_by = 'approve'").select("staged_id", "quarantine_release")
 
 
-@query("reject_staged", _LIFE + "SELECT staged_id, CASE WHEN status = 'quarantined' THEN 'rejected' END AS quarantine_release FROM lf WHERE a = 2 AND status <> 'rejected'")
+@query("reject_staged", _LIFE + "SELECT staged_id, qr2 AS quarantine_release FROM lf WHERE s2 = 'rejected' AND d2 = 2")
 def reject_staged(spark, sf_dir):
-    done, _ = decided(spark, sf_dir)
-    before = checked(spark, sf_dir)[0].where("status <> 'rejected'").select("staged_id")
-    return done.where("status = 'rejected' AND staged_id % 6 = 2").join(before, "staged_id", "left_semi").select("staged_id", "quarantine_release")
+    """Writes that a reviewer rejected (the gate's own rejections are not among them)."""
+    return decided(spark, sf_dir)[0].where("status = 'rejected' AND decided_by = 'reject'").select("staged_id", "quarantine_release")
 
 
-@query("release_quarantine", _LIFE + "SELECT staged_id, 'review_required' AS status FROM lf WHERE a = 3 AND status = 'quarantined' AND noted")
+@query("release_quarantine", _LIFE + "SELECT staged_id, s2 AS status, qr2 AS quarantine_release FROM lf WHERE d2 = 3")
 def release_quarantine(spark, sf_dir):
-    done, _ = decided(spark, sf_dir)
-    return done.where("quarantine_release = 'released'").select("staged_id", "status")
+    """Writes out of quarantine that wait for a final decision."""
+    return decided(spark, sf_dir)[0].where("decided_by = 'release'").select("staged_id", "status", "quarantine_release")
 
 
 @query("refused_decisions", _LIFE + """
-SELECT staged_id, CASE a WHEN 0 THEN 'apply' WHEN 1 THEN 'approve' WHEN 2 THEN 'reject' ELSE 'release' END AS action,
-  CASE WHEN a = 3 THEN CASE WHEN status <> 'quarantined' THEN 'not quarantined' WHEN NOT noted THEN 'notes required' END
-       WHEN status = 'rejected' THEN 'already final'
-       WHEN a = 0 AND status = 'quarantined' THEN 'quarantined' WHEN a = 0 AND rr THEN 'review required'
-       WHEN a = 1 AND status = 'quarantined' AND NOT (ovr AND noted) THEN 'quarantined' END AS error FROM lf
-WHERE a < 4 AND error IS NOT NULL""")
+, r AS (SELECT staged_id, a1 AS a, e1 AS error FROM lf UNION ALL SELECT staged_id, a2, e2 FROM lf WHERE a2 IS NOT NULL)
+SELECT staged_id, CASE a WHEN 0 THEN 'apply' WHEN 1 THEN 'approve' WHEN 2 THEN 'reject' ELSE 'release' END AS action, error FROM r WHERE error IS NOT NULL""")
 def refused_decisions(spark, sf_dir):
     return decided(spark, sf_dir)[1].select("staged_id", "action", "error")
 
 
 @query("applied_claims", _LIFE + """
-, ap AS (SELECT lf.staged_id FROM lf WHERE (a = 0 AND status = 'checked' AND NOT rr) OR (a = 1 AND status <> 'rejected' AND (status <> 'quarantined' OR (ovr AND noted))))
-SELECT concat('user_', user_id, '::', predicate) AS claim_key, w.staged_id AS seq, 0 AS ord, object_value AS normalized_object FROM w JOIN ap ON ap.staged_id = w.staged_id
-UNION ALL SELECT concat('user_', user_id, '::favorite_color'), w.staged_id, 1, 'blue' FROM w JOIN ap ON ap.staged_id = w.staged_id WHERE w.staged_id % 4 = 0""")
+, ap AS (SELECT staged_id FROM lf WHERE s2 = 'applied')
+SELECT concat('user_', user_id, '::', predicate) AS claim_key, w.staged_id AS seq, 0 AS ord, object_value AS normalized_object FROM w JOIN ap ON ap.staged_id = w.staged_id WHERE NOT empty
+UNION ALL SELECT concat('user_', user_id, '::favorite_color'), w.staged_id, 1, 'blue' FROM w JOIN ap ON ap.staged_id = w.staged_id WHERE NOT empty AND w.staged_id % 4 = 0""")
 def applied_claims(spark, sf_dir):
     """Ledger input of the applied writes: one commit and one source each."""
     claims, _ = LC.applied_claims(decided(spark, sf_dir)[0])

@@ -5,24 +5,63 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimweave.operators import ledger as L
+from claimweave.operators.increment import LedgerStore
 from claimweave.plans import catalog_checks as CC, catalog_ledger as CL, fixtures as fx
 from claimweave.plans.catalog_corpus import scratch
 from claimweave.plans.registry import query
-from claimweave.plans.session import materialise
 from claimweave.streaming import ledger as SL
 
 
-@query("stream_ledger", CL.WITH_RUNS + """
-SELECT claim_key, version_seq, object_value, status, supersedes_seq FROM isl""")
+_VERSIONS = ("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status", CL.seq_of("supersedes_id").alias("supersedes_seq"))
+_RUNS = CL.WITH_RUNS + """
+SELECT claim_key, version_seq, object_value, status, supersedes_seq FROM isl"""
+_UNDONE = CL.WITH_RUNS + """
+SELECT claim_key, version_seq, object_value, supersedes_seq,
+       CASE WHEN next_seq IS NULL THEN 'retracted' WHEN vno = n_versions - 1 THEN 'active' ELSE 'superseded' END AS status FROM isl"""
+
+
+def _store(spark) -> LedgerStore:
+    return LedgerStore(spark, scratch(spark, "store"), fx.branches(spark))
+
+
+@query("fold_increment", _RUNS)
+def fold_increment(spark, sf_dir):
+    """The log in five batches, each folded from the states the one before left."""
+    claims, store = CL.main_claims(spark, sf_dir), _store(spark)
+    cuts = claims.agg(F.percentile_approx("seq", [i / 5 for i in range(1, 5)])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = claims if low is None else claims.where(F.col("seq") > low)
+        store.apply(part if high is None else part.where(F.col("seq") <= high))
+    return L.versions_table(store.events()).select(*_VERSIONS)
+
+
+@query("fold_late", _UNDONE)
+def fold_late(spark, sf_dir):
+    """The log in three batches out of order: rollbacks come with the first batch, before most of what they undo."""
+    claims, store = CL.main_claims(spark, sf_dir), _store(spark)
+    for i in (2, 0, 1):
+        store.apply(claims.where(F.col("seq") % 3 == i), CL.rollbacks(spark, sf_dir) if i == 2 else None)
+    return L.versions_table(store.events()).select(*_VERSIONS)
+
+
+@query("stream_ledger", _RUNS)
 def stream_ledger(spark, sf_dir):
-    out, state = scratch(spark, "stream-events"), scratch(spark, "stream-state")
-    rejected, seen = scratch(spark, "stream-rejected"), scratch(spark, "stream-rejected-state")
-    chains = materialise(L.branch_chains(fx.branches(spark)), "chains")
-    for claims in SL.drops(CL.main_claims(spark, sf_dir), "seq", scratch(spark, "claim-drops")):
-        events = SL.run_to_table(SL.stream_events(claims, chains), out, state)
-        SL.run_to_table(SL.stream_rejected(claims, chains), rejected, seen)
-    return L.versions_table(events).select("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status",
-                                           CL.seq_of("supersedes_id").alias("supersedes_seq"))
+    store, seen = _store(spark), scratch(spark, "stream-seen")
+    for operations in SL.drops(SL.as_operations(CL.main_claims(spark, sf_dir)), "seq", scratch(spark, "claim-drops")):
+        SL.drain_ledger(operations, store, seen)
+    return L.versions_table(store.events()).select(*_VERSIONS)
+
+
+@query("stream_control", _UNDONE)
+def stream_control(spark, sf_dir):
+    """Claims and rollbacks on one stream; a quarter of the claims arrives after the rollbacks."""
+    store, seen = _store(spark), scratch(spark, "control-seen")
+    rows = SL.as_operations(CL.main_claims(spark, sf_dir), CL.rollbacks(spark, sf_dir))
+    late = (F.col("op") == "claim") & (F.col("seq") % 4 == 0)
+    arriving = rows.withColumn("arrival", F.when(late, F.col("seq") + 2 * CL.LATER).otherwise(F.col("seq")))
+    for operations in SL.drops(arriving, "arrival", scratch(spark, "operation-drops")):
+        SL.drain_ledger(operations, store, seen)
+    return L.versions_table(store.events()).select(*_VERSIONS)
 
 
 @query("stream_checks", CC._RUN_ORACLE + """

@@ -1,80 +1,58 @@
-"""The ledger on a stream of claims, and the gate on a stream of proposals."""
+"""The ledger on a stream of operations, and the gate on a stream of proposals."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
 
-from claimweave.functions.scores import exact
-from claimweave.operators import checks as C, fold
-from claimweave.operators.ledger import EVENT_SCHEMA, ORD_WIDTH, claim_fault, rejected_claims
-from claimweave.plans.session import materialise, ship_package
+from claimweave.operators import checks as C
+from claimweave.operators.increment import CONTROL, LedgerStore
+from claimweave.plans.epochs import Epochs, columns
+from claimweave.plans.session import materialise
 
-STATE = "state string"
-_EVENT_NAMES = [f.name for f in EVENT_SCHEMA.fields]
+DECISIONS = columns(staged_id="long", decision="string", overall_status="string", score="double", reason_summary="string")
 
 
-def _fold_group(keep_all: bool):
-    """Per key and micro-batch; one text column in and out keeps the per-group conversion small."""
-    def run(key, batches, state: GroupState):
-        kf = fold.KeyFold(key[0], state.get[0] if state.exists else None, keep_all=keep_all)
-        ops = [json.loads(text) for pdf in batches for text in pdf["op"]]
-        for op in sorted(ops, key=lambda o: o["pos"]):
-            op.update(seq=op["pos"] >> fold.ORD_BITS, op="claim", chain=tuple(int(x) for x in op["chain"].split(",")), shared=True, pinned=False)
-            kf.apply(op)
-        state.update((kf.state(),))
-        yield pd.DataFrame({"events": [json.dumps([dict(zip(_EVENT_NAMES, e)) for e in kf.events])]})
-    return run
+def drain_ledger(operations: DataFrame, store: LedgerStore, checkpoint: str) -> LedgerStore:
+    """Take what a stream of operations holds into ``store``, one epoch per micro-batch.
 
+    ``operations``: the ledger's claim columns and, where ``op`` is not ``claim``, ``op`` and ``target`` of a rollback, retraction or merge.
+    Operations may come in any order: late ones reopen the keys that they belong to. A repeated micro-batch counts
+    once, as its number is its epoch. Claims the ledger cannot take are in ``store.rejected()`` with the reason.
 
-def stream_events(claims: DataFrame, chains: DataFrame, *, keep_all: bool = False) -> DataFrame:
-    """Ledger events of a claim stream; ``chains`` is the written ``branch_chains`` table.  State per key is
-    the fold's state between micro-batches.
-
-    Claims are applied in the order of arrival, within a micro-batch by commit order; those it cannot take are the
-    rows of ``stream_rejected``.  ``keep_all``
-    keeps superseded versions in the state, which only later rollbacks need.
+    The state lies in the store's tables and not in the stream, because a rollback or merge has to be sent to all keys that its target
+    wrote, which only the log knows.
     """
-    ship_package(claims.sparkSession)
-    op = F.struct(
-        (F.col("seq") * ORD_WIDTH + F.col("ord")).alias("pos"), F.col("branch_id").cast("long").alias("branch"), "chain", "hyp",
-        F.col("source_id").alias("source"), exact(F.col("trust_score")).alias("trust"), F.col("object_value").alias("obj"),
-        F.col("normalized_object").alias("nobj"), exact(F.col("confidence")).alias("conf"),
-        F.unix_date("valid_from").alias("vf"), F.unix_date("valid_to").alias("vt"))
-    ops = claims.where(claim_fault().isNull()).join(chains, "branch_id").select("claim_key", F.to_json(op, {"ignoreNullFields": "false"}).alias("op"))
-    packed = ops.groupBy("claim_key").applyInPandasWithState(
-        _fold_group(keep_all), "events string", STATE, "append", GroupStateTimeout.NoTimeout)
-    return packed.select(F.inline(F.from_json("events", T.ArrayType(EVENT_SCHEMA))))
+    def take(batch: DataFrame, epoch: int):
+        batch = materialise(batch, "micro-batch")
+        is_claim = F.coalesce(F.col("op"), F.lit("claim")) == "claim"
+        control = batch.where(~is_claim).select(*[f.name for f in CONTROL.fields])
+        store.apply(batch.where(is_claim), None if control.isEmpty() else control, epoch)
 
+    q = operations.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return store
 
-def stream_rejected(claims: DataFrame, chains: DataFrame) -> DataFrame:
-    """The claims of a stream that ``stream_events`` leaves out, with the reason in ``error``; drain it into a table of its own."""
-    return rejected_claims(claims, chains.select(F.col("branch_id").alias("id")))
 
-
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Drain a stream of rows into a Parquet table, each micro-batch into a folder of its own so a retried batch replaces itself."""
-    def write(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+def as_operations(claims: DataFrame, control: DataFrame | None = None) -> DataFrame:
+    """Claims and control operations as rows of one stream."""
+    rows = claims.withColumn("op", F.lit("claim")).withColumn("target", F.lit(None).cast("long"))
+    return rows if control is None else rows.unionByName(control, allowMissingColumns=True)
 
 
 def stream_checks(staged: DataFrame, snapshot: C.Snapshot, path: str, checkpoint: str, *, today: str) -> DataFrame:
     """Run the gate on each micro-batch of proposals against the snapshot; returns the written decisions."""
+    tables = Epochs(staged.sparkSession, path)
+
     def write(batch: DataFrame, epoch: int):
         _, decisions, _ = C.run_checks(C.check_input(materialise(batch, "proposals"), snapshot, today=today))
-        decisions.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        tables.write("decisions", decisions.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DECISIONS.fields]), epoch)
+        tables.commit(epoch)
 
     q = staged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return staged.sparkSession.read.parquet(path).drop("epoch")
+    return tables.read("decisions", DECISIONS).drop("epoch")
 
 
 def drops(rows: DataFrame, order: str, path: str, parts: int = 3) -> Iterator[DataFrame]:
