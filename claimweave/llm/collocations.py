@@ -2,7 +2,7 @@
 
 Nodes are runs of ``k - 1`` words, an edge joins two that overlap in all but one word, so an edge is a run of ``k`` words, the longest
 grams counted. One aggregation counts edges; at the end of a piece (where fewer than ``k`` words follow) the shorter
-runs are counted as its ends. Everything shorter follows without another look at the text: a node's flow is the weight of
+runs are counted as its ends. Words too rare for any phrase end pieces as well. Everything shorter follows without another look at the text: a node's flow is the weight of
 its outgoing edges and of the pieces that end in it, and so on down to words.
 
 Of this graph the part with enough weight is kept, and its unary paths are compacted: an edge that carries the whole flow of
@@ -19,15 +19,24 @@ row's work.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from claimweave.llm.common import kept, small, text_of
+from claimweave.llm.common import kept, small, text_of, workers
 from claimweave.plans.session import materialise
 
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2_000
 SMALL_LANGS = 10_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PIECE_END, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
+#: Different runs a worker counts before it hands their counts on.
+MOST_HELD = 200_000
+#: Frequent words (of up to ``LONG_WORD`` characters) that are sent to all workers; with more, rare words are counted along.
+MOST_KNOWN, LONG_WORD = 1_000_000, 64
+COUNTS = "lang string, gram string, n long"
+# lower case for A-Z only, one blank for both, one break for all ends of pieces
+_SAME = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, "\t": " ", **dict.fromkeys(".,;:!?\n\x0b\x0c\r", "\n")})
 
 
 def head(gram: Column, words: int) -> Column:
@@ -40,31 +49,92 @@ def tail(gram: Column, words: int) -> Column:
     return F.substring_index(gram, " ", -words)
 
 
+def _pieces(text: str) -> Iterator[list[str]]:
+    """The words of each piece of a text."""
+    for line in text.translate(_SAME).split("\n"):
+        words = [w for w in line.split(" ") if w]
+        if words:
+            yield words
+
+
+def _counting(runs_of):
+    """Batches of ``lang, text`` to ``lang, gram, n``; ``runs_of(lang, words)`` lists what to count of a piece. Counts are summed per ``MOST_HELD``."""
+
+    def packed(counts: dict[str, Counter]) -> pa.RecordBatch:
+        langs = [k for k, c in counts.items() for _ in c]
+        columns = [langs, [g for c in counts.values() for g in c], [n for c in counts.values() for n in c.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = counts.setdefault(lang, Counter())
+                for words in _pieces(text):
+                    own.update(runs_of(lang, words))
+                    if len(own) > MOST_HELD:
+                        yield packed(counts)
+                        own.clear()
+                if sum(map(len, counts.values())) > MOST_HELD:
+                    yield packed(counts)
+                    counts.clear()
+        yield packed(counts)
+
+    return run
+
+
+def _runs_of(longest: int, known):
+    """Every run of ``longest`` words, and the shorter ones at the end of a piece. A word that is too rare ends a piece too."""
+
+    def runs(lang: str, words: list[str]) -> list[str]:
+        if known is not None:
+            often = known.value.get(lang, ())
+            parts, part = [], []
+            for w in words:
+                if w in often or len(w) > LONG_WORD:
+                    part.append(w)
+                elif part:
+                    parts.append(part)
+                    part = []
+            parts.append(part)
+        else:
+            parts = [words]
+        return [" ".join(p[i:i + longest]) for p in parts for i in range(len(p))]
+
+    return runs
+
+
 class PhraseGraph:
     """The graph of one table of documents (``text``, ``lang``)."""
 
     def __init__(self, docs: DataFrame, longest: int = LONGEST, least: int = LEAST):
         self.k, self.least = longest, least
-        text = F.translate(text_of(), UPPER, LOWER)
-        pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE_END)).alias("piece"))
-        words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-        # a run of the next k words from every word on; at a piece's end fewer: those runs are the ends
-        run = lambda i: F.struct(F.least(F.lit(longest), F.size("w") - i + 1).alias("words"), F.array_join(F.slice("w", i, F.lit(longest)), " ").alias("gram"))
-        runs = words.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), run)).alias("r")).select("lang", "r.words", "r.gram")
-        #: Runs of up to k words with their counts: edges, and ends of pieces.
-        self.runs = materialise(runs.groupBy("lang", "words", "gram").agg(F.count("*").alias("n")), "runs")
-        flows, below = {}, self.runs
-        for size in range(longest - 1, 0, -1):
-            # weight of outgoing edges plus ends, then again one word down
-            shorter = F.when(F.col("words") > size, head(F.col("gram"), size)).otherwise(F.col("gram"))
-            below = below.select("lang", F.least("words", F.lit(size)).alias("words"), shorter.alias("gram"), "n").groupBy("lang", "words", "gram").agg(F.sum("n").alias("n"))
-            below = materialise(below, "flows")
-            flows[size] = below.where(F.col("words") == size)
+        spark = docs.sparkSession
+        texts = workers(docs).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
+        words = texts.mapInArrow(_counting(lambda _, w: w), COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        words = materialise(words, "words")
         #: Occurrences of words per language.
-        self.totals = flows[1].groupBy("lang").agg(F.sum("n").alias("total"))
-        edges = self.runs.where((F.col("words") == longest) & (F.col("n") >= least)).select("lang", "gram", "n")
+        self.totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+        # a phrase is no more frequent than its words: rare words end pieces, if the frequent ones are few enough to send to all workers
+        often = words.where((F.col("n") >= least) & (F.length("gram") <= LONG_WORD)).select("lang", "gram")
+        known = None
+        if often.count() <= MOST_KNOWN:
+            by_lang: dict[str, set] = {}
+            for r in often.toLocalIterator():
+                by_lang.setdefault(r.lang, set()).add(r.gram)
+            known = spark.sparkContext.broadcast(by_lang)
+        level = texts.mapInArrow(_counting(_runs_of(longest, known)), COUNTS)
+        size = F.size(F.split("gram", " "))
+        found = None
+        for words in range(longest, 0, -1):
+            # weight of outgoing edges plus ends, one word down at a time; the number of words is no key, so that a filter on it stays above the shuffle
+            level = level.select("lang", head(F.col("gram"), words).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.max(F.least(size, F.lit(words))).alias("words"))
+            part = level.where((F.col("words") == words) & (F.col("n") >= least))
+            found = part if found is None else found.union(part)
+        # one job: its branches share the shuffles
+        counts = materialise(found, "counts")
         #: Counts of runs of each number of words, those of ``least`` and more.
-        self.counts = {longest: materialise(edges, "edges"), **{w: materialise(f.where(F.col("n") >= least).select("lang", "gram", "n"), "counts") for w, f in flows.items()}}
+        self.counts = {w: counts.where(F.col("words") == w).select("lang", "gram", "n") for w in range(1, longest + 1)}
 
     def edges(self) -> DataFrame:
         """``lang, gram, n, from, to, inner``: edges between nodes; ``inner`` edges carry all of both nodes' flow."""
