@@ -124,11 +124,13 @@ class PhraseGraph:
                 by_lang.setdefault(r.lang, set()).add(r.gram)
             known = spark.sparkContext.broadcast(by_lang)
         level = texts.mapInArrow(_counting(_runs_of(longest, known)), COUNTS)
-        size = F.size(F.split("gram", " "))
+        level = level.withColumn("words", F.size(F.split("gram", " ")))
         found = None
         for words in range(longest, 0, -1):
-            # weight of outgoing edges plus ends, one word down at a time; the number of words is no key, so that a filter on it stays above the shuffle
-            level = level.select("lang", head(F.col("gram"), words).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.max(F.least(size, F.lit(words))).alias("words"))
+            # weight of outgoing edges plus ends, one word down at a time; the number of words is no key, so that a filter on it stays above the
+            # shuffle, and every level hands on all columns, so that the branches below have the same shuffles and share them
+            level = level.select("lang", head(F.col("gram"), words).alias("gram"), "n", F.least("words", F.lit(words)).alias("words"))
+            level = level.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.max("words").alias("words"))
             part = level.where((F.col("words") == words) & (F.col("n") >= least))
             found = part if found is None else found.union(part)
         # one job: its branches share the shuffles
