@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -26,6 +27,29 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Intermediate tables of one job, written as Parquet in the shared folder and deleted as soon as nothing needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{scratch_dir(self.spark)}/claimweave/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables, and let Spark's cleaner drop the shuffle files that led to them."""
+        jvm = self.spark.sparkContext._jvm
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        jvm.System.gc()  # the cleaner follows the driver's collector, which may not run for long
+
+
 def workers(df: DataFrame) -> DataFrame:
     """``df``, after making this package importable in the Python workers."""
     ship_package(df.sparkSession)

@@ -28,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from claimweave.llm import shingle_arrays as A
-from claimweave.llm.common import kept, small, text_of, workers
+from claimweave.llm.common import Scratch, kept, small, text_of, workers
 
-#: Sets a worker remembers as dealt already; when full they are forgotten (and dealt again, harmlessly).
-MOST_SEEN = 200_000
+#: Blocks of columns in which two rows are multiplied.
+COLUMN_BLOCKS = 4
 #: Rows of class or component tables that are broadcast; larger ones are shuffled.
 SMALL_ROWS = 400_000
 
@@ -68,88 +68,115 @@ def _arrays(width: int):
 
 def _signatures(width: int, percent: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = batch.column(0).to_pylist()
             for a, b in A.groups(rows):
                 hashes, bounds = A.shingle_sets(rows[a:b], width)
-                k1, k2 = A.set_keys(hashes, bounds)
-                if len(seen) > MOST_SEEN:
-                    seen.clear()
-                new = np.zeros(b - a, dtype=bool)
-                for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
-                    if key not in seen:
-                        seen.add(key)
-                        new[i] = True
+                k1, _ = A.set_keys(hashes, bounds)
                 signatures, owner, need = A.block_signatures(hashes, bounds, percent)
-                use = new[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signatures[use], type=pa.int64()), pa.array(k1[owner[use]], type=pa.int64()), pa.array(need[use].astype(np.int32))], names=["block", "row", "need"])
+                    [pa.array(signatures, type=pa.int64()), pa.array(k1[owner], type=pa.int64()), pa.array(need.astype(np.int32))], names=["block", "row", "need"])
 
     return deal
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``row, component`` for the rows that ``links`` (``a, b``) connect; a component is named by its smallest row.
 
     Smallest labels spread along links and labels are followed to their own labels, so a component settles in
     about as many rounds as the logarithm of its diameter.
     """
-    both = kept(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("row"), "label"))
+    both = scratch.keep(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links-both")
+    labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("row"), "label", F.lit(True).alias("moved")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["row"]).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, labels["row"] == near["a"]).select("row", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("row").alias("via"), F.col("label").alias("further"))
-        moved = kept(spread.join(jump, spread["label"] == jump["via"]).select("row", "old", F.least("label", "further").alias("label")))
-        labels = moved.select("row", "label")
-        if moved.where("old <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        moved = spread.join(jump, spread["label"] == jump["via"]).select("row", F.least("label", "further").alias("label"), "old")
+        after = scratch.keep(moved.select("row", "label", (F.col("old") > F.col("label")).alias("moved")), "labels")
+        scratch.drop(labels)
+        labels = after
+        if labels.where("moved").isEmpty():
+            scratch.drop(both)
+            return labels.select("row", F.col("label").alias("component"))
 
 
 class JaccardJoin:
     """The join of one table of documents (``doc_id`` and ``text``); further columns are not looked at."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.width, self.percent = width, percent
+        self.width, self.percent, self.scratch = width, percent, Scratch(docs.sparkSession)
         self.docs = workers(docs).select("doc_id", text_of().alias("text")).withColumn("t", F.xxhash64("text"))
         keyed = self.docs.withColumn("k", _keys(width)("text"))
         #: Every document with the keys of its set.
-        self.sets = kept(keyed.select("doc_id", "t", "k.k1", "k.k2", "k.n"))
+        self.sets = self.scratch.keep(keyed.select("doc_id", "t", "k.k1", "k.k2", "k.n"), "sets")
         classes = self.sets.where("n > 0").groupBy("k1", "k2").agg(
             F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t")).alias("pick"), F.first("n").alias("n"))
-        self.classes = kept(classes)
+        self.classes = self.scratch.keep(classes, "classes")
+
+    def _dealt(self) -> DataFrame:
+        """``block, row, need`` of one document per class, as its copies have the same blocks."""
+        one = self.classes.select(F.col("pick.doc_id").alias("o_id"), F.col("pick.t").alias("o_t"))
+        rest = self.sets.join(one, (F.col("t") == F.col("o_t")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left_anti")
+        rest = self.scratch.keep(rest.select(F.col("doc_id").alias("r_id"), F.col("t").alias("r_t")).distinct(), "copies")
+        texts = self.docs.join(small(rest, SMALL_ROWS), (F.col("t") == F.col("r_t")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left_anti")
+        return texts.select("text").mapInArrow(_signatures(self.width, self.percent), "block bigint, row bigint, need int")
 
     def block_rows(self) -> DataFrame:
-        """``block, row`` of the blocks in which different rows meet, of rows that meet others in as many as a link needs."""
-        dealt = self.docs.select("text").mapInArrow(_signatures(self.width, self.percent), "block bigint, row bigint, need int")
-        whole = W.partitionBy("block")
-        met = dealt.select("*", F.min("row").over(whole).alias("lo"), F.max("row").over(whole).alias("hi")).where("lo < hi")
-        met = kept(met.select("block", "row", "need").distinct())
-        enough = met.groupBy("row", "need").agg(F.count("*").alias("m")).where(F.col("m") >= F.shiftright("need", 1)).select("row", "need")
-        able = met.join(enough, ["row", "need"]).select("block", "row")
-        whole = W.partitionBy("block")
-        return kept(able.select("*", F.min("row").over(whole).alias("lo"), F.max("row").over(whole).alias("hi")).where("lo < hi").select("block", "row"))
+        """``block, row`` of the blocks in which different rows meet, of rows that meet others in as many as a link needs.
+
+        Counts per block are summed before the shuffle, and only blocks with several rows are looked up again, so a block that
+        very many rows share is no task of its own.
+        """
+        dealt = self._dealt()
+        shared = self.scratch.keep(dealt.groupBy("block").agg(F.count("*").alias("m")).where("m > 1").select("block"), "shared-blocks")
+        met = self.scratch.keep(dealt.join(small(shared, SMALL_ROWS), "block").select("block", "row", "need").distinct(), "met")
+        # a document that is there twice with one text is dealt twice
+        shared_by_two = self._of_several(met, ["block"])
+        enough = shared_by_two.groupBy("row", "need").agg(F.count("*").alias("m")).where(F.col("m") >= F.shiftright("need", 1)).select("row", "need")
+        able = self.scratch.keep(shared_by_two.join(enough, ["row", "need"]).select("block", "row"), "able")
+        rows = self.scratch.keep(self._of_several(able, ["block"]).select("block", "row"), "block-rows")
+        self.scratch.drop(shared, met, able)
+        return rows
+
+    @staticmethod
+    def _of_several(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows whose group of ``keys`` has different values of ``row``; groups are told by partial minima and maxima."""
+        several = rows.groupBy(*keys).agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select(*keys)
+        return rows.join(several, keys, "left_semi")
 
     def columns_of(self, rows: DataFrame) -> DataFrame:
         """``row, k2, n, ids``: the incidence of the given rows, one document standing for each class."""
         picks = self.classes.join(small(rows.select(F.col("row").alias("k1")).distinct(), SMALL_ROWS), "k1").select("k1", "k2", "n", "pick.doc_id", "pick.t")
         picks = picks.select(F.col("k1").alias("row"), "k2", "n", F.col("doc_id").alias("p_id"), F.col("t").alias("p_t"))
         texts = self.docs.join(small(picks, SMALL_ROWS), (F.col("t") == F.col("p_t")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
-        return kept(texts.dropDuplicates(["row", "k2"]).select("row", "k2", "n", _arrays(self.width)("text").alias("ids")))
+        return self.scratch.keep(texts.select("row", "k2", "n", _arrays(self.width)("text").alias("ids")).dropDuplicates(["row", "k2"]), "columns")
 
     def most_apart(self, n: Column, m: Column) -> Column:
         """The largest symmetric difference of similar sets of sizes ``n`` and ``m``."""
         return n + m - F.ceil((n + m) * self.percent / (100 + self.percent)) * 2
 
     def multiply(self, pairs: DataFrame, columns: DataFrame) -> DataFrame:
-        """The pairs (``a, b``) whose rows are similar."""
-        p = self.percent
-        left = columns.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("ids").alias("ids_a"))
-        right = columns.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("ids").alias("ids_b"))
-        met = pairs.join(right, "b").join(left, "a")
-        shared = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ids_a", "ids_b")).alias("shared"))
-        return shared.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * p).select("a", "b")
+        """The pairs (``a, b``) whose rows are similar.
+
+        Their columns are multiplied block by block, summing the overlap; a pair is given up as soon as its overlap so far and what is
+        left of the smaller row cannot reach the similarity.
+        """
+        cut = F.transform(F.sequence(F.lit(0), F.lit(COLUMN_BLOCKS - 1)), lambda b: F.filter("ids", lambda x: F.pmod(x, F.lit(COLUMN_BLOCKS)) == b))
+        blocks = columns.select("row", "n", cut.alias("blocks"))
+        left, right = (blocks.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("blocks").alias(f"blocks_{x}")) for x in "ab")
+        met = pairs.join(right, "b").join(left, "a").withColumn("need", F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / (100 + self.percent)))
+        zero = F.lit(0).cast("long")
+        start = F.struct(zero.alias("shared"), F.col("n_a").alias("left_a"), F.col("n_b").alias("left_b"))
+
+        def add(done: Column, block: Column) -> Column:
+            hopeless = done["shared"] + F.least(done["left_a"], done["left_b"]) < F.col("need")
+            both = F.size(F.array_intersect(block["blocks_a"], block["blocks_b"])).cast("long")
+            return F.when(hopeless, done).otherwise(F.struct(
+                (done["shared"] + both).alias("shared"), (done["left_a"] - F.size(block["blocks_a"])).alias("left_a"), (done["left_b"] - F.size(block["blocks_b"])).alias("left_b")))
+
+        done = met.select("a", "b", "need", F.aggregate(F.arrays_zip("blocks_a", "blocks_b"), start, add)["shared"].alias("shared"))
+        return done.where(F.col("shared") >= F.col("need")).select("a", "b")
 
     def differences(self, rows: DataFrame, columns: DataFrame) -> DataFrame:
         """``pivot, row, n, apart, near, first``: each row against the pivots of its blocks.
@@ -158,7 +185,7 @@ class JaccardJoin:
         pivot can first show, elements that the pivot lacks before those that the row lacks, each by hash.
         """
         met = rows.groupBy("block").agg(F.count("*").alias("m"))
-        standing = rows.join(met, "block").groupBy("row").agg(F.sum("m").alias("met"))
+        standing = self.scratch.keep(rows.join(met, "block").groupBy("row").agg(F.sum("m").alias("met")), "standing")
         pivot = rows.join(standing, "row").groupBy("block").agg(F.max(F.struct("met", "row")).alias("p"))
         pairs = rows.join(pivot, "block").where("row <> p.row").select(F.col("p.row").alias("pivot"), "row").distinct()
         own = columns.select("row", "n", "ids")
@@ -169,7 +196,7 @@ class JaccardJoin:
         # a row near the pivot looks for rows that are not: they meet in the first half of its difference, or a little
         # later for the rows' unequal sizes
         places = F.when(near, F.floor(F.size("d") * 100 / (100 + self.percent)) + 2).otherwise(F.floor(F.col("n") * (100 - self.percent) / self.percent) + 1)
-        return kept(both.select("pivot", "row", "n", F.size("d").alias("apart"), near.alias("near"), F.slice("d", F.lit(1), places.cast("int")).alias("first")))
+        return self.scratch.keep(both.select("pivot", "row", "n", F.size("d").alias("apart"), near.alias("near"), F.slice("d", F.lit(1), places.cast("int")).alias("first")), "differences")
 
     def linked(self) -> DataFrame:
         """``row, component`` of the rows that have links."""
@@ -177,26 +204,25 @@ class JaccardJoin:
         columns = self.columns_of(rows)
         around = self.differences(rows, columns)
         spread = around.select("pivot", "row", "n", "apart", "near", F.posexplode("first").alias("place", "id"))
-        whole = W.partitionBy("pivot", "id")
-        spread = spread.select("*", F.min("row").over(whole).alias("lo"), F.max("row").over(whole).alias("hi")).where("lo < hi").drop("lo", "hi")
-        spread = kept(spread)
+        spread = self.scratch.keep(self._of_several(spread, ["pivot", "id"]), "spread")
         one, two = (spread.select("pivot", "id", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "apart", "near", "place")]) for x in "ab")
         limit = self.most_apart(F.col("n_a"), F.col("n_b"))
         possible = ((F.col("place_a") * 2 <= F.col("apart_a") - F.col("apart_b") + limit) & (F.col("place_b") * 2 <= F.col("apart_b") - F.col("apart_a") + limit))
         meet = one.join(two, ["pivot", "id"]).where((F.col("row_a") < F.col("row_b")) & ~(F.col("near_a") & F.col("near_b")) & possible)
         others = self.multiply(meet.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct(), columns)
-        links = around.where("near").select(F.col("pivot").alias("a"), F.col("row").alias("b")).union(others)
-        return components(links)
+        links = self.scratch.keep(around.where("near").select(F.col("pivot").alias("a"), F.col("row").alias("b")).union(others), "links")
+        self.scratch.drop(rows, columns, around, spread)
+        return components(links, self.scratch)
 
     def grouped(self) -> DataFrame:
         """``doc_id, t, n, component_id, winner``: every document with the smallest id of its group, and which one stays."""
         labels = self.linked().withColumnRenamed("row", "k1")
-        named = self.classes.join(labels, "k1", "left").withColumn("c", F.coalesce("component", "k1"))
-        # classes without links keep to themselves by both keys
-        solo = F.when(F.col("component").isNull(), F.col("k2")).otherwise(F.lit(0))
-        named = named.withColumn("c2", solo)
-        best = named.groupBy("c", "c2").agg(F.min("first").alias("component_id"), F.min("pick").alias("winner"))
-        of_class = kept(named.join(best, ["c", "c2"]).select("k1", "k2", "component_id", "winner"))
+        linked = self.scratch.keep(self.classes.join(labels, "k1").select("k1", "k2", "first", "pick", "component"), "linked")
+        best = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.min("pick").alias("winner"))
+        # a large component is one key of this join: its side is sent to all tasks, or else Spark splits it
+        joined = linked.join(small(best, SMALL_ROWS), "component").select("k1", "k2", "component_id", "winner")
+        alone = self.classes.join(labels, "k1", "left_anti").select("k1", "k2", F.col("first").alias("component_id"), F.col("pick").alias("winner"))
+        of_class = self.scratch.keep(joined.union(alone), "groups")
         out = self.sets.join(of_class, ["k1", "k2"], "left")
         return out.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "winner")
 
