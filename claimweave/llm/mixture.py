@@ -108,7 +108,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
     """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "source", size_column().alias("size"), key_column(seed).alias("key"))
-    plan = cuts(packed.select("source", "size", "key"), weights, epochs)
+    plan = cuts(kept(packed.select("source", "size", "key")), weights, epochs)
     times = (F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")
     rows = with_cuts(packed, plan).where("size > 0").withColumn("__times", times).where("__times > 0")
     return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n")).select("__row.*")
