@@ -9,7 +9,7 @@ everything.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -61,7 +61,8 @@ class CheckInput:
     policy: Policy
     today: str
     recent: int | None = None
-    extra: dict = field(default_factory=dict)
+    earlier: DataFrame | None = None
+    """(staged_id, excerpt) of writes that count as sources for all writes after them"""
 
 
 def staged_claims(staged: DataFrame) -> DataFrame:
@@ -90,16 +91,24 @@ def branch_only_wording(text: Column, speculative: str = SPECULATIVE) -> tuple[C
     return low.rlike(speculative) | low.rlike(BOUNDED), low.rlike(CONFIRMED)
 
 
-def claim_facts(staged: DataFrame, snapshot: Snapshot, policy: Policy) -> DataFrame:
-    """Per proposed claim: its policy class and how it stands to what its branch currently holds."""
+def proposed_claims(staged: DataFrame, policy: Policy) -> DataFrame:
+    """The valid claims of staged writes with their write's branch and trust and their policy class."""
     head = staged.select("staged_id", "branch_id", (F.col("branch_name") == "main").alias("on_main"),
                          clamp(F.col("trust_score")).cast("decimal(6,4)").alias("trust"))
     claims = staged_claims(staged).where("claim_no IS NOT NULL AND error IS NULL").join(head, "staged_id")
-    claims = claims.withColumn("policy_class", policy.class_of(F.col("predicate")))
+    return claims.withColumn("policy_class", policy.class_of(F.col("predicate")))
+
+
+def claim_facts(staged: DataFrame, snapshot: Snapshot, policy: Policy) -> DataFrame:
+    """Per proposed claim: its policy class and how it stands to what its branch currently holds."""
     v = snapshot.current.select(
         F.col("viewer_id").alias("branch_id"), "claim_key", F.col("normalized_object").alias("v_object"),
         F.col("valid_from").alias("v_from"), F.col("valid_to").alias("v_to"), "score_units", "active_support_count")
-    pairs = claims.join(v, ["branch_id", "claim_key"], "left")
+    return compared(proposed_claims(staged, policy).join(v, ["branch_id", "claim_key"], "left"), policy)
+
+
+def compared(pairs: DataFrame, policy: Policy) -> DataFrame:
+    """Facts per claim from proposed claims beside the versions they meet (``v_object``, ...; null where there is none)."""
     present = F.col("v_object").isNotNull()
     same = present & (F.col("v_object") == F.col("normalized_object"))
     near = windows_overlap(F.col("v_from"), F.col("v_to"), F.col("valid_from"), F.col("valid_to"))
@@ -189,7 +198,11 @@ def check_duplicate_source(x: CheckInput) -> DataFrame:
     if x.recent is not None:
         sources = sources.orderBy(F.col("source_id").desc()).limit(x.recent)
     known = sources.select(canonical_text(F.col("excerpt")).alias("k")).where("k <> ''").distinct()
-    rows = x.staged.select("staged_id", canonical_text(F.col("excerpt")).alias("k")).join(known, "k", "left_semi")
+    keyed = x.staged.select("staged_id", canonical_text(F.col("excerpt")).alias("k"))
+    rows = keyed.join(known, "k", "left_semi")
+    if x.earlier is not None:
+        first = x.earlier.groupBy(canonical_text(F.col("excerpt")).alias("k")).agg(F.min("staged_id").alias("first")).where("k <> ''")
+        rows = rows.unionByName(keyed.join(first, "k").where("first < staged_id").select("k", "staged_id"))
     return _failing(rows, "duplicate_source_anomaly_check")
 
 

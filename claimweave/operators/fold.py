@@ -193,6 +193,9 @@ class KeyFold:
                 claim = {"source": v.source, "trust": v.trust, "obj": v.obj, "nobj": v.nobj, "conf": v.conf,
                          "vf": v.vf, "vt": v.vt, "shared": True, "from": v.vid}
                 self._claim(claim, op["pos"] + j, op)
+        elif kind == "probe":
+            for v in self._visible(op["chain"]):
+                self._emit("probe", v.vid, branch=v.branch, source=v.source, status=v.status, version=v, n=v.supporters, trust=scaled_score(v.net, v.conf))
         elif kind == "retract":
             self._touch_sums()
             v = self.live.get(op["target"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimweave.operators import checks as C, lifecycle as LC, reads as R, routing as RT
+from claimweave.operators import checks as C, ledger as L, lifecycle as LC, ordered_gate as G, reads as R, routing as RT
 from claimweave.operators.policy import Policy
 from claimweave.plans import catalog_ledger as CL, fixtures as fx
 from claimweave.plans.registry import once, query
@@ -293,6 +293,16 @@ def run_checks(spark, sf_dir):
     return writes.join(failed, "staged_id", "left").select("staged_id", "status", "review_required", F.coalesce("n", F.lit(0)).alias("n_failed"))
 
 
+@query("ordered_gate")
+def ordered_gate(spark, sf_dir):
+    """The staged writes in order, each checked against what all earlier accepted ones left."""
+    log = _renamed(CL.main_claims(spark, sf_dir))
+    states = L.fold_events(log, fx.branches(spark), end_states=True).where("kind = 'state'").select("claim_key", F.col("object_value").alias("state"))
+    base = log.agg(F.max("seq")).first()[0] + 1
+    done = G.ordered_decisions(staged_writes(spark, sf_dir), states, fx.branches(spark), snapshot(spark, sf_dir), today=TODAY, base=base, messages=4)
+    return done.select("staged_id", "decision", "overall_status", "score", "reason_summary")
+
+
 @query("check_report", """
 WITH r AS (SELECT event_id * 3 + k AS run_id, event_id AS staged_id, k FROM events, (VALUES (0), (1), (2)) AS t(k) WHERE k <= event_id % 3)
 SELECT staged_id, max(run_id) AS run_id, 'check_a' AS check_name, max(run_id) % 2 = 0 AS passed FROM r GROUP BY staged_id
@@ -516,7 +526,6 @@ def applied_claims(spark, sf_dir):
 @query("write_path")
 def write_path(spark, sf_dir):
     """Proposals through gate and review into a ledger of their own: versions and open conflicts per predicate."""
-    from claimweave.operators import ledger as L
     claims, _ = LC.applied_claims(decided(spark, sf_dir)[0])
     versions = L.versions_table(L.fold_events(claims, fx.branches(spark)))
     return versions.groupBy(F.element_at(F.split("claim_key", "::"), 2).alias("predicate"), "status").agg(
