@@ -19,9 +19,12 @@ row's work.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -30,13 +33,16 @@ from claimweave.plans.session import materialise
 
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2_000
 SMALL_LANGS = 10_000
-#: Different runs a worker counts before it hands their counts on.
-MOST_HELD = 200_000
-#: Frequent words (of up to ``LONG_WORD`` characters) that are sent to all workers; with more, rare words are counted along.
-MOST_KNOWN, LONG_WORD = 1_000_000, 64
+#: Different words or runs a worker counts before it hands their counts on.
+MOST_HELD = 1_000_000
+#: Frequent words are numbered and sent to all workers up to this number and these bytes; beyond, runs are counted as text.
+MOST_KNOWN, MOST_KNOWN_BYTES = 1_000_000, 32 << 20
+#: Bits of a word's number in a run of up to three.
+BITS = 20
+MASK = (1 << BITS) - 1
 COUNTS = "lang string, gram string, n long"
-# lower case for A-Z only, one blank for both, one break for all ends of pieces
-_SAME = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, "\t": " ", **dict.fromkeys(".,;:!?\n\x0b\x0c\r", "\n")})
+# bytes: lower case for A-Z only, one blank for both, one break for all ends of pieces
+_SAME = bytes(ord(chr(c).lower()) if 65 <= c <= 90 else 32 if c == 9 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 
 def head(gram: Column, words: int) -> Column:
@@ -49,94 +55,177 @@ def tail(gram: Column, words: int) -> Column:
     return F.substring_index(gram, " ", -words)
 
 
-def _pieces(text: str) -> Iterator[list[str]]:
-    """The words of each piece of a text."""
-    for line in text.translate(_SAME).split("\n"):
-        words = [w for w in line.split(" ") if w]
-        if words:
-            yield words
+def _tokens(text: bytes) -> list[bytes]:
+    """Words in order, with breaks (a new line) between pieces and empty strings between blanks."""
+    return text.translate(_SAME).replace(b"\n", b" \n ").split(b" ")
 
 
-def _counting(runs_of):
-    """Batches of ``lang, text`` to ``lang, gram, n``; ``runs_of(lang, words)`` lists what to count of a piece. Counts are summed per ``MOST_HELD``."""
+def _summed(counts: dict[str, Counter]) -> pa.RecordBatch:
+    for c in counts.values():
+        c.pop(b"", None)
+        c.pop(b"\n", None)
+    columns = [[k for k, c in counts.items() for _ in c], [g for c in counts.values() for g in c], [n for c in counts.values() for n in c.values()]]
+    arrays = [pa.array(columns[0], type=pa.string()), pa.array(columns[1], type=pa.binary()).cast(pa.string()), pa.array(columns[2], type=pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "n"])
 
-    def packed(counts: dict[str, Counter]) -> pa.RecordBatch:
-        langs = [k for k, c in counts.items() for _ in c]
-        columns = [langs, [g for c in counts.values() for g in c], [n for c in counts.values() for n in c.values()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+
+def _counting(grams):
+    """Batches of ``lang, text`` to ``lang, gram, n``, summed per ``MOST_HELD`` different grams; ``grams`` lists those of a text's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = counts.setdefault(lang, Counter())
-                for words in _pieces(text):
-                    own.update(runs_of(lang, words))
-                    if len(own) > MOST_HELD:
-                        yield packed(counts)
-                        own.clear()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                counts.setdefault(lang, Counter()).update(grams(_tokens(text)))
                 if sum(map(len, counts.values())) > MOST_HELD:
-                    yield packed(counts)
+                    yield _summed(counts)
                     counts.clear()
-        yield packed(counts)
+        yield _summed(counts)
 
     return run
 
 
-def _runs_of(longest: int, known):
-    """Every run of ``longest`` words, and the shorter ones at the end of a piece. A word that is too rare ends a piece too."""
-
-    def runs(lang: str, words: list[str]) -> list[str]:
-        if known is not None:
-            often = known.value.get(lang, ())
-            parts, part = [], []
-            for w in words:
-                if w in often or len(w) > LONG_WORD:
-                    part.append(w)
-                elif part:
-                    parts.append(part)
-                    part = []
-            parts.append(part)
-        else:
-            parts = [words]
-        return [" ".join(p[i:i + longest]) for p in parts for i in range(len(p))]
+def _text_runs(longest: int):
+    """Every run of ``longest`` words of a text's tokens, and the shorter ones at the end of a piece."""
+
+    def runs(tokens: list[bytes]) -> Iterator[bytes]:
+        for whole, piece in groupby((t for t in tokens if t), lambda t: t != b"\n"):
+            if whole:
+                words = list(piece)
+                yield from (b" ".join(words[i:i + longest]) for i in range(len(words)))
 
     return runs
 
 
+class _Numbers(dict):
+    """Numbers of words; a word without one has 0, which ends pieces."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
+_known: dict[str, tuple[dict[str, _Numbers], list[tuple[str, str]]]] = {}
+
+
+def _numbers(job: str, shared) -> tuple[dict[str, _Numbers], list[tuple[str, str]]]:
+    """A worker's numbers of words per language, and the words by number; workers are used again, so they are told by ``job``."""
+    if job not in _known:
+        _known.clear()
+        by_lang: dict[str, _Numbers] = {}
+        for i, (lang, word) in enumerate(shared.value, 1):
+            by_lang.setdefault(lang, _Numbers({b"": -1}))[word.encode()] = i
+        _known[job] = by_lang, [("", ""), *shared.value]
+    return _known[job]
+
+
+def _number_runs(job: str, shared):
+    """Batches of ``lang, text`` to ``node, gram, n``: runs of three numbered words (0 behind a piece's end), summed per ``MOST_HELD`` words."""
+
+    def packed(ids: list[int]) -> pa.RecordBatch:
+        a = np.array([*ids, 0, 0], dtype=np.int64)
+        a = np.concatenate([a[a >= 0], [0, 0]])
+        first, second, third = a[:-2], a[1:-1], a[2:]
+        grams = ((first << 2 * BITS) | (second << BITS) | np.where(second > 0, third, 0))[first > 0]
+        grams, n = np.unique(grams, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(grams >> BITS), pa.array(grams), pa.array(n.astype(np.int64))], names=["node", "gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_lang, _ = _numbers(job, shared)
+        none, ids = _Numbers({b"": -1}), []
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                ids.extend(map(by_lang.get(lang, none).__getitem__, _tokens(text)))
+                ids.append(0)
+                if len(ids) > MOST_HELD:
+                    yield packed(ids)
+                    ids = []
+        yield packed(ids)
+
+    return run
+
+
+def _flows(job: str, shared, least: int):
+    """Runs in ascending order, all of a node together, to counts: edges and nodes with ``least`` and more, and each word's share here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, words = _numbers(job, shared)
+        open_: dict[int, tuple[int, int]] = {}  # per number of words: the run that the last batch ended in, and its count so far
+
+        def told(size: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            use = (keys & MASK > 0) & ((n >= least) | (size == 1))
+            keys, n = keys[use], n[use]
+            parts = [[(k >> shift) & MASK for k in keys.tolist()] for shift in range((size - 1) * BITS, -1, -BITS)]
+            grams = [" ".join([words[i][1] for i in g]) for g in zip(*parts)]
+            langs = [words[i][0] for i in parts[0]]
+            return pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(grams, type=pa.string()), pa.array(n), pa.array(np.full(len(keys), size, dtype=np.int32))],
+                                              names=["lang", "gram", "n", "words"])
+
+        for batch in batches:
+            grams, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(grams):
+                continue
+            for size in (3, 2, 1):
+                runs = grams >> (3 - size) * BITS
+                at = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+                keys, n = runs[at], np.add.reduceat(counts, at)
+                if size in open_:
+                    if open_[size][0] == keys[0]:
+                        n[0] += open_[size][1]
+                    else:
+                        keys, n = np.concatenate([[open_[size][0]], keys]), np.concatenate([[open_[size][1]], n])
+                open_[size] = int(keys[-1]), int(n[-1])
+                yield told(size, keys[:-1], n[:-1])
+        for size, (key, n) in open_.items():
+            yield told(size, np.array([key]), np.array([n]))
+
+    return run
+
+
 class PhraseGraph:
     """The graph of one table of documents (``text``, ``lang``)."""
 
     def __init__(self, docs: DataFrame, longest: int = LONGEST, least: int = LEAST):
         self.k, self.least = longest, least
-        spark = docs.sparkSession
         texts = workers(docs).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
-        words = texts.mapInArrow(_counting(lambda _, w: w), COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        words = texts.mapInArrow(_counting(list), COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         words = materialise(words, "words")
         #: Occurrences of words per language.
         self.totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-        # a phrase is no more frequent than its words: rare words end pieces, if the frequent ones are few enough to send to all workers
-        often = words.where((F.col("n") >= least) & (F.length("gram") <= LONG_WORD)).select("lang", "gram")
-        known = None
-        if often.count() <= MOST_KNOWN:
-            by_lang: dict[str, set] = {}
-            for r in often.toLocalIterator():
-                by_lang.setdefault(r.lang, set()).add(r.gram)
-            known = spark.sparkContext.broadcast(by_lang)
-        level = texts.mapInArrow(_counting(_runs_of(longest, known)), COUNTS)
-        level = level.withColumn("words", F.size(F.split("gram", " ")))
+        often = words.where(F.col("n") >= least)
+        size = often.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("bytes")).first()
+        if longest == 3 and size.n <= MOST_KNOWN and size.bytes <= MOST_KNOWN_BYTES:
+            counts = self._numbered(texts, often)
+        else:
+            counts = self._spelled(texts)
+        counts = materialise(counts, "counts")
+        #: Counts of runs of each number of words, those of ``least`` and more.
+        self.counts = {w: counts.where(F.col("words") == w).select("lang", "gram", "n") for w in range(1, longest + 1)}
+
+    def _numbered(self, texts: DataFrame, often: DataFrame) -> DataFrame:
+        """Counts through numbers of the frequent words: a phrase is no more frequent than its words, so rarer ones end pieces.
+
+        Runs are shuffled once, by their node and already summed per worker; edges, flows and words follow from one sorted pass.
+        """
+        ordered = sorted((r.lang, r.gram) for r in often.select("lang", "gram").toLocalIterator())
+        job, shared = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast(ordered)
+        runs = texts.mapInArrow(_number_runs(job, shared), "node long, gram long, n long")
+        runs = runs.repartition("node").sortWithinPartitions("gram").select("gram", "n")
+        found = runs.mapInArrow(_flows(job, shared, self.least), "lang string, gram string, n long, words int")
+        found = found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.max("words").alias("words"))
+        return found.where(F.col("n") >= self.least)
+
+    def _spelled(self, texts: DataFrame) -> DataFrame:
+        """Counts of runs of any length, of words of any number, as text."""
+        level = texts.mapInArrow(_counting(_text_runs(self.k)), COUNTS).withColumn("words", F.size(F.split("gram", " ")))
         found = None
-        for words in range(longest, 0, -1):
+        for words in range(self.k, 0, -1):
             # weight of outgoing edges plus ends, one word down at a time; the number of words is no key, so that a filter on it stays above the
             # shuffle, and every level hands on all columns, so that the branches below have the same shuffles and share them
             level = level.select("lang", head(F.col("gram"), words).alias("gram"), "n", F.least("words", F.lit(words)).alias("words"))
             level = level.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.max("words").alias("words"))
-            part = level.where((F.col("words") == words) & (F.col("n") >= least))
+            part = level.where((F.col("words") == words) & (F.col("n") >= self.least))
             found = part if found is None else found.union(part)
-        # one job: its branches share the shuffles
-        counts = materialise(found, "counts")
-        #: Counts of runs of each number of words, those of ``least`` and more.
-        self.counts = {w: counts.where(F.col("words") == w).select("lang", "gram", "n") for w in range(1, longest + 1)}
+        return found
 
     def edges(self) -> DataFrame:
         """``lang, gram, n, from, to, inner``: edges between nodes; ``inner`` edges carry all of both nodes' flow."""

@@ -63,6 +63,15 @@ def test_small_words_and_edges(spark):
     assert collocations.mined(df.where("false")).count() == 0
 
 
+def test_words_as_numbers_and_as_text_give_the_same(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["en", "de"]), " ".join(rnd.choice("abcdefghij") + rnd.choice(["", "", "."]) for _ in range(50))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    numbered = answers(collocations.mined(df))
+    monkeypatch.setattr(collocations, "MOST_KNOWN", 3)
+    assert answers(collocations.mined(df)) == numbered == expected(rows)
+
+
 def test_repeated_passages_are_compacted(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
     rows = [("en", f"{passage}.")] * 11 + [("en", f"w{i} one two.") for i in range(5)]
