@@ -6,12 +6,10 @@ questions: question_id, prompt, subject, predicate, branch_name
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from claimweave.functions.text import raw_tokens
-from claimweave.plans.session import materialise
+from claimweave.functions.text import raw_tokens, tokens
+from claimweave.plans.session import materialise, sized_broadcast
 from claimweave.plans.substring import contains_join
 from claimweave.sources.corpus import first_per_group
 
@@ -59,93 +57,74 @@ def _vectors(rows: DataFrame, key: str, text: str, idf: DataFrame, n_docs: Colum
     return w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def tfidf_topk(facts: DataFrame, questions: DataFrame, k: int = 5, *, common_df: int = 100_000, block: int = 2_000) -> DataFrame:
-    """(question_id, fact_id, score, rank): exact top-k documents by TF-IDF cosine.
+def tfidf_topk(facts: DataFrame, questions: DataFrame, k: int = 5, *, common_df: int | None = None) -> DataFrame:
+    """(question_id, fact_id, score, rank): exact top-k documents by TF-IDF cosine. Ties go to the lower fact_id.
 
-    Documents sharing a rarer term with the question are scored by a join on those terms.  Terms in
-    more than ``common_df`` documents stay out of that join, which they would turn into all pairs; what
-    they alone can add is bounded by their largest document weights.  A question whose k-th score beats
-    the bound is finished.  For the others, documents are also scored on their common terms only: these
-    are few, documents with equal common weights are alike (the first k ids of each profile suffice),
-    and each task keeps its own best k.  Ties go to the lower fact_id.
+    Documents sharing a rarer term with the question are scored by a join on those terms.  Terms in more than ``common_df``
+    documents (a thousandth of them, 500 at least) stay out of that join, which they would turn into all pairs; what they
+    alone can add is bounded by their largest document weights.  A question whose k-th score beats the bound is finished.  For the
+    others ``_by_common_terms`` finds what documents with common terms only can still add.
     """
     docs = facts.select("fact_id", F.lower("document").alias("document"))
     n = docs.count()
     n_docs = F.lit(n)
-    limit = max(common_df, n // 1000)
+    limit = common_df if common_df is not None else max(500, n // 1000)
     df = docs.select("fact_id", F.explode(F.array_distinct(raw_tokens(F.col("document")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = materialise(df.select("term", "df", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1.0).alias("idf")), "idf")
     d = materialise(_vectors(docs, "fact_id", "document", idf.drop("df"), n_docs), "doc-vectors")
-    q = materialise(_vectors(questions, "question_id", "query", idf.drop("df"), n_docs), "query-vectors")
-    qw = q.withColumnRenamed("w", "qw")
-    common = idf.where(F.col("df") > limit).select("term")
-    score = F.round(F.sum(F.col("qw") * F.col("w")), SCORE_DIGITS).alias("score")
+    qw = materialise(_vectors(questions, "question_id", "query", idf.drop("df"), n_docs).withColumnRenamed("w", "qw"), "query-vectors")
+    common = sized_broadcast(idf.where(F.col("df") > limit).select("term"))
     order = [F.col("score").desc(), "fact_id"]
-    if common.isEmpty():
-        scored = qw.join(d, "term").groupBy("question_id", "fact_id").agg(score)
-        return _fill(first_per_group(scored, ["question_id"], order, k), docs, questions, k)
     pairs = qw.join(common, "term", "left_anti").join(d, "term").select("question_id", "fact_id").distinct()
-    scored = pairs.join(qw, "question_id").join(d, ["fact_id", "term"]).groupBy("question_id", "fact_id").agg(score)
+    scored = pairs.join(qw, "question_id").join(d, ["fact_id", "term"]).groupBy("question_id", "fact_id").agg(_score())
     best = materialise(first_per_group(scored, ["question_id"], order, k), "rare-topk")
-    common_d = d.join(common, "term", "left_semi")
-    bound = qw.join(common_d.groupBy("term").agg(F.max("w").alias("most")), "term").groupBy("question_id").agg(
-        F.sum(F.col("qw") * F.col("most")).alias("bound"))
-    kth = best.groupBy("question_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
-    unsure = (F.coalesce("n", F.lit(0)) < min(k, n)) | (F.coalesce("bound", F.lit(0.0)) + 10.0 ** -SCORE_DIGITS >= F.col("kth"))
-    open_q = questions.select("question_id").join(kth, "question_id", "left").join(bound, "question_id", "left").where(unsure).select("question_id")
-    open_vectors = materialise(
-        q.join(open_q, "question_id", "left_semi").join(common, "term", "left_semi")
-        .groupBy("question_id").agg(F.collect_list(F.struct("term", "w")).alias("v")), "open-vectors")
-    by_common = _common_topk(common_d, open_vectors, k, block)
-    if by_common is not None:
-        best = best.unionByName(by_common).groupBy("question_id", "fact_id").agg(F.max("score").alias("score"))
+    more = _by_common_terms(d.join(common, "term", "left_semi"), qw.join(common, "term", "left_semi"), best, k, n)
+    best = best.unionByName(more).groupBy("question_id", "fact_id").agg(F.max("score").alias("score"))
     return _fill(first_per_group(best, ["question_id"], order, k), docs, questions, k)
 
 
-def _common_topk(common_d: DataFrame, open_vectors: DataFrame, k: int, block: int) -> DataFrame | None:
-    """Best k documents per open question by common terms only, a bounded block of questions at a time."""
-    spark = common_d.sparkSession
+def _score() -> Column:
+    return F.round(F.sum(F.col("qw") * F.col("w")), SCORE_DIGITS).alias("score")
+
+
+#: Steps of a common term's weights in its impact-ordered postings.
+IMPACTS = 64
+
+
+def _by_common_terms(common_d: DataFrame, common_q: DataFrame, best: DataFrame, k: int, n: int) -> DataFrame:
+    """(question_id, fact_id, score): for questions that ``best`` does not settle, their best documents by common terms alone.
+
+    Documents with equal weights of common terms are alike, so postings hold these *profiles*, with the first k ids of each, and lie in
+    ``IMPACTS`` blocks per term by weight. With a score that k documents are known to reach, a document can only matter if
+    one of its terms weighs at least that share of the term's largest weight that the score is of the sum of all the
+    question's largest contributions; so only the blocks from there on are joined, in one job for all questions.
+    """
     profile = common_d.groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("profile"))
-    profiles = None
-    last, out = None, None
-    while True:
-        rest = open_vectors if last is None else open_vectors.where(F.col("question_id") > last)
-        rows = rest.orderBy("question_id").limit(block).collect()  # at most ``block`` rows of common terms
-        if not rows:
-            return out
-        if profiles is None:
-            profiles = materialise(first_per_group(profile, ["profile"], ["fact_id"], k), "profiles")
-        last = rows[-1].question_id
-        terms = sorted({t.term for r in rows for t in r.v})
-        place = {t: i for i, t in enumerate(terms)}
-        weights = np.zeros((len(terms), len(rows)))
-        for j, r in enumerate(rows):
-            for t in r.v:
-                weights[place[t.term], j] = t.w
-        shared = spark.sparkContext.broadcast((place, weights, [r.question_id for r in rows]))
-
-        def best_of_task(batches, shared=shared, k=k):
-            index, w, ids = shared.value
-            kept_scores, kept_ids = np.zeros((0, w.shape[1])), np.zeros((0, w.shape[1]), dtype=np.int64)
-            for pdf in batches:
-                pdf = pdf.sort_values("fact_id")
-                m = np.zeros((len(pdf), len(index)))
-                for i, entries in enumerate(pdf["profile"]):
-                    for e in entries:
-                        if e["term"] in index:
-                            m[i, index[e["term"]]] = e["w"]
-                facts = np.broadcast_to(pdf["fact_id"].to_numpy()[:, None], (len(pdf), w.shape[1]))
-                s = np.vstack([kept_scores, np.round(m @ w, SCORE_DIGITS)])
-                f = np.vstack([kept_ids, facts])
-                top = np.lexsort((f, -s), axis=0)[:k]
-                kept_scores, kept_ids = np.take_along_axis(s, top, 0), np.take_along_axis(f, top, 0)
-            n = kept_scores.shape[0]
-            yield pd.DataFrame({"question_id": np.tile(ids, n), "fact_id": kept_ids.ravel(), "score": kept_scores.ravel()}).astype(
-                {"question_id": "int64", "fact_id": "int64"})
-
-        part = profiles.mapInPandas(best_of_task, "question_id long, fact_id long, score double").where("score > 0")
-        part = materialise(first_per_group(part, ["question_id"], [F.col("score").desc(), "fact_id"], k), "block-topk")
-        out = part if out is None else out.unionByName(part)
+    first = materialise(first_per_group(profile, ["profile"], ["fact_id"], k), "profiles")
+    heads = first.groupBy("profile").agg(F.min("fact_id").alias("profile_id"), F.count("*").alias("ids"))
+    members = first.join(heads.select("profile", "profile_id"), "profile").select("profile_id", "fact_id")
+    postings = materialise(heads.select("profile_id", "ids", F.inline("profile")), "postings")
+    most = postings.groupBy("term").agg(F.max("w").alias("most"))
+    blocked = materialise(postings.join(sized_broadcast(most), "term").withColumn("block", F.floor(F.col("w") / F.col("most") * IMPACTS).cast("int")), "blocks")
+
+    # what is known already: the k-th score of the rarer terms, or of k documents of the question's strongest common term
+    kth = best.groupBy("question_id").agg(F.min("score").alias("kth"), F.count("*").alias("found"))
+    parts = materialise(common_q.join(sized_broadcast(most), "term").withColumn("part", F.col("qw") * F.col("most")), "parts")
+    bound = parts.groupBy("question_id").agg(F.sum("part").alias("bound"), F.max_by("term", "part").alias("strongest"))
+    state = bound.join(kth, "question_id", "left").withColumn("kth", F.when(F.col("found") >= k, F.col("kth")).otherwise(0.0))
+    margin = 10.0 ** -SCORE_DIGITS
+    open_q = materialise(state.where(F.col("bound") + margin >= F.col("kth")).select("question_id", "bound", "strongest", "kth"), "open-questions")
+    enough = first_per_group(blocked, ["term"], [F.col("w").desc(), "profile_id"], k).groupBy("term").agg(F.sum("ids").alias("ids"), F.min("w").alias("weakest"))
+    reach = open_q.join(sized_broadcast(enough.where(F.col("ids") >= k).withColumnRenamed("term", "strongest")), "strongest", "left")
+    reach = reach.join(common_q.select("question_id", F.col("term").alias("strongest"), "qw"), ["question_id", "strongest"])
+    reach = reach.select("question_id", (F.greatest("kth", F.coalesce(F.col("qw") * F.col("weakest") - margin, F.lit(0.0))) / F.col("bound")).alias("share"))
+
+    lowest = F.greatest(F.floor((F.col("share") - 1e-9) * IMPACTS), F.lit(0)).cast("int")
+    wanted = parts.join(reach, "question_id").select("question_id", "term", F.explode(F.sequence(lowest, F.lit(IMPACTS))).alias("block"))
+    met = wanted.join(blocked.select("term", "block", "profile_id"), ["term", "block"]).select("question_id", "profile_id").distinct()
+    scored = met.join(common_q, "question_id").join(postings, ["profile_id", "term"]).groupBy("question_id", "profile_id").agg(_score())
+    top = first_per_group(scored, ["question_id"], [F.col("score").desc(), "profile_id"], k)
+    return top.join(members, "profile_id").select("question_id", "fact_id", "score")
 
 
 def _fill(top: DataFrame, docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -244,3 +223,31 @@ def answer_context(visible: DataFrame, detail: DataFrame, staged: DataFrame, aud
         .unionByName(rows(detail, "timeline", [F.col("version_id").desc(), F.col("claim_key")], timelines, version))
         .unionByName(rows(staged, "staged", [F.col("staged_id").desc()], proposals, ["staged_id", "status"]))
         .unionByName(rows(audit, "audit", [F.col("seq").desc(), F.col("event_type"), F.col("entity_id")], events, ["seq", "event_type", "entity_id"])))
+
+
+def question_context(questions: DataFrame, versions: DataFrame, staged: DataFrame, audit: DataFrame, *, currents: int, timelines: int, proposals: int, events: int) -> DataFrame:
+    """One row per question with everything an answerer is shown, each section within its budget.
+
+    All inputs carry ``question_id``, the store a question is asked of. ``current``: current versions by shared words with the
+    question, then the newest; ``timeline``: the newest versions; ``staged`` and ``audit``: the newest; then how many there were of
+    each. The best of every section are taken before rows are shuffled, so a large store costs its budget.
+    """
+    def section(df: DataFrame, name: str, order: list[Column], keep: int, value: Column) -> DataFrame:
+        top = first_per_group(df.select("question_id", F.struct(*order).alias("at"), value.alias("v")), ["question_id"], ["at"], keep)
+        return top.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
+
+    newest = (-F.col("version_id")).alias("a")
+    asked = versions.where(F.col("status").isin("active", "hypothetical")).join(questions.select("question_id", tokens(F.col("question")).alias("words")), "question_id")
+    shared = (-F.size(F.array_intersect("words", tokens(F.col("text"))))).alias("s")
+    shown = F.struct("claim_key", "version_id", "object_value", "status")
+    parts = [
+        section(asked, "current", [shared, newest, F.col("claim_key")], currents, shown),
+        section(versions, "timeline", [newest, F.col("claim_key")], timelines, shown),
+        section(staged, "staged", [(-F.col("staged_id")).alias("a")], proposals, F.struct("staged_id", "status")),
+        section(audit, "audit", [(-F.col("seq")).alias("a"), F.col("event_type"), F.col("entity_key")], events, F.struct("seq", "event_type", "entity_key"))]
+    for name, df in (("version_count", versions), ("staged_count", staged), ("audit_count", audit)):
+        parts.append(df.groupBy("question_id").agg(F.count("*").alias(name)))
+    out = questions
+    for p in parts:
+        out = out.join(p, "question_id", "left")
+    return out.fillna(0, ["version_count", "staged_count", "audit_count"])

@@ -75,7 +75,7 @@ tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDE
 
 @query("tfidf_topk", FACTS_CTE + _TFIDF + "SELECT question_id, fact_id, score, rank FROM tk")
 def tfidf_topk(spark, sf_dir):
-    t = FL.tfidf_topk(facts(spark, sf_dir), key_questions(spark, sf_dir), 5, common_df=500)
+    t = FL.tfidf_topk(facts(spark, sf_dir), key_questions(spark, sf_dir), 5)
     return t.select("question_id", "fact_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -84,7 +84,19 @@ ow AS (SELECT q.question_id, arg_max(fa.fact_id, (valid_from, trust_score * conf
 SELECT ow.question_id, fa.fact_id, fa.object_value, fa.source_ref FROM ow LEFT JOIN nr ON nr.question_id = ow.question_id JOIN fa ON fa.fact_id = coalesce(nr.fact_id, ow.fact_id)""")
 def tfidf_answer(spark, sf_dir):
     f, q = facts(spark, sf_dir), key_questions(spark, sf_dir)
-    return FL.tfidf_answer(f, q, FL.tfidf_topk(f, q, 5, common_df=500))
+    return FL.tfidf_answer(f, q, FL.tfidf_topk(f, q, 5))
+
+
+_DOC_TFIDF = (_TFIDF.replace("FROM fa)", "FROM dd)").replace("count(*) AS n FROM fa", "count(*) AS n FROM dd").replace("concat_ws(' ', prompt, subject, predicate, 'main')", "text").replace("AS term FROM q)", "AS term FROM dq)"))
+
+
+@query("tfidf_documents", """WITH dd AS (SELECT doc_id AS fact_id, lower(text) AS document FROM documents), dq AS (SELECT item_id AS question_id, lower(text) AS text FROM benchmark)""" + _DOC_TFIDF + """
+SELECT question_id, fact_id, score, rank FROM tk""")
+def tfidf_documents(spark, sf_dir):
+    """The documents nearest to each benchmark item."""
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fact_id"), F.col("text").alias("document"))
+    asked = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.lower("text").alias("query"))
+    return FL.tfidf_topk(docs, asked, 5).select("question_id", "fact_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("low_trust_warning", "SELECT event_id AS question_id, event_id % 2 = 0 AND event_id % 20 + 1 < 7 AS had_low_trust_warning FROM events")
@@ -145,6 +157,39 @@ def context_reader(spark, sf_dir):
     return answers.join(rows.select("question_id", "row_id", "claim_key"), ["question_id", "row_id"]).select("question_id", "claim_key", "object_value")
 
 
+_ASKED = ("click", "error", "purchase", "signup", "view")
+
+
+@query("question_context", CC._RUN_ORACLE + """
+, us AS (SELECT DISTINCT user_id, ['click', 'error', 'purchase', 'signup', 'view'][CAST(user_id % 5 + 1 AS INT)] AS asked FROM c),
+v1 AS (SELECT isl.*, row_number() OVER (PARTITION BY isl.user_id ORDER BY version_seq DESC) AS nth,
+         CASE WHEN status = 'active' THEN row_number() OVER (PARTITION BY isl.user_id, status ORDER BY isl.event_type = us.asked DESC, version_seq DESC) END AS best FROM isl JOIN us ON us.user_id = isl.user_id),
+vs AS (SELECT user_id, count(*) AS version_count, string_agg(concat(claim_key, '=', object_value), ';' ORDER BY best) FILTER (WHERE best <= 3) AS current,
+         string_agg(concat(claim_key, '=', object_value), ';' ORDER BY nth) FILTER (WHERE nth <= 8) AS timeline FROM v1 GROUP BY user_id),
+s1 AS (SELECT w.user_id, dec.staged_id, dec.status, row_number() OVER (PARTITION BY w.user_id ORDER BY dec.staged_id DESC) AS nth FROM dec JOIN w ON w.staged_id = dec.staged_id),
+ss AS (SELECT user_id, count(*) AS staged_count, string_agg(concat(staged_id, '=', status), ';' ORDER BY nth) FILTER (WHERE nth <= 5) AS staged FROM s1 GROUP BY user_id),
+a1 AS (SELECT version_seq AS seq, 'belief_version.created' AS event_type, claim_key FROM isl UNION ALL SELECT seq, 'belief_source.support_added', claim_key FROM c
+  UNION ALL SELECT min(seq), 'belief.created', claim_key FROM c GROUP BY claim_key),
+a2 AS (SELECT a1.*, c.user_id, row_number() OVER (PARTITION BY c.user_id ORDER BY a1.seq DESC, a1.event_type, a1.claim_key) AS nth FROM a1 JOIN c ON c.seq = a1.seq),
+aa AS (SELECT user_id, count(*) AS audit_count, string_agg(concat(seq, '=', event_type), ';' ORDER BY nth) FILTER (WHERE nth <= 6) AS audit FROM a2 GROUP BY user_id)
+SELECT us.user_id AS question_id, current, timeline, staged, audit, version_count, staged_count, audit_count FROM us JOIN vs ON vs.user_id = us.user_id JOIN ss ON ss.user_id = us.user_id JOIN aa ON aa.user_id = us.user_id""")
+def question_context(spark, sf_dir):
+    """A question per user, asked of what is known about that user."""
+    led = CL.main_ledger(spark, sf_dir)
+    user = lambda key: F.regexp_extract(key, "user_([0-9]+)", 1).cast("long").alias("question_id")
+    e = fx.table(spark, sf_dir, "events")
+    asked = F.element_at(F.array(*[F.lit(a) for a in _ASKED]), (F.col("user_id") % 5 + 1).cast("int"))
+    questions = e.select(F.col("user_id").alias("question_id"), F.concat(F.lit("What is the "), asked, F.lit(" of user_"), F.col("user_id"), F.lit("?")).alias("question")).distinct()
+    versions = led.versions.select(user("claim_key"), "claim_key", "version_id", "object_value", "status", F.concat_ws(" ", F.split("claim_key", "::"), "object_value").alias("text"))
+    writes = CC.checked(spark, sf_dir)[0].join(e.select(F.col("event_id").alias("staged_id"), F.col("user_id").alias("question_id")), "staged_id").select("question_id", "staged_id", "status")
+    log = R.audit_log(led.events, CL.main_claims(spark, sf_dir).select("seq").distinct(), CL.beliefs(spark, sf_dir))
+    log = log.where(F.col("event_type").isin("belief_version.created", "belief_source.support_added", "belief.created")).select(user("entity_key"), "seq", "event_type", "entity_key")
+    rows = FL.question_context(questions, versions, writes, log, currents=3, timelines=8, proposals=5, events=6)
+    told = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat(x[a].cast("string"), F.lit("="), x[b])), ";").alias(c)
+    return rows.select("question_id", told("current", "claim_key", "object_value"), told("timeline", "claim_key", "object_value"), told("staged", "staged_id", "status"),
+                       told("audit", "seq", "event_type"), "version_count", "staged_count", "audit_count")
+
+
 @query("answer_context")
 def answer_context(spark, sf_dir):
     led = CL.main_ledger(spark, sf_dir)

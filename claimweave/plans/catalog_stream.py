@@ -12,7 +12,12 @@ from claimweave.plans.registry import query
 from claimweave.streaming import ledger as SL
 
 
-_VERSIONS = ("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status", CL.seq_of("supersedes_id").alias("supersedes_seq"))
+
+
+def _versions(store: LedgerStore):
+    return L.versions_table(store.events()).select("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status", CL.seq_of("supersedes_id").alias("supersedes_seq"))
+
+
 _RUNS = CL.WITH_RUNS + """
 SELECT claim_key, version_seq, object_value, status, supersedes_seq FROM isl"""
 _UNDONE = CL.WITH_RUNS + """
@@ -32,7 +37,7 @@ def fold_increment(spark, sf_dir):
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = claims if low is None else claims.where(F.col("seq") > low)
         store.apply(part if high is None else part.where(F.col("seq") <= high))
-    return L.versions_table(store.events()).select(*_VERSIONS)
+    return _versions(store)
 
 
 @query("fold_late", _UNDONE)
@@ -41,7 +46,7 @@ def fold_late(spark, sf_dir):
     claims, store = CL.main_claims(spark, sf_dir), _store(spark)
     for i in (2, 0, 1):
         store.apply(claims.where(F.col("seq") % 3 == i), CL.rollbacks(spark, sf_dir) if i == 2 else None)
-    return L.versions_table(store.events()).select(*_VERSIONS)
+    return _versions(store)
 
 
 @query("stream_ledger", _RUNS)
@@ -49,7 +54,7 @@ def stream_ledger(spark, sf_dir):
     store, seen = _store(spark), scratch(spark, "stream-seen")
     for operations in SL.drops(SL.as_operations(CL.main_claims(spark, sf_dir)), "seq", scratch(spark, "claim-drops")):
         SL.drain_ledger(operations, store, seen)
-    return L.versions_table(store.events()).select(*_VERSIONS)
+    return _versions(store)
 
 
 @query("stream_control", _UNDONE)
@@ -61,7 +66,7 @@ def stream_control(spark, sf_dir):
     arriving = rows.withColumn("arrival", F.when(late, F.col("seq") + 2 * CL.LATER).otherwise(F.col("seq")))
     for operations in SL.drops(arriving, "arrival", scratch(spark, "operation-drops")):
         SL.drain_ledger(operations, store, seen)
-    return L.versions_table(store.events()).select(*_VERSIONS)
+    return _versions(store)
 
 
 @query("stream_checks", CC._RUN_ORACLE + """
