@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from claimweave.functions.scores import as_score, exact, scaled_score, windows_overlap
 from claimweave.functions.text import canonical_text
+from claimweave.operators import intervals as I
 from claimweave.operators.ledger import branch_ancestry
 from claimweave.plans.ordered import numbered, with_previous
-from claimweave.plans.session import sized_broadcast
+from claimweave.plans.session import materialise, sized_broadcast
 
 KEY = ["claim_key", "version_id"]
 CURRENT = ("active", "hypothetical")
@@ -109,38 +110,84 @@ def current_versions(versions: DataFrame, branches: DataFrame, branch_ids: DataF
     return rows.join(nearest, ["viewer_id", "claim_key", "depth"])
 
 
+#: Versions of a key from which on windows are met through blocks of days instead of a product.
+MANY_WINDOWS = 256
+
+
+def _split(df: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """``df`` by keys of few and of many rows in ``other``, or None if no key has many."""
+    many = materialise(other.groupBy("claim_key").agg(F.count("*").alias("n")).where(F.col("n") > MANY_WINDOWS).select("claim_key"), "busy-keys")
+    if many.isEmpty():
+        return None
+    many = sized_broadcast(many)
+    return df.join(many, "claim_key", "left_anti"), df.join(many, "claim_key", "left_semi")
+
+
 def overlap_pairs(claims: DataFrame, current: DataFrame) -> DataFrame:
-    """Claims against current versions of the same key whose windows overlap, with a same-object flag."""
+    """Claims against current versions of the same key whose windows overlap, with a same-object flag.
+
+    Keys with many versions are joined through blocks of days, so windows that do not overlap never meet.
+    """
     v = current.select(
         "claim_key", "version_id", F.col("normalized_object").alias("version_object"),
         F.col("valid_from").alias("version_from"), F.col("valid_to").alias("version_to"))
-    return (
-        claims.join(v, "claim_key")
-        .where(windows_overlap(F.col("version_from"), F.col("version_to"), F.col("valid_from"), F.col("valid_to")))
-        .withColumn("same_object", F.col("version_object") == F.col("normalized_object"))
-    )
+
+    def plain(c: DataFrame, v: DataFrame = v) -> DataFrame:
+        return c.join(v, "claim_key").where(windows_overlap(F.col("version_from"), F.col("version_to"), F.col("valid_from"), F.col("valid_to")))
+
+    parts = _split(claims, v)
+    if parts is None:
+        met = plain(claims)
+    else:
+        c_low, c_high = I.first_day(F.col("valid_from")), I.end_day(F.col("valid_to"))
+        v_low, v_high = I.first_day(F.col("version_from")), I.end_day(F.col("version_to"))
+        ahead = parts[1].where(c_low < c_high)
+        started = I.holding(ahead, c_low, v, v_low, v_high, ["claim_key"])
+        later = I.holding(v.where(v_low < v_high), v_low, ahead, c_low + 1, c_high, ["claim_key"])
+        met = plain(parts[0])
+        met = met.unionByName(started.select(met.columns)).unionByName(later.select(met.columns))
+        # windows that end before they start may still meet open ones
+        met = met.unionByName(plain(parts[1].where(c_low >= c_high))).unionByName(plain(ahead, v.where(v_low >= v_high)))
+    return met.withColumn("same_object", F.col("version_object") == F.col("normalized_object"))
 
 
 def truth_as_of(scored: DataFrame, as_of: DataFrame, branch_id: int | None = None) -> DataFrame:
     """Per (claim_key, as_of): the version whose window holds the date, best by (valid_from, score, id).
 
-    Superseded versions count, retracted ones do not; all branches unless one is named.
+    Superseded versions count, retracted ones do not; all branches unless one is named. For keys with many versions the best
+    version is kept per block of days, so a date costs a few lookups however many windows hold it.
     """
     pool = scored.where("status <> 'retracted'")
     if branch_id is not None:
         pool = pool.where(F.col("branch_id") == branch_id)
-    held = pool.join(as_of, "claim_key").where(windows_overlap(F.col("valid_from"), F.col("valid_to"), F.col("as_of"), F.col("as_of")))
-    best = F.max(F.struct("valid_from", "score_units", "version_id", "object_value", "status", "source_id")).alias("b")
-    return held.groupBy("claim_key", "as_of").agg(best).select("claim_key", "as_of", "b.version_id", "b.object_value", "b.status", "b.source_id")
+    value = F.struct("valid_from", "score_units", "version_id", "object_value", "status", "source_id")
+    shown = ["claim_key", "as_of", "b.version_id", "b.object_value", "b.status", "b.source_id"]
+
+    def plain(dates: DataFrame) -> DataFrame:
+        held = pool.join(dates, "claim_key").where(windows_overlap(F.col("valid_from"), F.col("valid_to"), F.col("as_of"), F.col("as_of")))
+        return held.groupBy("claim_key", "as_of").agg(F.max(value).alias("b")).select(*shown)
+
+    asked = as_of.select("claim_key", "as_of").distinct()
+    parts = _split(asked, pool)
+    if parts is None:
+        return plain(asked)
+    low, high = I.first_day(F.col("valid_from")), I.end_day(F.col("valid_to"))
+    best = I.best_holding(parts[1].where("as_of IS NOT NULL"), I.first_day(F.col("as_of")), pool, low, high, value, ["claim_key"])
+    # an unknown date is held by every window
+    unknown = plain(parts[1].where("as_of IS NULL"))
+    return plain(parts[0]).unionByName(best.withColumnRenamed("best", "b").select(*shown)).unionByName(unknown)
 
 
 def duplicate_sources(writes: DataFrame, sources: DataFrame, recent: int | None = None) -> DataFrame:
-    """(staged_id, source_id) where the proposed excerpt repeats a stored one; ``recent`` looks at the newest only."""
+    """(staged_id, n_matches, source_id): how many stored sources the proposed excerpt repeats, and the newest of them.
+
+    Counted per text first: a text stored a million times costs one group. ``recent`` looks at the newest only.
+    """
     if recent is not None:
         sources = sources.orderBy(F.col("source_id").desc()).limit(recent)
     w = writes.select("staged_id", canonical_text(F.col("excerpt")).alias("excerpt_key")).where("excerpt_key <> ''")
-    s = sources.select("source_id", canonical_text(F.col("excerpt")).alias("excerpt_key"))
-    return w.join(s, "excerpt_key").select("staged_id", "source_id")
+    s = sources.select("source_id", canonical_text(F.col("excerpt")).alias("excerpt_key")).groupBy("excerpt_key").agg(F.count("*").alias("n_matches"), F.max("source_id").alias("source_id"))
+    return w.join(s, "excerpt_key").select("staged_id", "n_matches", "source_id")
 
 
 def rolled_back_match(claims: DataFrame, versions: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
