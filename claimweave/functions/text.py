@@ -112,16 +112,16 @@ def source_label(ref: Column, excerpt: Column, source_id: Column) -> Column:
     )
 
 
-def safe_branch_name(value: Column, cut_only: bool = False) -> Column:
+def safe_branch_name(value: Column, keep_apart: bool = False) -> Column:
     """Lower-case letters, digits and single dashes, at most 40 characters; ``main`` if nothing is left.
 
-    A longer name keeps its first 31 characters and eight of its md5, so that names with the same start stay apart;
-    ``cut_only`` keeps the first 40 characters and nothing else.
+    A longer name keeps its first 40 characters; with ``keep_apart`` 31 of them and eight of its md5, so that names with the
+    same start differ.
     """
     name = F.replace(F.lower(F.trim(value)), F.lit("_"), F.lit("-"))
     name = F.regexp_replace(name, r"[^\p{L}\p{N}-]", "")
     name = F.btrim(F.regexp_replace(name, "-+", "-"), F.lit("-"))
-    short = F.substring(name, 1, 40) if cut_only else F.concat(F.substring(name, 1, 31), F.lit("-"), F.substring(F.md5(name), 1, 8))
+    short = F.concat(F.substring(name, 1, 31), F.lit("-"), F.substring(F.md5(name), 1, 8)) if keep_apart else F.substring(name, 1, 40)
     name = F.when(F.length(name) > 40, short).otherwise(name)
     return F.when(name == "", F.lit("main")).otherwise(F.coalesce(name, F.lit("main")))
 

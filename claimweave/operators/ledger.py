@@ -97,6 +97,13 @@ def branch_ancestry(branches: DataFrame) -> DataFrame:
                CAST(depth AS INT) AS depth FROM up""")
 
 
+def branches_after(branches: DataFrame, control: DataFrame) -> DataFrame:
+    """The branch table with status ``merged`` for branches that a merge took over, and the first such commit."""
+    merged = control.where("op = 'merge'").groupBy(F.col("target").cast("long").alias("id")).agg(F.min("seq").alias("merged_seq"))
+    names = [F.col(c) for c in branches.columns if c != "status"]
+    return branches.join(sized_broadcast(merged), "id", "left").select(*names, F.when(F.col("merged_seq").isNotNull(), "merged").otherwise(F.col("status")).alias("status"), "merged_seq")
+
+
 def is_hypothetical(name, parent):
     """Everything but a parentless ``main`` is hypothetical."""
     return ~((name == F.lit("main")) & parent.isNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.operators.checks import staged_claims
+from claimweave.operators.increment import LedgerStore
 from claimweave.plans.session import materialise
 
 REVIEWABLE = ("pending", "proposed", "checked", "review_required", "approved")
@@ -113,3 +114,13 @@ def applied_claims(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("staged_id").alias("source_id"), "trust_score", "object_value", "normalized_object", "confidence", "valid_from", "valid_to")
     sources = done.select(F.col("staged_id").alias("source_id"), F.lit("staged").alias("source_type"), "source_ref", "excerpt", "trust_score")
     return claims, sources
+
+
+def commit_applied(store: LedgerStore, staged: DataFrame) -> int:
+    """Write the claims of applied writes to a ledger, those it does not have yet; returns the epoch.
+
+    A write is one commit, so what the log already holds of a write is all of it: repeated and killed runs add each write once.
+    """
+    claims, _ = applied_claims(staged)
+    fresh = claims.join(store.log().select("seq").distinct(), "seq", "left_anti")
+    return store.apply(fresh)

@@ -353,21 +353,25 @@ def context_union(retrieved: DataFrame, current: DataFrame, limit: int | None =
     return placed if limit is None else placed.where(F.col("position") <= limit)
 
 
-def memory_snapshot(versions: DataFrame, commits: DataFrame, branches: DataFrame, beliefs: DataFrame,
-                    staged_counts: DataFrame | None = None) -> DataFrame:
-    """Exact counts of the whole store as (item, n)."""
+def memory_snapshot(versions: DataFrame, commits: DataFrame, branches: DataFrame, beliefs: DataFrame, staged: DataFrame | None = None) -> DataFrame:
+    """Exact counts of the whole store as (item, n): tables, current and conflicting versions, versions and staged writes by status."""
     v = versions.agg(
         F.count("*").alias("versions"), F.count(F.when(is_current(), 1)).alias("active_versions"),
         F.count(F.when(is_current() & F.col("conflict_group").isNotNull(), 1)).alias("conflict_versions"))
-    parts = [v.unpivot([], ["versions", "active_versions", "conflict_versions"], "item", "n")]
+    out = v.unpivot([], ["versions", "active_versions", "conflict_versions"], "item", "n")
     for name, df in (("commits", commits), ("branches", branches), ("beliefs", beliefs)):
-        parts.append(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n"))
+    for name, df in (("versions", versions), ("staged", staged)):
+        if df is not None:
+            out = out.unionByName(df.groupBy(F.concat(F.lit(f"{name}:"), "status").alias("item")).agg(F.count("*").alias("n")))
     return out
 
 
+def newest(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The ``n`` newest rows of a table, the latest first."""
+    return rows.orderBy(F.col(order).desc()).limit(n)
+
+
 # -- log tables ----------------------------------------------------------------
 
 def belief_identity(claims: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimweave.operators import checks as C, ledger as L, lifecycle as LC, ordered_gate as G, reads as R, routing as RT
+from claimweave.operators.increment import LedgerStore
 from claimweave.operators.policy import Policy
 from claimweave.plans import catalog_ledger as CL, fixtures as fx
 from claimweave.plans.registry import once, query
-from claimweave.plans.session import materialise
+from claimweave.plans.session import materialise, scratch_path as scratch
 
 TODAY = "2024-01-20"
 """The clock is a parameter; the events span January 2024."""
@@ -398,8 +399,9 @@ def plan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN action = 'reject' THEN 'reject' WHEN to_branch THEN 'branch_hypothetical' WHEN stale AND action = 'commit_now' THEN 'branch_hypothetical'
        WHEN home AND action = 'branch_hypothetical' THEN 'commit_now' ELSE action END AS a2 FROM ru),
 nd AS (SELECT rt.*, a2 <> 'reject' AND (t < 0.5 OR (branch_name = 'main' AND branch_only) OR (branch_name = 'main' AND coalesce(
-         p.other AND NOT (p.vf IS NOT NULL AND p.vf >= p.v_from) AND round(CAST(t * p.conf AS DECIMAL(18,8)), 4) < p.score, false))) AS need
-       FROM rt LEFT JOIN p ON p.staged_id = rt.staged_id)
+         p.other AND NOT (p.vf IS NOT NULL AND p.vf >= p.v_from) AND round(CAST(t * p.conf AS DECIMAL(18,8)), 4) < p.score, false))
+         OR (branch_name = 'main' AND rt.i <> 4 AND NOT w.empty AND (w.vt IS NOT NULL OR coalesce(w.vf > DATE '""" + TODAY + """', false)))) AS need
+       FROM rt LEFT JOIN p ON p.staged_id = rt.staged_id JOIN w ON w.staged_id = rt.staged_id)
 SELECT staged_id, branch_name, CASE WHEN need AND a2 = 'commit_now' THEN 'stage_for_review' ELSE a2 END AS write_action, need AS review_required FROM nd""")
 def final_action(spark, sf_dir):
     """Routed writes after the review requirements of where they were routed to."""
@@ -523,6 +525,28 @@ def applied_claims(spark, sf_dir):
     return claims.select("claim_key", "seq", "ord", "normalized_object")
 
 
+@query("apply_to_ledger", _LIFE + """
+, ap AS (SELECT staged_id FROM lf WHERE s2 = 'applied')
+SELECT concat('user_', user_id, '::', predicate) AS claim_key, w.staged_id AS seq, 0 AS ord, object_value AS normalized_object FROM w JOIN ap ON ap.staged_id = w.staged_id WHERE NOT empty
+UNION ALL SELECT concat('user_', user_id, '::favorite_color'), w.staged_id, 1, 'blue' FROM w JOIN ap ON ap.staged_id = w.staged_id WHERE NOT empty AND w.staged_id % 4 = 0""")
+def apply_to_ledger(spark, sf_dir):
+    """The log of a ledger after two runs over overlapping halves of the applied writes and a third over all of them."""
+    store, done = LedgerStore(spark, scratch(spark, "applied"), fx.branches(spark)), decided(spark, sf_dir)[0]
+    for part in (done.where("staged_id % 3 <> 0"), done.where("staged_id % 3 <> 1"), done):
+        LC.commit_applied(store, part)
+    return store.log().select("claim_key", "seq", "ord", "normalized_object")
+
+
+@query("memory_snapshot", _RUN_ORACLE + """
+SELECT 'versions' AS item, count(*) AS n FROM isl UNION ALL SELECT 'active_versions', count(*) FROM isl WHERE next_seq IS NULL
+UNION ALL SELECT 'conflict_versions', 0 UNION ALL SELECT 'commits', count(*) FROM events UNION ALL SELECT 'branches', 3
+UNION ALL SELECT 'beliefs', count(DISTINCT claim_key) FROM c UNION ALL SELECT concat('versions:', status), count(*) FROM isl GROUP BY status
+UNION ALL SELECT concat('staged:', status), count(*) FROM dec GROUP BY status""")
+def memory_snapshot(spark, sf_dir):
+    commits = CL.main_claims(spark, sf_dir).select("seq").distinct()
+    return R.memory_snapshot(CL.main_ledger(spark, sf_dir).versions, commits, fx.branches(spark), CL.beliefs(spark, sf_dir), checked(spark, sf_dir)[0])
+
+
 @query("write_path")
 def write_path(spark, sf_dir):
     """Proposals through gate and review into a ledger of their own: versions and open conflicts per predicate."""

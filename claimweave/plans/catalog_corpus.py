@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimweave.operators import evidence as E, extract as X, reads as R, retrieve as RV
 from claimweave.plans import catalog_ledger as CL, fixtures as fx
 from claimweave.plans.catalog_text import sql_canonical, sql_tokens
 from claimweave.plans.registry import once, query
-from claimweave.plans.session import materialise, scratch_dir
+from claimweave.plans.session import materialise, scratch_path as scratch
 from claimweave.sources import corpus as S
 from claimweave.sources.export import export_csv, export_jsonl
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/claimweave/{name}-{uuid.uuid4().hex}"
-
-
 # -- corpus files -----------------------------------------------------------------------
 
 TYPES = S.QUESTION_TYPES
@@ -93,7 +87,17 @@ def select_shard(spark, sf_dir):
     return S.select_shard(d, "doc_id", start_index=50, limit=100).select("doc_id", "position")
 
 
-@query("select_sample")
+@query("append_log", "SELECT concat('e', event_id) AS question_id, event_type AS hypothesis FROM events")
+def append_log(spark, sf_dir):
+    """Three runs with overlapping rows append to one log: every id is in it once."""
+    e = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id").alias("question_id"), F.col("event_type").alias("hypothesis"), "event_id")
+    path = scratch(spark, "append-log")
+    for part in (e.where("event_id % 3 <> 0"), e.where("event_id % 2 = 0"), e):
+        log = S.append_log(part.drop("event_id"), path)
+    return log
+
+
+@query("select_sample", "SELECT doc_id, source FROM documents ORDER BY md5(concat('7:', doc_id)), doc_id LIMIT 50")
 def select_sample(spark, sf_dir):
     return S.select_sample(fx.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 50, seed=7)
 
@@ -329,14 +333,14 @@ def focus_excerpt(spark, sf_dir):
     """Every document cut to what it says about a question built from its own words."""
     d = fx.table(spark, sf_dir, "documents")
     question = F.concat_ws(" ", F.slice(F.split(F.col("text"), " "), 3, 4))
-    return d.select("doc_id", RV.focus_excerpt(F.col("text"), question, 400).alias("excerpt"))
+    return d.select("doc_id", RV.focus_excerpt(F.col("text"), question, 400, window=900).alias("excerpt"))
 
 
 @query("focus_session")
 def focus_session(spark, sf_dir):
     s = S.session_texts(corpus_turns(spark, sf_dir)).join(corpus(spark, sf_dir).select("question_id", "question"), "question_id")
     header = F.concat(F.lit("[Session "), F.col("session_index").cast("string"), F.lit(" | "), F.coalesce("session_date", F.lit("unknown")), F.lit("]"))
-    return s.select("question_id", "session_index", RV.focus_session(F.col("turns"), header, F.col("question"), 800, lines=10).alias("excerpt"))
+    return s.select("question_id", "session_index", RV.focus_session(F.col("turns"), header, F.col("question"), 800, lines=10, window=900).alias("excerpt"))
 
 
 @query("retrieve_versions", CL.WITH_RUNS + """

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from claimweave.functions.scores import as_score
 from claimweave.operators import ledger as L, reads as R
 from claimweave.plans import fixtures as fx
+from claimweave.plans.ordered import numbered
 from claimweave.plans.registry import once, query
 from claimweave.plans.session import materialise
 
@@ -456,15 +457,6 @@ def status_counts(spark, sf_dir):
     return main_ledger(spark, sf_dir).versions.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("memory_snapshot", WITH_RUNS + """
-SELECT 'versions' AS item, count(*) AS n FROM isl UNION ALL SELECT 'active_versions', count(*) FROM isl WHERE next_seq IS NULL
-UNION ALL SELECT 'conflict_versions', 0 UNION ALL SELECT 'commits', count(*) FROM events UNION ALL SELECT 'branches', 3
-UNION ALL SELECT 'beliefs', count(DISTINCT claim_key) FROM c""")
-def memory_snapshot(spark, sf_dir):
-    commits = main_claims(spark, sf_dir).select("seq").distinct()
-    return R.memory_snapshot(main_ledger(spark, sf_dir).versions, commits, fx.branches(spark), beliefs(spark, sf_dir))
-
-
 @query("search_versions", WITH_RUNS + """
 SELECT claim_key, version_seq, object_value, status FROM isl WHERE contains(concat('user_', user_id), 'user_1')
 ORDER BY version_seq DESC LIMIT 25""")
@@ -499,14 +491,50 @@ def backfill_links(spark, sf_dir):
     return b.select("claim_key", seq_of("version_id").alias("version_seq"), "source_id", "relation", "status")
 
 
-def undated_ledger(spark: SparkSession, sf_dir: str) -> L.Ledger:
-    """The same claims without dates: strength alone decides, so conflicts stay open."""
+# Seven claims per key, of which each meets another rule of the fold: the action of the i-th.
+ACTIONS = ("add", "corroborate", "duplicate", "coexist", "branch_override", "supersede", "unresolved_conflict")
+_SCRIPT = """SELECT CAST(step AS BIGINT) AS step, object_value, CAST(trust AS DECIMAL(6,4)) AS trust_score, CAST(conf AS DECIMAL(6,4)) AS confidence, CAST(branch AS BIGINT) AS branch_id,
+  CAST(f AS DATE) AS valid_from, CAST(t AS DATE) AS valid_to FROM VALUES
+  (0, 'a', 0.5, 0.8, 1, '2024-01-01', '2024-06-30'), (1, 'a', 0.9, 0.8, 1, '2024-01-01', '2024-06-30'), (2, 'a', 0.3, 0.8, 1, '2024-01-01', '2024-06-30'),
+  (3, 'b', 0.5, 0.8, 1, '2025-01-01', '2025-06-30'), (4, 'c', 0.5, 0.8, 2, '2024-02-01', '2024-03-01'), (5, 'd', 0.5, 0.8, 1, '2024-03-01', '2024-04-01'),
+  (6, 'e', 0.05, 0.5, 1, NULL, '2024-03-15') AS s(step, object_value, trust, conf, branch, f, t)"""
+_ACTION_CTE = """WITH ac AS (SELECT event_id AS seq, concat('user_', user_id, '::', event_type, '_', (rn - 1) // 7) AS claim_key, (rn - 1) % 7 AS step
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events))"""
+
+
+def action_ledger(spark: SparkSession, sf_dir: str) -> L.Ledger:
+    """Every user's events of a type in their order, seven to a key, told as the script has it."""
     def build():
-        claims = main_claims(spark, sf_dir).withColumn("valid_from", F.lit(None).cast("date"))
+        e = numbered(fx.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"])
+        key = F.concat(F.lit("user_"), "user_id", F.lit("::"), "event_type", F.lit("_"), F.floor((F.col("position") - 1) / 7))
+        rows = e.withColumn("step", (F.col("position") - 1) % 7).join(F.broadcast(spark.sql(_SCRIPT)), "step")  # seven rows
+        claims = rows.select(key.alias("claim_key"), F.col("event_id").alias("seq"), F.lit(0).alias("ord"), "branch_id", F.col("event_id").alias("source_id"), "trust_score",
+                             "object_value", F.col("object_value").alias("normalized_object"), "confidence", "valid_from", "valid_to")
         return L.build_ledger(claims, fx.branches(spark))
-    return once(spark, "undated", sf_dir, build=build)
+    return once(spark, "actions", sf_dir, build=build)
+
+
+@query("classify_actions", _ACTION_CTE + f"SELECT claim_key, seq, list_extract({list(ACTIONS)}, CAST(step + 1 AS INT)) AS action FROM ac")
+def classify_actions(spark, sf_dir):
+    """What the fold decides for claims of which each meets another of its seven rules."""
+    d = L.decisions_table(action_ledger(spark, sf_dir).events)
+    return d.select("claim_key", seq_of("claim_pos").alias("seq"), "action")
 
 
-@query("conflict_groups")
+@query("conflict_groups", _ACTION_CTE + """
+SELECT claim_key, CASE WHEN count(*) = 7 THEN concat('conflict:', claim_key) END AS conflict_group, CAST(greatest(1, count(*) - 2) AS BIGINT) AS version_count,
+       CAST(CASE WHEN count(*) = 7 THEN 3 ELSE 0 END AS BIGINT) AS open_objects, count(*) = 7 AS unresolved FROM ac GROUP BY claim_key""")
 def conflict_groups(spark, sf_dir):
-    return R.conflict_groups(undated_ledger(spark, sf_dir).versions)
+    return R.conflict_groups(action_ledger(spark, sf_dir).versions)
+
+
+@query("branch_table", """
+SELECT concat('user-', user_id) AS name, CASE WHEN bool_or(event_type = 'signup') THEN 'merged' ELSE 'active' END AS status,
+       min(event_id) FILTER (WHERE event_type = 'signup') AS merged_seq FROM events GROUP BY user_id UNION ALL SELECT 'main', 'active', NULL""")
+def branch_table(spark, sf_dir):
+    """A branch per user, merged into main by the user's signups."""
+    e = fx.table(spark, sf_dir, "events")
+    made = e.select((F.col("user_id") + 10).cast("long").alias("id"), F.concat(F.lit("user-"), "user_id").alias("name"), F.lit(1).cast("long").alias("parent_branch_id")).distinct()
+    made = made.unionByName(fx.branches(spark).where("id = 1").drop("status")).withColumn("status", F.lit("active"))
+    merges = control_rows(e.where("event_type = 'signup'"), "merge", F.col("event_id"), F.col("user_id") + 10)
+    return L.branches_after(made, merges).select("name", "status", "merged_seq")

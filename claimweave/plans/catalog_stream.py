@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from claimweave.operators import ledger as L
 from claimweave.operators.increment import LedgerStore
 from claimweave.plans import catalog_checks as CC, catalog_ledger as CL, fixtures as fx
-from claimweave.plans.catalog_corpus import scratch
 from claimweave.plans.registry import query
+from claimweave.plans.session import scratch_path as scratch
 from claimweave.streaming import ledger as SL
 
-
-
-
 def _versions(store: LedgerStore):
     return L.versions_table(store.events()).select("claim_key", F.col("commit_seq").alias("version_seq"), "object_value", "status", CL.seq_of("supersedes_id").alias("supersedes_seq"))
 

@@ -138,7 +138,7 @@ def source_label(spark, sf_dir):
 
 @query("safe_branch_name", """
 WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(trim(text)), '_', '-'), '[^\\p{L}\\p{N}-]', '', 'g'), '-+', '-', 'g'), '-') AS s FROM documents)
-SELECT doc_id, CASE WHEN s = '' THEN 'main' WHEN length(s) > 40 THEN concat(left(s, 31), '-', left(md5(s), 8)) ELSE s END AS branch FROM t""")
+SELECT doc_id, CASE WHEN s = '' THEN 'main' ELSE left(s, 40) END AS branch FROM t""")
 def safe_branch_name(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", X.safe_branch_name(F.col("text")).alias("branch"))
 

@@ -52,10 +52,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{scratch_dir(spark)}/claimweave/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, keeps pruning."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/claimweave/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from claimweave.plans.epochs import Epochs
 from claimweave.plans.ordered import numbered
 
 RECORD = ("question_id string, question_type string, question string, answer string, question_date string, "
@@ -74,7 +75,7 @@ def select_sample(records: DataFrame, key: str, size: int, seed: int = 0) -> Dat
     """Seeded sample: the ``size`` records with the smallest hash of (key, seed); all of them if fewer exist."""
     if size < 0:
         raise ValueError("sample size must be non-negative")
-    return records.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size).orderBy(key)
+    return records.orderBy(F.md5(F.concat_ws(":", F.lit(seed), key)), key).limit(size).orderBy(key)
 
 
 def select_records(records: DataFrame, key: str, *, limit: int | None = None, sample_size: int | None = None, sample_seed: int = 0,
@@ -99,6 +100,19 @@ def resume_append(new_rows: DataFrame, done: DataFrame, key: str = "question_id"
     return new_rows.join(done.select(key), key, "left_anti")
 
 
+def append_log(new_rows: DataFrame, path: str, key: str = "question_id") -> DataFrame:
+    """Append the rows whose id the log at ``path`` does not have yet, as one epoch; returns the whole log.
+
+    A run that is killed leaves nothing that readers see; repeated, it adds what is missing. One run appends at a time.
+    """
+    log = Epochs(new_rows.sparkSession, path)
+    fresh = resume_append(first_per_group(new_rows, [key], [F.col(c) for c in new_rows.columns]), log.read("rows", new_rows.schema), key)
+    epoch = log.next()
+    log.write("rows", fresh, epoch)
+    log.commit(epoch)
+    return log.read("rows", new_rows.schema).drop("epoch")
+
+
 INSTRUCTIONS = (
     "Answer the question from the dated chat history below and nothing else.",
     "When a fact changed, use the latest supported statement before the question date unless older history is asked for.",

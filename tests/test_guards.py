@@ -90,7 +90,7 @@ def test_claim_key_needs_both_parts(spark, subject, predicate, key):
 
 
 def test_long_branch_names_stay_apart(spark):
-    names = spark.createDataFrame([("n" * 60 + "a",), ("n" * 60 + "b",)], "v string").select(X.safe_branch_name(F.col("v")).alias("x"), X.safe_branch_name(F.col("v"), cut_only=True).alias("y")).collect()
+    names = spark.createDataFrame([("n" * 60 + "a",), ("n" * 60 + "b",)], "v string").select(X.safe_branch_name(F.col("v"), keep_apart=True).alias("x"), X.safe_branch_name(F.col("v")).alias("y")).collect()
     assert len({r.x for r in names}) == 2 and all(len(r.x) == 40 for r in names) and {r.y for r in names} == {"n" * 40}
 
 
