@@ -38,16 +38,21 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
+        self._clean()
         return out
 
+    def _clean(self) -> None:
+        """Spark drops shuffle files of finished jobs when the driver's collector finds them unused, which may not run for long."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables, and let Spark's cleaner drop the shuffle files that led to them."""
+        """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         for table in tables:
             _, path = self.paths.pop(id(table))
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        jvm.System.gc()  # the cleaner follows the driver's collector, which may not run for long
+        self._clean()
 
 
 def workers(df: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ class JaccardJoin:
         """
         dealt = self._dealt()
         shared = self.scratch.keep(dealt.groupBy("block").agg(F.count("*").alias("m")).where("m > 1").select("block"), "shared-blocks")
-        met = self.scratch.keep(dealt.join(small(shared, SMALL_ROWS), "block").select("block", "row", "need").distinct(), "met")
+        met = self.scratch.keep(dealt.join(shared, "block").select("block", "row", "need").distinct(), "met")
         # a document that is there twice with one text is dealt twice
         shared_by_two = self._of_several(met, ["block"])
         enough = shared_by_two.groupBy("row", "need").agg(F.count("*").alias("m")).where(F.col("m") >= F.shiftright("need", 1)).select("row", "need")
