@@ -4,10 +4,11 @@ Each page is parsed into a tree. Every node has its characters, tags, link chara
 is characters per tag, adjusted by how much of them are links. A node's density sum adds up the densities of its children. The
 node with the largest sum is the core of the text; the threshold is the smallest density on the path from body to
 it. Going up that path, the selection widens to an ancestor as long as what the ancestor adds is at least as dense as
-the threshold (headings always are part of the text they stand above), and at once to an enclosing article or main
-element. Parts that are marked as something else (menus, page headers and footers, sidebars, notices, adverts,
+the threshold (headings always are part of the text they stand above), and at once to an enclosing article (with articles
+of like size beside it) or main element. The logarithm's base of the published density is raised by ``e - 1``, so that it stays
+finite on pages without links. Parts that are marked as something else (menus, page headers and footers, sidebars, notices, adverts,
 forms, reader comments, scripts, styles) are left out of the tree before any density is taken. A class or id only tells
-what a part may be (``page-with-sidebar`` is no sidebar), so a part marked by its name stays if it holds the page's
+what a part may be (``page-with-sidebar`` is no sidebar) and a form may wrap a whole page, so such a part stays if it holds the page's
 article, main element or first heading, or most of the text, and nothing outside it could be the main text.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined in page
@@ -33,7 +34,7 @@ from claimweave.llm.common import workers
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
-SKIPPED = frozenset("head nav header footer aside form script style noscript iframe template svg math button select option textarea input object embed canvas audio video dialog menu title noembed noframes xmp fieldset".split())
+SKIPPED = frozenset("head nav header footer aside label legend script style noscript iframe template svg math button select option textarea input object embed canvas audio video dialog menu title noembed noframes xmp fieldset".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
@@ -79,7 +80,9 @@ def _left_out(tag: str, attributes: str) -> bool:
 
 
 def _mark(tag: str, attributes: str) -> int:
-    """What class and id say: 0 nothing, 1 a name with the word of a part in it, 2 that word alone, 3 one reader's comment as an article."""
+    """What a form, class or id says: 0 nothing, 1 a name with the word of a part in it, 2 that word alone, 3 one reader's comment as an article."""
+    if tag == "form":
+        return 2
     if not attributes or tag in ("html", "body", "main") or tag == "article" and "comment" not in attributes.lower():
         return 0
     names = [v for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for v in "".join(values).lower().split() if MARKED.search(v) and not STATE.match(v)]
@@ -97,11 +100,34 @@ def _stays(part: Node, all_text: int, outside: int, rival: int) -> bool:
     return part.plain * 2 > all_text and outside * (4 if part.mark == 1 else 20) < part.plain and rival * 10 < part.plain
 
 
+#: The mark of a page part named ``header`` inside an article: its headings are the article's.
+OWN_HEADER = 4
+
+
+def _below(node: Node) -> list[Node]:
+    """All nodes under one, in page order."""
+    found, todo = [], [c for c in reversed(node.children) if isinstance(c, Node)]
+    while todo:
+        n = todo.pop()
+        found.append(n)
+        todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+    return found
+
+
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "body"):
+        node = node.parent
+    return node is not None and node.tag == "article"
+
+
 def without_marked(root: Node) -> Node:
     """``root`` after taking out the parts marked by their names that do not hold the main text; every node is seen once or twice."""
     nodes = [root]
     for n in nodes:
         nodes.extend(c for c in n.children if isinstance(c, Node))
+    for n in nodes:
+        if n.mark == OWN_HEADER:
+            n.children, n.mark = [h for h in _below(n) if h.tag in HEADINGS and h.parent.tag not in HEADINGS], 0
     if not any(n.mark for n in nodes):
         return root
     for n in reversed(nodes):
@@ -190,7 +216,8 @@ def parse(page: str) -> Node:
             elif tag == "hr":
                 node.children.append(Node("hr", node))
             continue
-        if _left_out(tag, attributes):
+        own_header = tag == "header" and _in_article(node)
+        if _left_out("div" if own_header else tag, attributes):
             if not attributes.endswith("/"):
                 out_of, depth = tag, 1
             continue
@@ -198,7 +225,7 @@ def parse(page: str) -> Node:
             continue
         if tag == "html":
             continue
-        child = Node(tag, node, _mark(tag, attributes))
+        child = Node(tag, node, OWN_HEADER if own_header else _mark(tag, attributes))
         node.children.append(child)
         if not attributes.endswith("/"):
             node = child
@@ -211,7 +238,7 @@ def measure(root: Node) -> list[Node]:
     for n in nodes:
         nodes.extend(c for c in n.children if isinstance(c, Node))
     for n in reversed(nodes):
-        own = sum(len(c) - c.count(" ") - c.count("\n") for c in n.children if isinstance(c, str))
+        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
         below = [c for c in n.children if isinstance(c, Node)]
         n.chars = own + sum(c.chars for c in below)
         n.tags = len(below) + sum(c.tags for c in below)
@@ -229,6 +256,18 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _with_equals(article: Node, threshold: float) -> Node:
+    """An article, or a holder of it and the articles beside it that are as much text as it is (at least half)."""
+    if article.parent is None:
+        return article
+    beside = [c for c in article.parent.children if isinstance(c, Node) and c.tag == "article" and c.density >= threshold and c.link_chars * 2 < c.chars and c.chars * 2 >= article.chars]
+    if len(beside) < 2 or article not in beside:
+        return article
+    holder = Node("section", article.parent)
+    holder.children = list(beside)
+    return holder
+
+
 def select(root: Node) -> Node:
     """The subtree that holds the main text."""
     nodes = measure(root)
@@ -241,7 +280,10 @@ def select(root: Node) -> Node:
     threshold = min(n.density for n in path)
     for n in path:
         if n.tag in ("article", "main"):
-            return n
+            return _with_equals(n, threshold) if n.tag == "article" else n
+    articles = [c for c in core.children if isinstance(c, Node) and c.tag == "article" and c.link_chars * 2 < c.chars]
+    if sum(c.chars for c in articles) * 2 > core.chars:
+        return _with_equals(max(articles, key=lambda c: c.chars), 0.0)
     chosen = core
     for above in path[1:]:
         added = [c for c in above.children if isinstance(c, Node) and c is not chosen and c.chars]
