@@ -6,7 +6,9 @@ the anchors that touch it and unchanged passages keep theirs at the same distanc
 32-bit hashes of the anchors in text order, as hexadecimal words; two fingerprints' likeness is the Jaccard
 similarity of their sets of anchors.
 
-Words are runs without white space, cut after ``LONGEST`` characters so that a text without blanks has words too.
+Words are runs without white space. In scripts written without blanks each letter is a word; a run longer than ``LONGEST``
+characters (a web address, data) is cut behind vowels, digits and marks, so that it too is cut by its own content and an
+insertion moves only the words beside it.
 Defined results: where no window is chosen (texts shorter than one, and many a text of 6 to 9 words) every pair of words (or
 the only word) is an anchor, which never equals the anchor of a window; only a text without words has an empty
 fingerprint; two empty fingerprints are alike (1), an empty and another are not (0). Null texts are empty.
@@ -20,10 +22,12 @@ from claimweave.llm.common import RUN, ordered_runs, text_of
 
 K, S, LONGEST = 6, 2, 24
 _SPAN = K - S + 1
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{_ALONE}]|[^\s{_ALONE}]{{1,{LONGEST}}}+(?![^\s{_ALONE}])|[^\s{_ALONE}]*?[aeiouAEIOU0-9\p{{P}}\p{{S}}]|[^\s{_ALONE}]+"
 
 
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\S{{1,{LONGEST}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def _inner(words: str) -> Column:
