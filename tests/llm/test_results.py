@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from claimweave.llm import html_text, ngram_join, shingle_arrays, transducer
+from claimweave.llm import html_text, ngram_join, shingle_arrays, syncmers, transducer
 from claimweave.llm.queries import QUERIES
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -84,6 +84,18 @@ def test_blocks_miss_no_link(percent, width):
     assert met > 50
 
 
+def test_anchors_outlive_an_insertion_without_blanks(spark):
+    """One character more in a text without blanks moves the anchors beside it only."""
+    rnd = np.random.default_rng(3)
+    han = "".join(chr(0x4E00 + x) for x in rnd.integers(0, 3000, 600))
+    thai = "".join(chr(0x0E01 + x) for x in rnd.integers(0, 40, 600))
+    url = "https://" + "".join("abcdefghijklmnopqrstuvwxyz0123456789/-&="[x] for x in rnd.integers(0, 40, 3000))
+    rows = [(t, t[:at] + "x" + t[at:]) for t in (han, thai, url) for at in (3, 100, 400)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in syncmers.with_anchors(syncmers.with_anchors(df, df.a, "x"), df.b, "y").collect():
+        assert len(r.x) > 100 and len(set(r.x) & set(r.y)) >= 0.9 * len(set(r.x))
+
+
 def test_state_maps_compose():
     """Cutting the symbols into chunks changes no boundary: one long run against single steps."""
     rnd = np.random.default_rng(1)
@@ -108,18 +120,42 @@ def test_html_of_given_pages():
      '<p>More &eacute; and <a href="x">link</a>.</p><section class="comments"><p>I like this a lot, so many words in comments.</p></section></div><footer>f</footer></body>',
      "Title Hello & bold text. More é and link."),
     ("<article><h1>T</h1><p>one <script>var p = '</p>';</script>two<p>three<form><p>x</p></form><aside>no</aside></article>", "T one two three"),
+    ("<body><form action='/p'><div id='nav'><a href='/'>home</a></div><input name='s'><label>Search</label><div class='content'><h1>Title</h1><p>A page inside one form, as servers used to write.</p>"
+     "<p>It has a second paragraph too.</p></div><input type=submit></form></body>", "Title A page inside one form, as servers used to write. It has a second paragraph too."),
+    ("<article><header><h1>Own title</h1><p>By someone</p></header><p>The text of the article itself, with words.</p></article>", "Own title The text of the article itself, with words."),
+    ("<header><h1>Site</h1></header><article><p>First story with enough words in it.</p></article><article><p>Second story with as many words in it.</p></article>"
+     "<article><a href='x'>more of this</a></article>", "First story with enough words in it. Second story with as many words in it."),
     ('<body class="has-sidebar"><nav><a href="/">home</a></nav><main><p>Only text</p></main></body>', "Only text"),
 ])
 def test_html_parts(page, text):
     assert html_text.main_text(page) == text
 
 
-@pytest.mark.parametrize("name,label,least", [("op6_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.9)])
-def test_held_out_labels(spark, name, label, least):
-    rows = {r.doc_id: r for r in QUERIES[name](spark, MORE).collect()}
-    labels = duckdb.sql(f"SELECT doc_id, {label} FROM '{MORE}/labels.parquet'").fetchall()
-    held = [(rows[i].predicted, y) for i, y in labels if rows[i].held_out]
-    assert len(held) > 30 and sum(p == y for p, y in held) >= least * len(held)
+ARTICLE = ("<body><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>{}<div>{}<p>The first paragraph of the story is long enough to be one.</p>{}<p>The second, which goes on, "
+           "has words as well.</p>{}</div>{}<ul><li><a href=c>three</a></li></ul></body>")
+
+
+@pytest.mark.parametrize("gap", [" " * 400, "\t" * 400, "\r\n\t" * 200, "\x0b\x0c" * 200])
+def test_html_without_article_and_white_space(gap):
+    """Density alone decides here, and white space between tags is no text."""
+    want = "The first paragraph of the story is long enough to be one. The second, which goes on, has words as well."
+    assert html_text.main_text(ARTICLE.format(*[""] * 5)) == html_text.main_text(ARTICLE.format(*[gap] * 5)) == want
+
+
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="test tables not present")
+@pytest.mark.parametrize("name,label", [("op6_quality", "quality"), ("op8_toxicity", "toxic")])
+def test_held_out_labels(spark, name, label):
+    """Both classes are told apart on labels never learnt from, which no constant answer does."""
+    rows = {r.doc_id: r for r in QUERIES[name](spark, LARGE).collect()}
+    held = [(rows[i].predicted, rows[i].score, y) for i, y in duckdb.sql(f"SELECT doc_id, {label} FROM '{LARGE}/labels.parquet'").fetchall() if rows[i].held_out and y is not None]
+    hits = sum(p == 1 and y == 1 for p, _, y in held)
+    assert sum(y == 1 for *_, y in held) > 20 and sum(y == 0 for *_, y in held) > 20
+    assert hits >= 0.9 * sum(y == 1 for *_, y in held) and hits >= 0.9 * sum(p == 1 for p, *_ in held)
+    good, bad = ([s for _, s, y in held if y == v] for v in (1, 0))
+    assert sum(a > b for a in good for b in bad) >= 0.97 * len(good) * len(bad)
 
 
 def test_pipeline(spark):
