@@ -13,7 +13,7 @@ shingle of all its words, and documents are then shingled at that width too.
 
 Defined results: null or wordless items and texts match nothing; items with equal shingles are
 one item, reported under its smallest id with their number; repeated documents each get their rows; null ids are
-kept as nulls; further columns are ignored.
+kept as nulls; very long texts are one row's work; an empty table of documents or of items gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from claimweave.llm.common import kept, small, text_of
 
 WIDTH = 5
 PERCENT = 80
-#: Sketches (16 bytes a row), hits and items are broadcast up to these numbers of rows, shuffled beyond.
-SMALL_SKETCH, SMALL_HITS, SMALL_ITEMS = 1_000_000, 500_000, 20_000
+#: Sketches (16 bytes a row) and hits are broadcast up to these numbers of rows, items up to this number of shingles in all; beyond, they are shuffled.
+SMALL_SKETCH, SMALL_HITS, SMALL_ITEM_SHINGLES = 1_000_000, 500_000, 1_000_000
 WORDS = r"[\p{L}\p{M}\p{N}]+"
 
 
@@ -88,7 +88,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
     near = keyed.select("__row", "__text", *key).join(small(hits, SMALL_HITS), ["__k1", "__k2"])
     near = near.select("__row", "item_key", word_list(F.col("__text")).alias("words"))
     near = near.select("__row", "item_key", at_widths("words", widths, spelled).alias("here"))
-    verified = near.join(small(sets, SMALL_ITEMS), "item_key").select(
+    if (sets.agg(F.sum("n")).first()[0] or 0) <= SMALL_ITEM_SHINGLES:
+        sets = F.broadcast(sets)
+    verified = near.join(sets, "item_key").select(
         "__row", "item_id", "n_items", F.col("n").alias("item_shingles"), F.size(F.array_intersect("shingles", "here")).alias("shared"))
     verified = verified.where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
     return verified
