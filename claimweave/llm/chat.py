@@ -10,7 +10,8 @@ in code points.
 Defined results: turns are ordered by turn number, role, then text, nulls first; equal rows are all kept. A null text is
 an empty turn. A null role is a speaker without a name. Rows without conversation id form one dialogue. A
 dialogue of narrators only has no participant and no rendering. Control marks inside texts get a backslash
-after their ``<``, so that no text can end a turn. Further columns are ignored.
+after their ``<``, so that no text can end a turn. A very long text is one row's segment; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ tables over both features' bins, boosted the same way. A score is the sum of one
 
 Defined results: null and empty texts are scored by the same tables (their features are zeros); if the labels at hand do
 not hold both kinds, every score is the smoothed share of label 1; null ids are never held out; repeated rows each have
-their score; further columns are not inputs.
+their score; a very long text is read whole; an empty table gives no rows; further columns are not inputs.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ characters (a web address, data) is cut behind vowels, digits and marks, so that
 insertion moves only the words beside it.
 Defined results: where no window is chosen (texts shorter than one, and many a text of 6 to 9 words) every pair of words (or
 the only word) is an anchor, which never equals the anchor of a window; only a text without words has an empty
-fingerprint; two empty fingerprints are alike (1), an empty and another are not (0). Null texts are empty.
+fingerprint; two empty fingerprints are alike (1), an empty and another are not (0). Null texts are empty;
+rows with null ids and repeated rows have theirs; a very long text is one row's work; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

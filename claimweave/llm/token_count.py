@@ -2,7 +2,8 @@
 
 The counting is done by the transducers of ``transducer.py`` in Arrow batches; no shuffle, bounded memory per worker.
 Defined results: a null text is empty and has no token; a special token's string inside a text is that one token, the
-library's default.
+library's default; null ids and repeated rows each have their count; a very long text is cut where a pre-token always ends; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ table of weights: the sum over its distinct n-grams.
 
 Defined results: null and empty texts are scored like any text, by the intercept alone; if the labels at hand do not hold
 both kinds, every score is the smoothed share of label 1; null ids are never held out; repeated rows each have their
-score; further columns are not inputs.
+score; a very long text is cut into overlapping parts; an empty table gives no rows; further columns are not inputs.
 """
 
 from __future__ import annotations

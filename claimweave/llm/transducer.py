@@ -8,6 +8,9 @@ Its states are compiled when they are first reached: a state knows, for each pla
 longest vocabulary entry that may still be completed, the last token of the encoding up to there. One byte more
 is encoded by the only vocabulary entry that ends there and stands next to the token before it in an
 encoding of the two together, so the count changes by what lies between.
+
+Defined results: an empty or null text has no token; texts that repeat have equal counts; an empty list gives an empty one; a text of
+any length is cut into parts of bounded size.
 """
 
 from __future__ import annotations
