@@ -18,27 +18,44 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go.
+
+    Null and empty texts are judged by the intercept; repeated rows share their fate; an empty table stays empty; columns stay as they are.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Null and wordless texts all stay; of rows that repeat id and text one stays; ties go to the smaller text hash; a null id loses to any
+    other; an empty table stays empty; columns stay as they are.
+    """
     return ngram_join.one_of_each_group(docs, SHINGLE_WORDS, PERCENT)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null and empty texts stay, as do all if there are no items; repeated rows share their fate; an empty table stays empty; columns stay.
+    """
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"), SHINGLE_WORDS, PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
+    """Documents as often as the mixture of sources takes them.
+
+    Texts without words are not taken; a null source is one of its own; rows that tie share what is left; an empty table stays empty;
+    columns stay as they are.
+    """
     return mixture.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token id files; returns one row per document of the mixture: ``doc_id, start, n_tokens, ids_crc32``."""
+    """Token id files; returns one row per document of the mixture: ``doc_id, start, n_tokens, ids_crc32``.
+
+    A null text has the end id alone; null ids come first; repeated rows each have their ids; an empty table gives no rows.
+    """
     return token_files.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
