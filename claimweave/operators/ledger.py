@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from claimweave.functions.scores import exact
 from claimweave.operators import fold
 from claimweave.plans.ordered import numbered
-from claimweave.plans.session import lift_recursion_limits, materialise, ship_package, sized_broadcast
+from claimweave.plans.session import materialise, ship_package, sized_broadcast
 
 ORD_WIDTH = 1 << fold.ORD_BITS
 
@@ -81,20 +81,24 @@ class FoldOptions:
 # Branch tree
 # ---------------------------------------------------------------------------
 
-def branch_ancestry(branches: DataFrame) -> DataFrame:
-    """(branch_id, ancestor_id, depth), each branch being its own ancestor at depth 0."""
-    spark = branches.sparkSession
-    lift_recursion_limits(spark)
-    branches.select("id", "parent_branch_id").createOrReplaceTempView("cw_branches")
-    return spark.sql("""
-        WITH RECURSIVE up(branch_id, ancestor_id, depth) AS (
-          SELECT id, id, 0 FROM cw_branches
-          UNION ALL
-          SELECT up.branch_id, b.parent_branch_id, up.depth + 1
-          FROM up JOIN cw_branches b ON b.id = up.ancestor_id
-          WHERE b.parent_branch_id IS NOT NULL)
-        SELECT CAST(branch_id AS BIGINT) AS branch_id, CAST(ancestor_id AS BIGINT) AS ancestor_id,
-               CAST(depth AS INT) AS depth FROM up""")
+def branch_ancestry(branches: DataFrame, viewers: DataFrame | None = None) -> DataFrame:
+    """(branch_id, ancestor_id, depth), each branch being its own ancestor at depth 0; of all branches or of ``viewers`` (branch_id).
+
+    Jump pointers double their reach from round to round, so a tree of any depth takes as many rounds as its logarithm.
+    """
+    start = branches.select(F.col("id").cast("long").alias("branch_id")) if viewers is None else viewers.select(F.col("branch_id").cast("long").alias("branch_id")).distinct()
+    up = start.select("branch_id", F.col("branch_id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    jump = materialise(branches.where("parent_branch_id IS NOT NULL").select(F.col("id").cast("long").alias("at"), F.col("parent_branch_id").cast("long").alias("to")), "jumps")
+    if viewers is not None:
+        up = up.join(sized_broadcast(branches.select(F.col("id").cast("long").alias("branch_id"))), "branch_id", "left_semi")
+    step = 1
+    while not jump.isEmpty():
+        further = up.join(sized_broadcast(jump), F.col("ancestor_id") == F.col("at")).select("branch_id", F.col("to").alias("ancestor_id"), (F.col("depth") + step).alias("depth"))
+        up = materialise(up.unionByName(further), "ancestry")
+        twice = jump.select(F.col("at").alias("from_id"), F.col("to").alias("at")).join(sized_broadcast(jump), "at")
+        jump = materialise(twice.select(F.col("from_id").alias("at"), "to"), "jumps")
+        step *= 2
+    return up
 
 
 def branches_after(branches: DataFrame, control: DataFrame) -> DataFrame:

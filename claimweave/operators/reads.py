@@ -101,9 +101,7 @@ def current_versions(versions: DataFrame, branches: DataFrame, branch_ids: DataF
 
     ``branch_ids`` (one column, branch_id) restricts the viewing branches.
     """
-    up = branch_ancestry(branches)
-    if branch_ids is not None:
-        up = up.join(branch_ids, "branch_id", "left_semi")
+    up = branch_ancestry(branches, branch_ids)
     seen = sized_broadcast(up.withColumnRenamed("branch_id", "viewer_id"))  # versions are not shuffled by their few branches
     rows = versions.where(is_current()).join(seen, F.col("branch_id") == F.col("ancestor_id")).drop("ancestor_id")
     nearest = rows.groupBy("viewer_id", "claim_key").agg(F.min("depth").alias("depth"))
@@ -293,7 +291,8 @@ def _ancestral_support(chosen: DataFrame, links: DataFrame, branches: DataFrame)
     """Active support edges of the chosen versions whose commit branch the viewer descends from."""
     live = links.where("status = 'active' AND relation = 'support'").select(
         *KEY, F.col("source_id").alias("support_source_id"), "commit_branch_id", "link_pos")
-    up = sized_broadcast(branch_ancestry(branches).select(F.col("branch_id").alias("viewer_id"), F.col("ancestor_id").alias("commit_branch_id")))
+    viewers = chosen.select(F.col("viewer_id").alias("branch_id")).distinct()
+    up = sized_broadcast(branch_ancestry(branches, viewers).select(F.col("branch_id").alias("viewer_id"), F.col("ancestor_id").alias("commit_branch_id")))
     return chosen.select("viewer_id", *KEY).join(live, KEY).join(up, ["viewer_id", "commit_branch_id"])
 
 

@@ -79,12 +79,6 @@ def sized_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def lift_recursion_limits(spark: SparkSession) -> None:
-    """Trees here are acyclic by construction (a parent exists before its child), so depth and size need no cap."""
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-
-
 _shipped: set[str] = set()
 
 

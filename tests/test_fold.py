@@ -119,6 +119,15 @@ def test_deep_branch_tree(spark):
     assert deepest.chain == ",".join(str(i) for i in range(n, 0, -1)) and deepest.hyp
 
 
+def test_ancestors_of_one_branch_in_a_deep_tree(spark):
+    """A chain of 10^4 branches: only the viewer's ancestors are listed, in a logarithm of rounds."""
+    n = 10_000
+    b = spark.range(1, n + 1).select(F.col("id"), F.concat(F.lit("b"), "id").alias("name"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_branch_id"))
+    viewer = spark.createDataFrame([(n,), (7,), (n + 5,)], "branch_id long")
+    got = L.branch_ancestry(b, viewer).groupBy("branch_id").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.min("ancestor_id").alias("a")).collect()
+    assert sorted(tuple(r) for r in got) == [(7, 7, 6, 1), (n, n, n - 1, 1)]
+
+
 def test_oversized_commit_is_refused(spark):
     c, b, _ = frames(spark, [("k", 1, W, 1, 1, 5000, "a", 9000, None, None)], [])
     with pytest.raises(Exception, match="split it"):
