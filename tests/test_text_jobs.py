@@ -113,6 +113,34 @@ def test_tfidf_prunes_without_losing(spark):
     assert len(full) == 60 and full[(100, 1)] == (0, 0.0)
 
 
+def test_tfidf_of_few_questions_writes_no_document_tables(spark, monkeypatch):
+    import math
+    from collections import Counter
+    rng = random.Random(6)
+    texts = {i: " ".join(rng.choice(["common", "usual", "x9", f"w{rng.randrange(12)}", f"z{i}"]) for _ in range(rng.randrange(1, 30))) for i in range(60)}
+    texts.update({60: "", 61: None, 62: "...", 63: "Common COMMON common"})
+    asked = {0: "common w1 w1 unseen", 1: "x9 w2 z5", 2: "nothing known"}
+    written, write = [], flat.materialise
+    monkeypatch.setattr(flat, "materialise", lambda df, name: written.append(name) or write(df, name))
+    facts = spark.createDataFrame(list(texts.items()), "fact_id long, document string")
+    got = {(r.question_id, r["rank"]): (r.fact_id, r.score) for r in flat.tfidf_topk(facts, spark.createDataFrame(list(asked.items()), "question_id long, query string"), 5).collect()}
+    assert set(written) == {"idf", "query-vectors", "topk"}  # not the documents' vectors
+
+    counts = {i: Counter(t.lower().split()) if t and t != "..." else Counter() for i, t in texts.items()}
+    df, n = Counter(w for c in counts.values() for w in c), len(texts)
+
+    def vector(c):
+        w = {t: f * (math.log((1 + n) / (1 + df[t])) + 1 if t in df else math.log(1 + n) + 1) for t, f in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    docs = {i: vector(c) for i, c in counts.items()}
+    for q, text in asked.items():
+        v = vector(Counter(text.split()))
+        want = sorted((-round(sum(x * d.get(t, 0) for t, x in v.items()), 9), i) for i, d in docs.items())[:5]
+        assert [(i, -s) for s, i in want] == [got[(q, r)] for r in range(1, 6)]
+
+
 def test_focus_excerpt(spark):
     text = "Intro line.\nI bought apples.\nNothing here at all.\nApples and pears were bought today.\n" + "filler " * 100
     got = one(spark, RV.focus_excerpt(F.col("t"), F.lit("Which apples and pears?"), 200), t=text)
