@@ -66,9 +66,7 @@ class LedgerStore:
 
     def ledger(self) -> L.Ledger:
         """The derived tables, as ``build_ledger`` has them."""
-        events = materialise(self.events(), "events")
-        return L.Ledger(events, materialise(L.versions_table(events), "versions"), materialise(L.direct_links(events), "direct-links"),
-                        materialise(L.inherited_totals(events), "inherited"), self.rejected())
+        return L.Ledger(materialise(self.events(), "events"), self.rejected)
 
     # -- adding a batch ----------------------------------------------------
     def _bucket(self):
