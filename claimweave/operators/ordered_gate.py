@@ -71,7 +71,7 @@ def ordered_decisions(staged: DataFrame, states: DataFrame, branches: DataFrame,
     def decided(writes: DataFrame, facts: DataFrame, accepted: DataFrame) -> DataFrame:
         earlier = excerpts.join(accepted, "staged_id", "left_semi")
         x = C.CheckInput(writes, facts, snapshot, policy, today, earlier=earlier)
-        return C.ci_decision(writes, materialise(C.check_results(x), "gate-results"), policy.checks, messages=messages).drop("failed")
+        return C.decided(C.failed_checks(x), policy.checks, messages=messages).select(*C.DECISION)
 
     accepted = none
     facts = materialise(_facts(proposed, none, states, base, policy, options), "gate-facts")

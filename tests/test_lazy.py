@@ -32,3 +32,35 @@ def test_states_are_chained_across_batches(spark, monkeypatch):
     claims = fx.as_ledger_claims(fx.event_claims(spark, SF)).withColumn("branch_id", F.lit(1).cast("long"))
     whole, cut = (L.versions_table(L.fold_events(claims, fx.branches(spark), options=o)) for o in (None, L.FoldOptions(chunk_rows=3)))
     assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty()
+
+
+def _snapshot(spark):
+    current = spark.createDataFrame([], "viewer_id long, claim_key string, version_id long, normalized_object string, valid_from date, valid_to date, score_units long, active_support_count long")
+    versions = spark.createDataFrame([], "claim_key string, normalized_object string, status string, rolled_back boolean, version_id long")
+    return C.Snapshot(current, versions, spark.createDataFrame([], "source_id long, status string, link_pos long"), fx.document_sources(spark, SF))
+
+
+def test_the_gate_writes_a_row_per_write(spark, monkeypatch):
+    written, write = [], C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, name: written.append(name) or write(df, name))
+    x = C.check_input(CC.staged_writes(spark, SF), _snapshot(spark), today=CC.TODAY)
+    writes, decisions, results = C.run_checks(x, messages=4)
+    assert sorted(set(written)) == ["checked-writes", "claim-facts", "known-texts", "open-writes"]
+    n = x.staged.count()
+    assert writes.count() == n and results.where("reason_code <> 'no_claims'").select("staged_id", "check_name").distinct().count() == n * len(x.policy.checks)
+    again = C.ci_decision(x.staged, results, x.policy.checks, messages=4).drop("failed")
+    assert again.exceptAll(decisions).isEmpty() and decisions.exceptAll(again).isEmpty()
+
+
+def test_an_added_check_counts_beside_the_own_ones(spark, monkeypatch):
+    def odd(x):
+        rows = x.staged.where("staged_id % 2 = 1").select("staged_id", F.lit("odd_check").alias("check_name"), F.lit("fail").alias("severity"), F.lit("odd").alias("reason_code"), F.lit("Odd.").alias("message"))
+        return rows.unionByName(rows)
+
+    monkeypatch.setitem(C.REGISTRY, "odd_check", odd)
+    policy = C.Policy(checks=("low_trust_source_check", "odd_check"))
+    x = C.check_input(CC.staged_writes(spark, SF).where("staged_id % 97 <> 0"), _snapshot(spark), today=CC.TODAY, policy=policy)
+    writes, decisions, results = C.run_checks(x)
+    assert results.groupBy("staged_id").count().where("count <> 2").isEmpty()
+    assert decisions.where("staged_id % 2 = 1 AND (decision <> 'quarantine' OR reason_summary NOT LIKE '%Odd.%')").isEmpty()
+    assert not decisions.where("staged_id % 2 = 0 AND decision <> 'quarantine'").isEmpty()
