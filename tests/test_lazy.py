@@ -64,3 +64,24 @@ def test_an_added_check_counts_beside_the_own_ones(spark, monkeypatch):
     assert results.groupBy("staged_id").count().where("count <> 2").isEmpty()
     assert decisions.where("staged_id % 2 = 1 AND (decision <> 'quarantine' OR reason_summary NOT LIKE '%Odd.%')").isEmpty()
     assert not decisions.where("staged_id % 2 = 0 AND decision <> 'quarantine'").isEmpty()
+
+
+def test_a_snapshot_scores_current_versions_only(spark, monkeypatch):
+    sizes, write = {}, L.materialise
+
+    def told(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(L, "materialise", told)
+    snapshot = CC.snapshot(spark, SF + "/")  # a name of its own: nothing of it is written yet
+    led = CC.CL.main_ledger(spark, SF + "/")
+    assert "direct-links" not in sizes and 0 < sizes["edge-events"] < led.events.count() / 2
+    want = CC.R.current_versions(CC.CL.scored(led, spark, SF), fx.branches(spark)).where("viewer_id < 3")
+    want = CC._renamed(want).select(snapshot.current.columns)
+    assert want.exceptAll(snapshot.current).isEmpty() and snapshot.current.exceptAll(want).isEmpty()
+    events = CC.CL.rollback_ledger(spark, SF).events
+    ended = L.direct_links(events).where("status = 'rolled_back'")
+    found = L.rolled_back_links(events)
+    assert not ended.isEmpty() and ended.exceptAll(found).isEmpty() and found.exceptAll(ended).isEmpty()
