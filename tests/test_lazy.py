@@ -85,3 +85,8 @@ def test_a_snapshot_scores_current_versions_only(spark, monkeypatch):
     ended = L.direct_links(events).where("status = 'rolled_back'")
     found = L.rolled_back_links(events)
     assert not ended.isEmpty() and ended.exceptAll(found).isEmpty() and found.exceptAll(ended).isEmpty()
+
+
+def test_final_action_routes_once(spark):
+    plan = CC.final_action(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "fellowship" not in plan  # routing is behind a written table
