@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import checks as C, ledger as L
+from claimweave.operators import checks as C, ledger as L, retrieve as RV
 from claimweave.plans import catalog_checks as CC, fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +90,11 @@ def test_a_snapshot_scores_current_versions_only(spark, monkeypatch):
 def test_final_action_routes_once(spark):
     plan = CC.final_action(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "fellowship" not in plan  # routing is behind a written table
+
+
+def test_an_excerpt_finds_the_words_of_a_line_once(spark):
+    df = spark.createDataFrame([("Intro.\n" + "pad " * 200 + "apples\n\nPears\nAPPLES and pears " + "pad " * 200, "apples pears")], "t string, q string")
+    cut = df.select(RV.focus_excerpt(F.col("t"), F.col("q"), 300, window=60).alias("x"))
+    assert cut._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2  # of the question and of a line
+    lines = cut.first().x.split("\n...\n")
+    assert len(lines) == 3 and lines[0].startswith("APPLES and pears") and lines[1].startswith("...") and "apples" in lines[1] and lines[2] == "Pears"
