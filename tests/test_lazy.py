@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import checks as C, ledger as L, retrieve as RV
+from claimweave.operators import checks as C, ledger as L, lifecycle as LC, retrieve as RV
 from claimweave.plans import catalog_checks as CC, fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,16 @@ def test_an_excerpt_finds_the_words_of_a_line_once(spark):
     assert cut._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2  # of the question and of a line
     lines = cut.first().x.split("\n...\n")
     assert len(lines) == 3 and lines[0].startswith("APPLES and pears") and lines[1].startswith("...") and "apples" in lines[1] and lines[2] == "Pears"
+
+
+def test_review_rounds_write_what_decisions_change(spark, monkeypatch):
+    seen, write = {}, LC.materialise
+    monkeypatch.setattr(LC, "materialise", lambda df, name: seen.setdefault(name, df.columns) and write(df, name))
+    staged = spark.createDataFrame([(1, "quarantined", True, "blocked", "x"), (2, "checked", False, None, "y")], "staged_id long, status string, review_required boolean, quarantine_release string, excerpt string")
+    decisions = spark.createDataFrame([(1, "release", "r", "seen", None, 1), (1, "approve", "r", None, None, 2), (2, "apply", "r", None, None, 1), (2, "reject", "r", None, None, 2)],
+                                      "staged_id long, action string, reviewer string, notes string, override boolean, seq int")
+    state, refused = LC.decide(staged, decisions)
+    got = {r.staged_id: (r.status, r.quarantine_release, r.decided_by, r.excerpt) for r in state.collect()}
+    assert got == {1: ("applied", "released", "approve", "x"), 2: ("applied", None, "apply", "y")}
+    assert [(r.staged_id, r.action, r.error) for r in refused.collect()] == [(2, "reject", "already final")]
+    assert set(seen) == {"judged", "decided-state"} and "excerpt" not in {*seen["judged"], *seen["decided-state"]}
