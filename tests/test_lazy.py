@@ -111,3 +111,32 @@ def test_review_rounds_write_what_decisions_change(spark, monkeypatch):
     assert got == {1: ("applied", "released", "approve", "x"), 2: ("applied", None, "apply", "y")}
     assert [(r.staged_id, r.action, r.error) for r in refused.collect()] == [(2, "reject", "already final")]
     assert set(seen) == {"judged", "decided-state"} and "excerpt" not in {*seen["judged"], *seen["decided-state"]}
+
+
+def test_writes_are_read_by_the_columns_asked_for(spark):
+    x = C.check_input(CC.staged_writes(spark, SF), _snapshot(spark), today=CC.TODAY)
+    writes, _, _ = C.run_checks(x)
+    plan = writes.select("staged_id", "status")._jdf.queryExecution().executedPlan().toString()
+    assert "review_required:boolean" in plan and "excerpt:string" not in plan and "claims:array" not in plan and "array_sort" not in plan
+    facts = C.claim_facts(CC.staged_writes(spark, SF), _snapshot(spark), C.Policy())
+    assert "Aggregate" not in facts._jdf.queryExecution().optimizedPlan().toString()  # a claim meets one version at most
+
+
+def test_facts_of_keys_with_one_and_with_several_versions(spark):
+    from datetime import date
+    rows = [(1, f"user_{u}::{p}", i, f"obj_{i % 4}", date(2024, 1, 1 + i), None, 3000, 2) for u in range(0, 1500, 7) for p in CC.PREDICATES.values() for i in range(1 + u % 3)]
+    current = spark.createDataFrame(rows, "viewer_id long, claim_key string, version_id long, normalized_object string, valid_from date, valid_to date, score_units long, active_support_count long")
+    snapshot, policy = _snapshot(spark), C.Policy()
+    snapshot.current = current
+    writes = CC.staged_writes(spark, SF)
+    v = current.select(F.col("viewer_id").alias("branch_id"), "claim_key", F.col("normalized_object").alias("v_object"), F.col("valid_from").alias("v_from"), F.col("valid_to").alias("v_to"), "score_units", "active_support_count")
+    want = C.compared(C.proposed_claims(writes, policy).join(v, ["branch_id", "claim_key"], "left"), policy)
+    got = C.claim_facts(writes, snapshot, policy)
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert not got.where("other_near > 1").isEmpty() and not got.where("same_near = 1").isEmpty()
+
+
+def test_retracted_versions_are_those_of_the_versions_table(spark):
+    events = CC.CL.rollback_ledger(spark, SF).events
+    want, got = L.versions_table(events).where("status = 'retracted'"), L.retracted_versions(events)
+    assert not want.isEmpty() and want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
