@@ -113,6 +113,16 @@ def test_tfidf_prunes_without_losing(spark):
     assert len(full) == 60 and full[(100, 1)] == (0, 0.0)
 
 
+def test_tfidf_takes_documents_alike_in_asked_terms_together(spark, monkeypatch):
+    facts = spark.createDataFrame([(i, f"apple g{i % 3} z{i}") for i in range(60)], "fact_id long, document string")
+    q = spark.createDataFrame([(1, "apple g1"), (2, "g2 apple apple")], "question_id long, query string")
+    seen, write = {}, flat.materialise
+    monkeypatch.setattr(flat, "materialise", lambda df, name: seen.setdefault(name, write(df, name)))
+    rows = flat.tfidf_topk(facts, q, 4, common_df=30).orderBy("question_id", "rank").collect()
+    assert [r.fact_id for r in rows] == [1, 4, 7, 10, 2, 5, 8, 11] and len({r.score for r in rows[:4]}) == 1
+    assert seen["alike"].count() == 3 * 4 and seen["alike"].where("profile IS NOT NULL").count() == 3  # of 60 documents
+
+
 def test_tfidf_of_few_questions_writes_no_document_tables(spark, monkeypatch):
     import math
     from collections import Counter
@@ -141,6 +151,19 @@ def test_tfidf_of_few_questions_writes_no_document_tables(spark, monkeypatch):
         assert [(i, -s) for s, i in want] == [got[(q, r)] for r in range(1, 6)]
 
 
+def test_versions_are_found_once_for_questions_alike(spark, monkeypatch):
+    d = spark.createDataFrame([(f"user_{u}::p", i, f"User_{u}", "p", "obj", "obj") for u in (1, 2) for i in range(4)],
+                              "claim_key string, version_id long, subject string, predicate string, object_value string, normalized_object string")
+    q = spark.createDataFrame([(i, "so User_1" + (" why" if i % 2 else "")) for i in range(20)] + [(20, "so User_1 or User_2"), (21, None)], "question_id long, question string")
+    seen, write = {}, RV.materialise
+    monkeypatch.setattr(RV, "materialise", lambda df, name: seen.setdefault(name, write(df, name)))
+    got = {}
+    for r in RV.retrieve_versions(q, d, d.where("version_id = 3"), per_term=3, limit=2).collect():
+        got.setdefault(r.question_id, set()).add((r.claim_key, r.version_id))
+    assert got == {**{i: {("user_1::p", 3)} | ({("user_1::p", 2)} if i % 2 else set()) for i in range(20)}, 20: {("user_1::p", 3), ("user_2::p", 3)}}
+    assert seen["asks"].count() == 4 and seen["ask-versions"].count() == 5
+
+
 def test_focus_excerpt(spark):
     text = "Intro line.\nI bought apples.\nNothing here at all.\nApples and pears were bought today.\n" + "filler " * 100
     got = one(spark, RV.focus_excerpt(F.col("t"), F.lit("Which apples and pears?"), 200), t=text)
