@@ -355,7 +355,7 @@ def retrieve_versions(spark, sf_dir):
         F.col("o_orderkey").alias("question_id"),
         F.concat(F.lit("so User_"), (F.col("o_custkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " why").otherwise("")).alias("question"))
     led = CL.main_ledger(spark, sf_dir)
-    d = R.version_detail(led.versions, CL.beliefs(spark, sf_dir), CL.event_sources(spark, sf_dir), fx.branches(spark))
+    d = led.versions.join(CL.beliefs(spark, sf_dir).select("claim_key", "subject", "predicate"), "claim_key", "left")
     found = RV.retrieve_versions(q, d, led.versions.where(R.is_current()), per_term=10, limit=8)
     return found.select("question_id", "claim_key", CL.seq_of("version_id").alias("version_seq"))
 
